@@ -41,12 +41,14 @@ def rotate(turns: DataFrame, context: tuple[str, ...] = CONTEXT, piece_turns: in
     p = p.withColumn("parts", parts).withColumn("text", F.array_join(F.transform("parts", lambda x: F.concat(x["head"], x["body"])), ""))
     # running offsets: the fold's state is the list so far and the place it ends at
     kind = "array<struct<turn:bigint,role:string,start:int,stop:int,mask:boolean>>"
-    fold = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-        lambda s, x: F.struct((s["at"] + F.length(x["head"]) + F.length(x["body"])).alias("at"), F.concat(s["out"], F.array(F.struct(x["turn"].alias("turn"), x["role"].alias("role"), (s["at"] + F.length(x["head"])).alias("start"), (s["at"] + F.length(x["head"]) + F.length(x["body"])).alias("stop"), x["mask"].alias("mask")))).cast(kind)).alias("out")),
-        lambda s: s["out"],
-    )
+
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + F.length(x["head"])
+        stop = start + F.length(x["body"])
+        one = F.struct(x["turn"].alias("turn"), x["role"].alias("role"), start.alias("start"), stop.alias("stop"), x["mask"].alias("mask"))
+        return F.struct(stop.alias("at"), F.concat(state["out"], F.array(one).cast(kind)).alias("out"))
+
+    fold = F.aggregate("parts", F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda state: state["out"])
     return p.select("conv_id", "perspective", "piece", F.size("turns").cast("long").alias("n_turns"), "text", fold.alias("segments"))
 
 

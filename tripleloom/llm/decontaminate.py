@@ -32,6 +32,11 @@ def _words(text: str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(WORD), F.lit(0))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once, however the plan's projections are merged."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _shingles(words: Column, k: int, make) -> Column:
     """``make(list of k columns)`` of every run of k words; of fewer words one of the whole sequence."""
     n = F.size(words)
@@ -39,19 +44,18 @@ def _shingles(words: Column, k: int, make) -> Column:
     return F.when(n >= k, runs).when(n > 0, F.array(make([F.get(words, F.lit(j)) for j in range(k)])))
 
 
-def _hashed(words: Column, k: int) -> Column:
-    return _shingles(words, k, lambda w: F.xxhash64(*w))
+def _hashed(text: str, k: int) -> Column:
+    return _let(_words(text), lambda words: _shingles(words, k, lambda w: F.xxhash64(*w)))
 
 
-def _spelled(words: Column, k: int) -> Column:
-    return _shingles(words, k, lambda w: F.concat_ws(" ", *w))
+def _spelled(text: str, k: int) -> Column:
+    return _let(_words(text), lambda words: _shingles(words, k, lambda w: F.concat_ws(" ", *w)))
 
 
 def sketches(items: DataFrame, k: int, percent: int) -> DataFrame:
     """``item_id, n, need, part, hash``: a row per sketch value."""
-    w = items.select(F.col("item_id").cast("long").alias("item_id"), _words("text").alias("w")).where("item_id is not null")
-    h = w.select("item_id", F.array_distinct(_hashed(F.col("w"), k)).alias("h")).where("size(h) > 0")
-    h = h.select("item_id", F.array_sort("h").alias("h"), F.size("h").alias("n"))
+    h = items.select(F.col("item_id").cast("long").alias("item_id"), F.array_sort(F.array_distinct(_hashed("text", k))).alias("h")).where("item_id is not null")
+    h = spool(h.where("size(h) > 0").withColumn("n", F.size("h")), "items")
     h = h.withColumn("need", F.ceil(F.col("n") * percent / F.lit(100)).cast("int")).withColumn("part", F.floor(F.log2("n")).cast("int"))
     return h.select("item_id", "n", "need", "part", F.explode(F.slice("h", F.lit(1), F.col("n") - F.col("need") + 1)).alias("hash"))
 
@@ -63,21 +67,25 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> D
     # a row per power of two: at most 31
     bounds = [(r["part"], r["top"], r["least"]) for r in parts.collect()]
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    h = d.select("doc_id", _hashed(_words("text"), k).alias("h"))
-    ceiling = F.lit(None).cast("long")
-    for _, top, least in bounds:
-        ceiling = F.greatest(ceiling, F.when(F.size("h") >= least, F.lit(top)))
-    offered = h.select("doc_id", F.explode(F.filter("h", lambda v: v <= ceiling)).alias("hash"))
+
+    def ceiling(n: Column) -> Column:
+        top_of = F.lit(None).cast("long")
+        for _, top, least in bounds:
+            top_of = F.greatest(top_of, F.when(n >= least, F.lit(top)))
+        return top_of
+
+    offer = _let(_hashed("text", k), lambda h: _let(ceiling(F.size(h)), lambda c: F.filter(h, lambda v: v <= c)))
+    offered = d.select("doc_id", F.explode(offer).alias("hash"))
     by_hash = maybe_broadcast(sk.select("hash", "item_id"))
     pairs = spool(offered.join(by_hash, "hash").select("doc_id", "item_id").distinct(), "candidates")
     return _verify(d, items, pairs, k, percent)
 
 
 def _verify(d: DataFrame, items: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    i = items.select(F.col("item_id").cast("long").alias("item_id"), F.array_distinct(_spelled(_words("text"), k)).alias("item")).where("item_id is not null and size(item) > 0")
+    i = items.select(F.col("item_id").cast("long").alias("item_id"), F.array_distinct(_spelled("text", k)).alias("item")).where("item_id is not null and size(item) > 0")
     # a document's candidates are at most the items; the benchmark's own size bounds the list
     of_doc = pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
-    texts = d.join(maybe_broadcast(of_doc), "doc_id").select("doc_id", "items", _spelled(_words("text"), k).alias("s"))
+    texts = d.join(maybe_broadcast(of_doc), "doc_id").select("doc_id", "items", _spelled("text", k).alias("s"))
     hit = texts.select("doc_id", "s", F.explode("items").alias("item_id")).join(maybe_broadcast(i), "item_id")
     hit = hit.select("doc_id", "item_id", F.size("item").cast("long").alias("n_item"), F.size(F.array_intersect("item", "s")).cast("long").alias("n_shared"))
     return hit.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))

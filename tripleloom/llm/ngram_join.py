@@ -215,11 +215,16 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, block_rows:
     pair = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.least("piece", j).alias("p"), F.greatest("piece", j).alias("q")))
     met = piece.select("doc_id", "block", "piece", "grams", F.explode(pair).alias("pq")).select("doc_id", "block", "piece", "grams", "pq.p", "pq.q")
     links = spool(met.groupBy("block", "p", "q").applyInPandas(lambda key, pdf: _walk(key, pdf, percent), "a long, b long"), "links")
-    # copies of one class that carry different ids, where an id stands in several classes
-    ties = some.join(maybe_broadcast(classes.where("rep < last")), ["d1", "d2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comp = components(links.unionByName(ties))
-    comp = spool(comp, "components")
-    return profile.select("doc_id", "n_shingles").join(maybe_broadcast(comp.select(F.col("id").alias("doc_id"), "component")), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # a doc_id that stands in several classes ties them; other members follow their representative
+    member = some.join(maybe_broadcast(classes.where("rep < last")), ["d1", "d2", "n_shingles"]).where("doc_id <> rep").select("doc_id", "rep")
+    several = some.select("doc_id", "d1", "d2").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    several = spool(several, "several")
+    ties = member.join(maybe_broadcast(several), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    comp = spool(components(links.unionByName(ties)), "components")
+    comp = maybe_broadcast(comp.select(F.col("id").alias("rep"), "component"))
+    rep = profile.join(maybe_broadcast(classes.where("rep < last").select("d1", "d2", "n_shingles", F.col("rep").alias("_rep"))), ["d1", "d2", "n_shingles"], "left")
+    rep = rep.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("_rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
+    return rep.join(comp, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", F.when(F.col("doc_id").isNotNull(), F.col("rep"))).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, **options) -> DataFrame:

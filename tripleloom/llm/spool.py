@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it was counted and has at most this many narrow rows.
 BROADCAST_ROWS = 2_000_000
+#: A counted edge table of at most this many rows (16 bytes each) is worked on in one task, without exchanges.
+ONE_TASK_EDGES = 1_000_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -62,11 +64,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges stop changing; each step is an
     aggregation and a join on the node, so a node with very many edges is pre-aggregated before
-    the shuffle and its join side can be split.  Isolated nodes have no row."""
+    the shuffle and its join side can be split.  Few edges (counted) stay in one partition, where the same
+    steps need no exchange.  Isolated nodes have no row."""
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = spool(e, "edges")
-    before = None
-    while True:
+    before = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    few = before[0] <= ONE_TASK_EDGES
+    while before[0]:
+        e = e.coalesce(1) if few else e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

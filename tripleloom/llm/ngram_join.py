@@ -7,7 +7,7 @@ A document's set holds the hashes of its distinct word n-grams, in one global or
    (aggregated before the shuffle); one representative stands for each.
 2. *Blocking without loss.*  Sets within a size level differ in at most D elements, so of D + 1
    hash ranges of the element space at least one holds the same elements in both.  A digest of
-   each range is a key; documents that share a key are joined to the least document of the key
+   each range is a key; classes that share a key are joined to the least class of the key
    (a star, never all pairs), and the stars' components are the blocks.
 3. *Prefix tree.*  The sets of a block are stored in a trie over the global order.  Each set
    walks it, sharing the overlap of common prefixes; a subtree is left when the overlap so far
@@ -82,16 +82,33 @@ def range_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def _profiles(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set; the first half names the class in the blocking, both halves tell sets apart."""
+    if not len(s):
+        return 0, 0
+    with np.errstate(over="ignore"):
+        return int(mix(s + U(1)).sum(dtype=U).view(np.int64)), int(mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U).view(np.int64))
+
+
+def _profiles(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(len(s), *_digest(s)) for s in shingle_sets(batch.column("text"), n)]
+        sizes, d1, d2 = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (sizes, d1, d2))], names=["doc_id", "n_shingles", "d1", "d2"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, d1, d2, keys = [], [], [], []
-        with np.errstate(over="ignore"):
-            for s in shingle_sets(batch.column("text"), n):
-                sizes.append(len(s))
-                d1.append(int(mix(s + U(1)).sum(dtype=U).view(np.int64)) if len(s) else 0)
-                d2.append(int(mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U).view(np.int64)) if len(s) else 0)
-                keys.append(range_keys(s, percent).view(np.int64) if len(s) else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "d1", "d2", "keys"])
+        keys, owner = [], []
+        for s in shingle_sets(batch.column("text"), n):
+            if len(s):
+                keys.append(range_keys(s, percent).view(np.int64))
+                owner.append(np.full(len(keys[-1]), _digest(s)[0], np.int64))
+                if len(keys) >= 2000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner))], names=["key", "c"])
+                    keys, owner = [], []
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner))], names=["key", "c"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -200,13 +217,15 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, block_rows:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # several rows of one doc_id: their texts are compared on their own, their ids are one node
-    profile = spool(docs.mapInArrow(functools.partial(_profiles, n=n, percent=percent), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"), "profiles")
+    profile = spool(docs.mapInArrow(functools.partial(_profiles, n=n), "doc_id long, n_shingles long, d1 long, d2 long"), "profiles")
     some = profile.where("n_shingles > 0 and doc_id is not null")
     classes = spool(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
-    keys = some.join(classes.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").select("doc_id", F.explode("keys").alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).where("hub < far").select("key", "hub")
-    stars = keys.join(shared, "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    blocks = components(stars).select(F.col("id").alias("doc_id"), F.col("component").alias("block"))
+    # the keys are many and cheap to make again: they are never stored, and only summed keys are shuffled
+    keys = docs.where("doc_id is not null").mapInArrow(functools.partial(_keys, n=n, percent=percent), "key long, c long")
+    shared = spool(keys.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("far")).where("hub < far").select("key", "hub"), "shared")
+    stars = keys.join(maybe_broadcast(shared), "key").where("c <> hub").select(F.col("c").alias("a"), F.col("hub").alias("b"))
+    blocks = components(stars).select(F.col("id").alias("d1"), F.col("component").alias("block"))
+    blocks = spool(classes.select("d1", F.col("rep").alias("doc_id")).join(maybe_broadcast(spool(blocks, "starred")), "d1").select("doc_id", "block"), "members")
     size = blocks.groupBy("block").agg(F.count("*").alias("members"))
     blocks = spool(blocks.join(size, "block").select("doc_id", "block", F.ceil(F.col("members") / block_rows).cast("int").alias("pieces")), "blocks")
     sets = docs.join(maybe_broadcast(blocks), "doc_id").mapInArrow(functools.partial(_sets, n=n), "doc_id long, block long, pieces int, grams binary")

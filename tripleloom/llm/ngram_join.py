@@ -97,18 +97,31 @@ def _profiles(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (sizes, d1, d2))], names=["doc_id", "n_shingles", "d1", "d2"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], n: int, percent: int, summed: bool) -> Iterator[pa.RecordBatch]:
+    """``key, c`` of every range of every set; ``summed`` leaves a key's least and largest class of some 2,000 sets."""
+
+    def batch_of(keys: list, owner: list) -> pa.RecordBatch:
+        k, c = np.concatenate(keys), np.concatenate(owner)
+        if summed:
+            order = np.lexsort((c, k))
+            k, c = k[order], c[order]
+            edge = np.ones(len(k) + 1, bool)
+            edge[1:-1] = k[1:] != k[:-1]
+            keep = edge[:-1] | edge[1:]
+            k, c = k[keep], c[keep]
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["key", "c"])
+
+    keys, owner = [], []
     for batch in batches:
-        keys, owner = [], []
         for s in shingle_sets(batch.column("text"), n):
             if len(s):
                 keys.append(range_keys(s, percent).view(np.int64))
                 owner.append(np.full(len(keys[-1]), _digest(s)[0], np.int64))
                 if len(keys) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner))], names=["key", "c"])
+                    yield batch_of(keys, owner)
                     keys, owner = [], []
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner))], names=["key", "c"])
+    if keys:
+        yield batch_of(keys, owner)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -220,10 +233,13 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, block_rows:
     profile = spool(docs.mapInArrow(functools.partial(_profiles, n=n), "doc_id long, n_shingles long, d1 long, d2 long"), "profiles")
     some = profile.where("n_shingles > 0 and doc_id is not null")
     classes = spool(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
-    # the keys are many and cheap to make again: they are never stored, and only summed keys are shuffled
-    keys = docs.where("doc_id is not null").mapInArrow(functools.partial(_keys, n=n, percent=percent), "key long, c long")
-    shared = spool(keys.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("far")).where("hub < far").select("key", "hub"), "shared")
-    stars = keys.join(maybe_broadcast(shared), "key").where("c <> hub").select(F.col("c").alias("a"), F.col("hub").alias("b"))
+    # the keys are many and cheap to make again: they are never stored; nearly all differ, so they are summed in the
+    # tasks that make them and go to their partition as they are, where a map-side aggregation would only spill
+    def keys(summed: bool) -> DataFrame:
+        return docs.where("doc_id is not null").mapInArrow(functools.partial(_keys, n=n, percent=percent, summed=summed), "key long, c long")
+
+    shared = spool(keys(True).repartition("key").groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("far")).where("hub < far").select("key", "hub"), "shared")
+    stars = keys(False).join(maybe_broadcast(shared), "key").where("c <> hub").select(F.col("c").alias("a"), F.col("hub").alias("b"))
     blocks = components(stars).select(F.col("id").alias("d1"), F.col("component").alias("block"))
     blocks = spool(classes.select("d1", F.col("rep").alias("doc_id")).join(maybe_broadcast(spool(blocks, "starred")), "d1").select("doc_id", "block"), "members")
     size = blocks.groupBy("block").agg(F.count("*").alias("members"))

@@ -5,7 +5,7 @@ A document's set holds the hashes of its distinct word n-grams, in one global or
 
 1. *Classes.*  Documents with equal sets fall into one class by a 128-bit digest of the set
    (aggregated before the shuffle); one representative stands for each.
-2. *Blocking without loss.*  Sets within a size level differ in at most D elements, so of D + 1
+2. *Blocking without loss.*  Sets within a size level differ in at most D elements, so of more than D
    hash ranges of the element space at least one holds the same elements in both.  A digest of
    each range is a key; classes that share a key are joined to the least class of the key
    (a star, never all pairs), and the stars' components are the blocks.
@@ -38,29 +38,37 @@ from pyspark.sql import functions as F
 from .spool import components, maybe_broadcast, spool
 from .textkit import U, mix, shingle_sets
 
-#: Hash families tried where a range is empty; the last one keeps empty ranges, so none is lost.
+#: Hash families tried where too many ranges are empty; the last one keeps empty ranges, so none is lost.
 FAMILIES = 6
 
 
 @functools.lru_cache(maxsize=8)
-def levels(percent: int, top: int = 1 << 31) -> tuple[np.ndarray, np.ndarray]:
-    """Size levels: lower borders, and ranges per level.
+def levels(percent: int, top: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size levels: lower borders, ranges per level, and how many of them may be empty.
 
     A set of level i links only with sets of levels i - 1 to i + 1.  For the pair of a set of
-    level i (at most M elements) and a larger one, the difference is at most
-    ``(n1 + n2) * (100 - percent) / (100 + percent)``."""
-    border, parts = [1], []
+    level i (at most M elements) and a larger one, the difference D is at most
+    ``(n1 + n2) * (100 - percent) / (100 + percent)``.  Of D + 1 + g ranges at least g + 1 agree, so one that
+    agrees holds elements if at most g ranges of the set are empty; g is what a set of the level rarely exceeds."""
+    border, parts, spare = [1], [], []
     while border[-1] < top:
         border.append(max(border[-1] + 1, border[-1] * 100 // percent + 1))
-    for low in border[1:]:
+    for least, low in zip(border, border[1:], strict=False):
         most = low - 1
-        parts.append((most + most * 100 // percent) * (100 - percent) // (100 + percent) + 1)
-    return np.array(border, np.int64), np.array(parts, np.int64)
+        differ, g = (most + most * 100 // percent) * (100 - percent) // (100 + percent), 0
+        while differ:
+            empty = (differ + 1 + g) * np.exp(-least / (differ + 1 + g))
+            if g >= empty + 3 * np.sqrt(empty) or g > differ:
+                break
+            g += 1 + differ // 200
+        parts.append(differ + 1 + g)
+        spare.append(g)
+    return np.array(border, np.int64), np.array(parts, np.int64), np.array(spare, np.int64)
 
 
 def range_keys(s: np.ndarray, percent: int) -> np.ndarray:
     """The blocking keys of one sorted set, for its own level and the one below."""
-    border, parts = levels(percent)
+    border, parts, spare = levels(percent)
     own = int(np.searchsorted(border, len(s), side="right")) - 1
     out = []
     with np.errstate(over="ignore"):
@@ -73,11 +81,11 @@ def range_keys(s: np.ndarray, percent: int) -> np.ndarray:
                 x = s if family == 0 else np.sort(mix(s + U(family)))
                 cut = np.concatenate([[0], np.searchsorted(x, edge), [len(x)]])
                 total = np.concatenate([np.zeros(1, U), np.cumsum(mix(x + U(77)), dtype=U)])
-                size = np.diff(cut)
+                empty = np.diff(cut) == 0
                 key = mix((total[cut[1:]] - total[cut[:-1]]) + mix(np.arange(k, dtype=U) + U((level * 8 + family) << 32)))
-                empty = size == 0
-                out.append(key if family == FAMILIES - 1 else key[~empty])
-                if not empty.any():
+                enough = int(empty.sum()) <= spare[level]
+                out.append(key if family == FAMILIES - 1 and not enough else key[~empty])
+                if enough:
                     break
     return np.concatenate(out) if out else np.zeros(0, U)
 

@@ -11,7 +11,7 @@ marginal, so the table sits in one partition (windows over it need no exchange).
 Targets: a mapping of shares per dimension, or a number: the temperature, by which a value's share is
 its token total to that power.  Values without a mapped share keep their natural share of what is left; shares are scaled to 1.
 
-A probability is the raked weight over the natural weight, scaled so that the largest is ``rate``; so
+Where no value of a dimension has a target share, the natural shares stand.  A probability is the raked weight over the natural weight, scaled so that the largest is ``rate``; so
 the expected token shares of the sample are the raked ones.
 
 Defined cases: null source, language or topic is a value of its own (``''``); null and empty texts have no
@@ -61,11 +61,12 @@ def _target(cells: DataFrame, dim: str, want: Mapping[str, float] | float) -> Da
         left = max(0.0, 1.0 - float(sum(want.values())))
         cells = cells.withColumn("_w", share)
         rest = F.sum(F.when(F.col("_w").isNull() & F.col("_first"), F.col("_n"))).over(everything)
-        cells = cells.withColumn("_w", F.coalesce("_w", F.lit(left) * F.col("_n") / rest))
+        cells = cells.withColumn("_w", F.coalesce("_w", F.try_divide(F.lit(left) * F.col("_n"), rest)))
     else:
         cells = cells.withColumn("_w", F.pow(F.col("_n").cast("double"), F.lit(float(want))))
     total = F.sum(F.when(F.col("_first"), F.col("_w"))).over(everything)
-    return cells.withColumn(f"t_{dim}", F.col("_w") / total).drop("_n", "_first", "_w")
+    natural = F.col("_n") / F.sum("n_tokens").over(everything)
+    return cells.withColumn(f"t_{dim}", F.when(total > 0, F.try_divide(F.col("_w"), total)).otherwise(natural)).drop("_n", "_first", "_w")
 
 
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], rounds: int = 12, rate: float = 1.0) -> DataFrame:
@@ -80,7 +81,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], r
     c = c.withColumn("natural", F.col("n_tokens") / F.sum("n_tokens").over(everything)).withColumn("weight", F.col("natural"))
     for _ in range(rounds):
         for dim in DIMS:
-            c = c.withColumn("weight", F.col("weight") * F.col(f"t_{dim}") / F.sum("weight").over(Window.partitionBy(dim)))
+            c = c.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"t_{dim}"), F.sum("weight").over(Window.partitionBy(dim))), F.lit(0.0)))
     c = c.withColumn("_r", F.col("weight") / F.col("natural"))
     return c.select(*DIMS, "n_docs", "n_tokens", "weight", (F.col("_r") / F.max("_r").over(everything) * F.lit(float(rate))).alias("p"))
 

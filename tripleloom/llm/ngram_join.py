@@ -7,8 +7,9 @@ A document's set holds the hashes of its distinct word n-grams, in one global or
    (aggregated before the shuffle); one representative stands for each.
 2. *Blocking without loss.*  Sets within a size level differ in at most D elements, so of more than D
    hash ranges of the element space at least one holds the same elements in both.  A digest of
-   each range is a key; classes that share a key are joined to the least class of the key
-   (a star, never all pairs), and the stars' components are the blocks.
+   each range is a key.  The keys of a chunk of documents go to their part of the key space
+   packed into one row; classes that share a key there are joined into stars, never
+   all pairs, and the stars' components are the blocks.
 3. *Prefix tree.*  The sets of a block are stored in a trie over the global order.  Each set
    walks it, sharing the overlap of common prefixes; a subtree is left when the overlap so far
    and the smaller of the two remaining lengths cannot reach the needed overlap, or when all its
@@ -105,31 +106,78 @@ def _profiles(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (sizes, d1, d2))], names=["doc_id", "n_shingles", "d1", "d2"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch], n: int, percent: int, summed: bool) -> Iterator[pa.RecordBatch]:
-    """``key, c`` of every range of every set; ``summed`` leaves a key's least and largest class of some 2,000 sets."""
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The linked ids that are not the least of their component, each with that least id."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while (differ := root[x] != root[y]).any():
+        x, y = x[differ], y[differ]
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while ((up := root[root]) != root).any():
+            root = up
+    below = root != np.arange(len(ids))
+    return ids[below], ids[root[below]]
 
-    def batch_of(keys: list, owner: list) -> pa.RecordBatch:
+
+#: Bits of a key that are compared beside those that name its part.
+KEPT_BITS = 40
+PACKED = "part int, owners binary, counts binary, low binary, high binary, a binary, b binary"
+
+
+def _packed_keys(batches: Iterator[pa.RecordBatch], n: int, percent: int, bits: int, hold: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The keys of some ``hold`` ranges at a time, packed into one row per part of the key space.
+
+    A key that several documents of the chunk share stays with the first of them; the others are
+    linked with it here, so that a key goes on once from each chunk.  A row has its documents, the number
+    of keys of each, and the keys' bits in two arrays."""
+
+    def pack(keys: list[np.ndarray], owner: list[np.ndarray]) -> pa.RecordBatch:
         k, c = np.concatenate(keys), np.concatenate(owner)
-        if summed:
-            order = np.lexsort((c, k))
-            k, c = k[order], c[order]
-            edge = np.ones(len(k) + 1, bool)
-            edge[1:-1] = k[1:] != k[:-1]
-            keep = edge[:-1] | edge[1:]
-            k, c = k[keep], c[keep]
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["key", "c"])
-
-    keys, owner = [], []
+        order = np.argsort(k, kind="stable")
+        k, c = k[order], c[order]
+        first = np.ones(len(k), bool)
+        first[1:] = k[1:] != k[:-1]
+        a, b = _stars(c[~first], c[first][np.cumsum(first) - 1][~first])
+        k, c = k[first], c[first]
+        part = (k >> U(64 - bits)).astype(np.int32) if bits else np.zeros(len(k), np.int32)
+        order = np.lexsort((c, part))
+        part, c, k = part[order], c[order], k[order] >> U(64 - bits - KEPT_BITS)
+        low, high = k.astype(np.uint32), (k >> U(32)).astype(np.uint8)
+        cut = [0, *(1 + np.flatnonzero(part[1:] != part[:-1])).tolist(), len(k)]
+        rows = []
+        for lo, hi in zip(cut, cut[1:], strict=False):
+            owners, counts = np.unique(c[lo:hi], return_counts=True)
+            links = (b"", b"") if lo else (a.tobytes(), b.tobytes())
+            rows.append((int(part[lo]), owners.tobytes(), counts.astype(np.uint32).tobytes(), low[lo:hi].tobytes(), high[lo:hi].tobytes(), *links))
+        part, *packed = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], names=["part", "owners", "counts", "low", "high", "a", "b"])
+
+    keys, owner, held = [], [], 0
     for batch in batches:
-        for s in shingle_sets(batch.column("text"), n):
-            if len(s):
-                keys.append(range_keys(s, percent).view(np.int64))
-                owner.append(np.full(len(keys[-1]), _digest(s)[0], np.int64))
-                if len(keys) >= 2000:
-                    yield batch_of(keys, owner)
-                    keys, owner = [], []
+        ids = batch.column("doc_id").to_pylist()
+        for doc_id, s in zip(ids, shingle_sets(batch.column("text"), n), strict=True):
+            k = range_keys(s, percent) if len(s) else s
+            if len(k):
+                keys.append(k)
+                owner.append(np.full(len(k), doc_id, np.int64))
+                held += len(k)
+                if held >= hold:
+                    yield pack(keys, owner)
+                    keys, owner, held = [], [], 0
     if keys:
-        yield batch_of(keys, owner)
+        yield pack(keys, owner)
+
+
+def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of the documents that share a key of one part, as stars."""
+    whole = {name: b"".join(pdf[name]) for name in ("owners", "counts", "low", "high", "a", "b")}
+    k = np.frombuffer(whole["low"], np.uint32).astype(U) | np.frombuffer(whole["high"], np.uint8).astype(U) << U(32)
+    c = np.repeat(np.frombuffer(whole["owners"], np.int64), np.frombuffer(whole["counts"], np.uint32))
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    again = np.flatnonzero(k[1:] == k[:-1])
+    a, b = _stars(np.concatenate([c[again], np.frombuffer(whole["a"], np.int64)]), np.concatenate([c[again + 1], np.frombuffer(whole["b"], np.int64)]))
+    return pd.DataFrame({"a": a, "b": b})
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -234,22 +282,22 @@ def _walk(key: tuple, pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(links_of(pdf["doc_id"].tolist(), sets, percent, sides), columns=["a", "b"], dtype="int64")
 
 
-def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, block_rows: int = 20_000) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, block_rows: int = 20_000, part_keys: int = 4_000_000) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # several rows of one doc_id: their texts are compared on their own, their ids are one node
     profile = spool(docs.mapInArrow(functools.partial(_profiles, n=n), "doc_id long, n_shingles long, d1 long, d2 long"), "profiles")
     some = profile.where("n_shingles > 0 and doc_id is not null")
     classes = spool(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
-    # the keys are many and cheap to make again: they are never stored; nearly all differ, so they are summed in the
-    # tasks that make them and go to their partition as they are, where a map-side aggregation would only spill
-    def keys(summed: bool) -> DataFrame:
-        return docs.where("doc_id is not null").mapInArrow(functools.partial(_keys, n=n, percent=percent, summed=summed), "key long, c long")
-
-    shared = spool(keys(True).repartition("key").groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("far")).where("hub < far").select("key", "hub"), "shared")
-    stars = keys(False).join(maybe_broadcast(shared), "key").where("c <> hub").select(F.col("c").alias("a"), F.col("hub").alias("b"))
-    blocks = components(stars).select(F.col("id").alias("d1"), F.col("component").alias("block"))
-    blocks = spool(classes.select("d1", F.col("rep").alias("doc_id")).join(maybe_broadcast(spool(blocks, "starred")), "d1").select("doc_id", "block"), "members")
+    # only representatives make keys; followers are the ids that represent no class
+    followers = spool(some.select("doc_id").distinct().join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "followers")
+    makers = docs.where("doc_id is not null").join(maybe_broadcast(followers), "doc_id", "left_anti")
+    # some keys for each element of a set; a part holds about ``part_keys`` and is worked on at once
+    expected = (classes.agg(F.sum("n_shingles")).first()[0] or 0) * 2 * (100 - percent) // percent
+    bits = min(24, max(4, int(expected // part_keys).bit_length()))
+    packed = makers.mapInArrow(functools.partial(_packed_keys, n=n, percent=percent, bits=bits), PACKED)
+    stars = packed.groupBy("part").applyInPandas(_meet, "a long, b long")
+    blocks = spool(components(stars).select(F.col("id").alias("doc_id"), F.col("component").alias("block")), "members")
     size = blocks.groupBy("block").agg(F.count("*").alias("members"))
     blocks = spool(blocks.join(size, "block").select("doc_id", "block", F.ceil(F.col("members") / block_rows).cast("int").alias("pieces")), "blocks")
     sets = docs.join(maybe_broadcast(blocks), "doc_id").mapInArrow(functools.partial(_sets, n=n), "doc_id long, block long, pieces int, grams binary")

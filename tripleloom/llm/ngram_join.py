@@ -10,10 +10,11 @@ A document's set holds the hashes of its distinct word n-grams, in one global or
    each range is a key.  The keys of a chunk of documents go to their part of the key space
    packed into one row; classes that share a key there are joined into stars, never
    all pairs, and the stars' components are the blocks.
-3. *Prefix tree.*  The sets of a block are stored in a trie over the global order.  Each set
-   walks it, sharing the overlap of common prefixes; a subtree is left when the overlap so far
-   and the smaller of the two remaining lengths cannot reach the needed overlap, or when all its
-   sets are known to be in the probing set's component.  Blocks over ``block_rows`` sets are cut
+3. *Prefix tree.*  The sets of a block are stored in a trie over one order of all their elements,
+   rare ones first.  A table of the elements that come early in a set leads each set to the
+   branches it can link with; it walks them, sharing the overlap of common prefixes, and leaves a
+   subtree when the overlap so far and the smaller of the two remaining lengths cannot reach the
+   needed overlap, or when its sets are known to be in the probing set's component.  Blocks over ``block_rows`` sets are cut
    into pieces and every pair of pieces walks on its own, so memory is bounded.
 4. *Components* of the links, expanded to the classes' members.
 
@@ -27,6 +28,7 @@ component (null); extra columns are ignored; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 
@@ -201,7 +203,7 @@ class Trie:
         return sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
 
     def _grow(self, lo: int, hi: int, depth: int) -> list:
-        """``[lo, hi, depth, least size, largest size, children, settled]``; all sets of the
+        """``[lo, hi, depth, least size, largest size, children]``; all sets of the
         interval share their first ``depth`` elements."""
         root: list = []
         todo = [(lo, hi, depth, root)]
@@ -211,7 +213,7 @@ class Trie:
             m = min(len(first), len(last))
             same = first[depth:m] == last[depth:m]
             shared = depth + (int(np.argmin(same)) if not same.all() else len(same))
-            node = [lo, hi, shared, int(self.size[lo:hi].min()), int(self.size[lo:hi].max()), [], hi - lo == 1]
+            node = [lo, hi, shared, int(self.size[lo:hi].min()), int(self.size[lo:hi].max()), []]
             into.append(node)
             if hi - lo <= self.BUCKET:
                 continue
@@ -219,7 +221,7 @@ class Trie:
             cuts = [lo, *(lo + 1 + np.flatnonzero(heads[1:] != heads[:-1])).tolist(), hi]
             if len(cuts) == 2:
                 continue
-            todo += [(a, b, shared, node[5]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            todo += [(a, b, shared, node[5]) for a, b in zip(cuts, cuts[1:], strict=False)][::-1]
         return root[0]
 
 
@@ -228,28 +230,59 @@ def needed(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def rare_first(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sets as sorted ranks in the order of the elements' frequency in these sets, ties by hash."""
+    flat, size = np.concatenate(sets), np.array([len(s) for s in sets])
+    values, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), U)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(values), dtype=U)
+    ranks, row = rank[at], np.repeat(np.arange(len(sets)), size)
+    return np.split(ranks[np.lexsort((ranks, row))], np.cumsum(size)[:-1])
+
+
+class Heads:
+    """The trie's table from an element to the sets that hold it so early that enough may follow.
+
+    Sets that link share an element among the first ``n - ceil(percent * n / 100) + 1`` of each: else
+    the elements left are too few."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.first = [s[: len(s) - -(-percent * len(s) // 100) + 1] for s in sets]
+        element = np.concatenate(self.first).astype(np.int64)
+        owner = np.repeat(np.arange(len(sets)), [len(f) for f in self.first])
+        self.owner = owner[np.argsort(element, kind="stable")]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(element))])
+
+    def near(self, i: int) -> np.ndarray:
+        """The sets that share an early element with set i, ascending."""
+        lists = [self.owner[self.start[e] : self.start[e + 1]] for e in self.first[i].astype(np.int64)]
+        return np.unique(np.concatenate([x for x in lists if len(x) > 1] or [np.zeros(0, np.int64)]))
+
+
 def links_of(ids: list[int], sets: list[np.ndarray], percent: int, sides: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect exactly the sets that a chain of links connects.
 
     With ``sides`` (a piece number per set) only pairs from different pieces are looked at."""
+    sets = rare_first(sets)
     order = Trie.order(sets)
     ids, sets = [ids[i] for i in order], [sets[i] for i in order]
     side = None if sides is None else np.array([sides[i] for i in order])
-    tree = Trie(sets)
+    tree, heads = Trie(sets), Heads(sets, percent)
     comp = np.arange(len(sets))
     found: list[tuple[int, int]] = []
-    for i in np.lexsort((np.arange(len(sets)), tree.size)).tolist():
+    turn = np.lexsort((np.arange(len(sets)), tree.size))
+    place = np.argsort(turn)
+    for i in turn.tolist():
         x, nx = sets[i], len(sets[i])
-        todo = [(tree.root, 0, 0, 0)]
+        near = heads.near(i)
+        # a pair is looked at once, from its larger set
+        near = near[(place[near] < place[i]) & (comp[near] != comp[i]) & (tree.size[near] * 100 >= nx * percent)]
+        if side is not None:
+            near = near[side[near] != side[i]]
+        todo = [(tree.root, 0, 0, 0, near.tolist())] if len(near) else []
         while todo:
-            node, depth, at, overlap = todo.pop()
-            lo, hi, below, least, most, children, settled = node
-            if settled or (comp[lo:hi] == comp[lo]).all():
-                node[6] = True
-                if comp[lo] == comp[i]:
-                    continue
-            if least * percent > nx * 100 or nx * percent > most * 100:
-                continue
+            node, depth, at, overlap, left = todo.pop()
+            lo, _, below, least, most, children = node
             if below > depth:  # the elements that the whole subtree shares
                 step = sets[lo][depth:below]
                 spot = np.searchsorted(x[at:], step)
@@ -258,10 +291,15 @@ def links_of(ids: list[int], sets: list[np.ndarray], percent: int, sides: list[i
             if overlap + min(nx - at, most - below) < needed(nx, max(least, -(-nx * percent // 100)), percent):
                 continue
             if children:
-                todo += [(child, below, at, overlap) for child in children]
+                cut = 0
+                while cut < len(left):
+                    child = children[bisect.bisect_right(children, left[cut], key=lambda c: c[0]) - 1]
+                    end = bisect.bisect_left(left, child[1], cut)
+                    todo.append((child, below, at, overlap, left[cut:end]))
+                    cut = end
                 continue
-            for j in range(lo, hi):
-                if comp[j] == comp[i] or side is not None and side[j] == side[i]:
+            for j in left:
+                if comp[j] == comp[i]:
                     continue
                 rest = sets[j][below:]
                 want = needed(nx, len(sets[j]), percent) - overlap

@@ -255,8 +255,22 @@ class Heads:
 
     def near(self, i: int) -> np.ndarray:
         """The sets that share an early element with set i, ascending."""
-        lists = [self.owner[self.start[e] : self.start[e + 1]] for e in self.first[i].astype(np.int64)]
-        return np.unique(np.concatenate([x for x in lists if len(x) > 1] or [np.zeros(0, np.int64)]))
+        seen = np.zeros(len(self.first), bool)
+        e = self.first[i].astype(np.int64)
+        lo, hi = self.start[e], self.start[e + 1]
+        for a, b in zip(lo[hi - lo > 1].tolist(), hi[hi - lo > 1].tolist(), strict=True):
+            seen[self.owner[a:b]] = True
+        return np.flatnonzero(seen)
+
+
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """1,024 bits a set: whether a bin holds an odd number of its elements.
+
+    Two sets differ in at least as many elements as their bits differ, so a bound on these loses no link."""
+    bits = np.zeros((len(sets), 1024), np.uint8)
+    for i, s in enumerate(sets):
+        bits[i] = np.bincount((mix(s) >> U(54)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(bits, axis=1).view(U)
 
 
 def links_of(ids: list[int], sets: list[np.ndarray], percent: int, sides: list[int] | None = None) -> list[tuple[int, int]]:
@@ -267,7 +281,7 @@ def links_of(ids: list[int], sets: list[np.ndarray], percent: int, sides: list[i
     order = Trie.order(sets)
     ids, sets = [ids[i] for i in order], [sets[i] for i in order]
     side = None if sides is None else np.array([sides[i] for i in order])
-    tree, heads = Trie(sets), Heads(sets, percent)
+    tree, heads, odd = Trie(sets), Heads(sets, percent), parities(sets)
     comp = np.arange(len(sets))
     found: list[tuple[int, int]] = []
     turn = np.lexsort((np.arange(len(sets)), tree.size))
@@ -279,6 +293,8 @@ def links_of(ids: list[int], sets: list[np.ndarray], percent: int, sides: list[i
         near = near[(place[near] < place[i]) & (comp[near] != comp[i]) & (tree.size[near] * 100 >= nx * percent)]
         if side is not None:
             near = near[side[near] != side[i]]
+        total = nx + tree.size[near]
+        near = near[np.bitwise_count(odd[near] ^ odd[i]).sum(axis=1) <= total - 2 * needed(total, 0, percent)]
         todo = [(tree.root, 0, 0, 0, near.tolist())] if len(near) else []
         while todo:
             node, depth, at, overlap, left = todo.pop()

@@ -7,7 +7,7 @@ does not depend on whether the earlier one stays itself, so the decision is a jo
 1. *Equal lines* meet by a 128-bit hash, aggregated before the shuffle: only the earliest place is left.
 2. *Sieve, without loss.*  A line is cut into parts (4; more for very long lines).  One edit
    leaves all parts but one, so near lines share a key of "everything but part j".  Only lines that share one with a
-   different line go on, each with the middle that the key leaves out.
+   different line go on, each with the middle that the key leaves out, read from its first place.
 3. *Deletion neighbourhoods* of the middles, as hashed keys.  Lines with the same middle less character p
    are one replacement apart; a line whose middle less one character is another's whole middle is one insertion
    apart.  Each key is aggregated to its earliest line and joined back: a star for each key, no
@@ -35,6 +35,8 @@ from .textkit import U, mix
 GRAIN, PARTS, LONG, LONG_PART = 16, 4, 2048, 512
 _STEP = 1 << 20
 LAST = (1 << 63) - 1
+#: Counted lines of the sieve's outcome (64 bytes each) that are broadcast at most; beyond it the join shuffles.
+WANTED_ROWS = 250_000
 
 
 def _odd_inverse(b: int) -> int:
@@ -98,45 +100,49 @@ def line_table(texts: list[str | None], min_chars: int) -> dict[str, np.ndarray
 def _tables(batches: Iterator[pa.RecordBatch], min_chars: int):
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
         at = 0
         while at < len(texts):
             end, size = at, 0
             while end < len(texts) and (end == at or size < _STEP):
                 size += len(texts[end] or "")
                 end += 1
-            t = line_table(texts[at:end], min_chars)
-            yield ids[at:end], t
+            yield ids[at:end], tags[at:end], line_table(texts[at:end], min_chars)
             at = end
 
 
-def _batch(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v) if isinstance(v, np.ndarray) else v for v in columns.values()], names=list(columns))
+def _key_lists(t: dict) -> pa.ListArray:
+    """Per line its sieve keys with what each leaves of the line on both sides."""
+    order = np.argsort(t["of"], kind="stable")
+    left, right = t["cut"][order].T.astype(np.int32)
+    keys = pa.StructArray.from_arrays([pa.array(t["key"][order]), pa.array(left), pa.array(right)], names=["key", "left", "right"])
+    ends = np.cumsum(np.bincount(t["of"], minlength=len(t["row"])))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), keys)
 
 
 def staying_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     """``doc_id, kept``: per document with long enough lines the numbers of those that stay (null doc_id: 2^63 - 1)."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-
-    def keys(batches):
-        for ids, t in _tables(batches, min_chars):
-            yield _batch(key=t["key"], h1=t["h1"][t["of"]])
-
-    def places(batches):
-        for ids, t in _tables(batches, min_chars):
-            yield _batch(h1=t["h1"], h2=t["h2"], doc_id=ids[t["row"]], number=t["number"])
-
-    def middles(batches):
-        for ids, t in _tables(batches, min_chars):
-            i, c = t["of"], t["cut"]
-            yield _batch(key=t["key"], h1=t["h1"][i], h2=t["h2"][i], doc_id=ids[t["row"]][i], number=t["number"][i], left=c[:, 0], right=c[:, 1], line=pa.array([t["text"][k] for k in i.tolist()], pa.string()))
-
-    first = d.mapInArrow(places, "h1 long, h2 long, doc_id long, number long").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "number")).alias("at"))
-    first = spool(first.select("h1", "h2", "at"), "first_lines")
-    shared = d.mapInArrow(keys, "key long, h1 long").groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("key")
+    d = d.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+
+    def lines(batches):
+        for ids, tags, t in _tables(batches, min_chars):
+            columns = [pa.array(v) for v in (t["h1"], t["h2"], ids[t["row"]], t["number"], tags[t["row"]])]
+            yield pa.RecordBatch.from_arrays([*columns, _key_lists(t)], names=["h1", "h2", "doc_id", "number", "tag", "keys"])
+
+    # the keys of equal lines are equal, so each line's first place is enough from here on
+    first = d.mapInArrow(lines, "h1 long, h2 long, doc_id long, number long, tag long, keys array<struct<key: long, left: int, right: int>>")
+    first = first.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "number", "tag")).alias("p"), F.first("keys").alias("keys"))
+    first = spool(first.select("h1", "h2", F.struct("p.doc_id", "p.number").alias("at"), "p.tag", "keys"), "first_lines")
+    shared = first.select("h1", F.explode("keys.key").alias("key")).groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("key")
     shared = maybe_broadcast(spool(shared, "shared_keys"))
-    met = d.mapInArrow(middles, "key long, h1 long, h2 long, doc_id long, number long, left long, right long, line string").join(shared, "key", "left_semi")
-    met = met.select("key", "h1", "h2", F.struct("doc_id", "number").alias("at"), F.expr("substring(line, int(left) + 1, length(line) - int(left) - int(right))").alias("middle"))
+    wanted = first.select("h1", "h2", "at", "tag", F.inline("keys")).join(shared, "key", "left_semi")
+    wanted = spool(wanted.select(F.col("at.doc_id").alias("doc_id"), "tag", F.col("at.number").alias("number"), "h1", "h2", "key", "left", "right"), "wanted_lines")
+    n = wanted.count()
+    source = d.select("doc_id", "tag", F.posexplode(F.split("text", "\n", -1)).alias("number", "line")).where(F.length("line") >= min_chars).withColumn("number", F.col("number").cast("long"))
+    met = source.join(F.broadcast(wanted) if n <= WANTED_ROWS else wanted, ["doc_id", "tag", "number"])
+    met = met.select("key", "h1", "h2", F.struct("doc_id", "number").alias("at"), F.expr("substring(line, left + 1, length(line) - left - right)").alias("middle"))
+    # rows that repeat a document bring its lines again
     met = spool(met.groupBy("key", "h1", "h2").agg(F.min("at").alias("at"), F.min("middle").alias("middle")), "middles")
 
     spot = F.sequence(F.lit(1), F.length("middle"))
@@ -158,7 +164,7 @@ def staying_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     other = met.select("key", F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("middle").alias("m2"))
     near_ones = pairs.join(text, ["key", "h1", "h2"]).join(other, ["key", "o1", "o2"]).where(F.levenshtein("middle", "m2", 1).between(0, 1))
     gone = maybe_broadcast(spool(near_ones.select("h1", "h2").distinct(), "near_lines"))
-    stay = first.join(gone, ["h1", "h2"], "left_anti")
+    stay = first.select("h1", "h2", "at").join(gone, ["h1", "h2"], "left_anti")
     return stay.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.array_sort(F.collect_list("at.number")).alias("kept"))
 
 

@@ -132,6 +132,15 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(odd, m).where("score between 0 and 1").count() == len(ODD) and toxicity.score(none, m).count() == 0
 
 
+def test_toxicity_punctuation_and_mostly_signs(spark):
+    m = toxicity.char_model(queries.table(spark, "/root/testdata/sf0.01", "documents"))
+    for token, word in (("1d10t.", "idiot."), ("1d10t,", "idiot,"), ('"1d10t"', '"idiot"'), ("(1d10t)!", "(idiot)!"), ("1d107", "idiot"), ("57up1d", "stupid"), ("1d1" + "o" * 100 + "t.", "idiot."), ("1d10t/" * 40, "idiot/" * 40)):
+        assert toxicity.restored([token], m) == [word]
+    assert toxicity.restored(["4th h264 f91f2b873bc89b9c5b86adf32c8523be758, б1д"], m) == ["4th h264 f91f2b873bc89b9c5b86adf32c8523be758, б1д"]
+    long = "1d10t" * 400
+    assert not set(toxicity.restored([long], m)[0]) & set("10") and len(toxicity.restored([long], m)[0]) == len(long)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, u in ((0, 1), (1, 1), (5, 5), (3000, 10**6), (700, 700)):

@@ -4,7 +4,8 @@
    tasks): what is gathered grows with the corpus, the model does not.
 2. *Channel.*  Tokens that look tampered with (signs for letters, letters set apart, letters
    repeated three times and more) become lattices: each sign may stand for the letters that it imitates, separators
-   and repetitions may be noise.  Viterbi finds the likeliest letters under the language model.
+   and repetitions may be noise.  Viterbi finds the likeliest letters under the language model, and they stand
+   if they cost less than the unchanged signs; neither a token's length nor its share of letters keeps it out.
 3. *Scoring.*  Logistic regression over word units (whole words and word starts of 3 to 6 letters) of the
    restored text.  Units are chosen by their G2 against the labels.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +48,15 @@ SIGNS = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
 _SEPARATORS = " .-_*~"
+#: Fee of a sign that is read as a letter, and of one that stays a sign (none for punctuation at the ends).
+IMITATES, STAYS = 0.7, 3.0
+#: Characters after which the readings of a span are cut back to what they differ in.
+STRETCH = 128
 _SIGN = np.zeros(0x10000, bool)
 _SIGN[[ord(c) for c in SIGNS]] = True
 _LOUD = np.zeros(0x10000, bool)
-_LOUD[[ord(c) for c in "!|+("]] = True
+_LOUD_SIGNS = "!|+("
+_LOUD[[ord(c) for c in _LOUD_SIGNS]] = True
 _SEP = np.zeros(0x10000, bool)
 _SEP[[ord(c) for c in _SEPARATORS]] = True
 _BLANK = np.zeros(0x10000, bool)
@@ -91,40 +98,63 @@ class CharModel:
         return cls((-np.log(tri)).astype(np.float32))
 
     def restore(self, span: str) -> str:
-        """The likeliest letters behind a tampered span (blanks between words, no other signs)."""
+        """The likeliest reading of a tampered span; what it has no letters for stays as it is."""
+        low = span.lower()
+        ways = [self._read(low, False)]
+        if any(c in SIGNS for c in low):
+            ways.append(self._read(low, True))
+        return min(ways)[1].strip()
+
+    def _read(self, low: str, as_is: bool) -> tuple[float, str]:
+        """Cost and letters of the best reading, ``as_is`` with every sign left a sign."""
         beams = {(0, 0): (0.0, "")}
+        done: list[str] = []
         prev = ""
-        low = span.lower()
+        inner = range(len(low) - len(low.lstrip("(")), len(low.rstrip(_LOUD_SIGNS)))
         apart = all(c in _SEPARATORS for c in low[1::2]) and len(low) > 4
         drawn = any(x == y == z for x, y, z in zip(low, low[1:], low[2:], strict=False))  # stretched words repeat at will
-        for ch in low:
+        for at, ch in enumerate(low):
+            if at and at % STRETCH == 0:
+                beams = _settled(beams, done)
             nxt: dict[tuple[int, int], tuple[float, str]] = {}
             options: list[tuple[str, float]] = []
             if ch in _NUMBER:
                 options.append((ch, 0.0))
-            for s in SIGNS.get(ch, ""):
-                options.append((s, 0.7))
+            if ch in SIGNS and not as_is:
+                options += [(s, IMITATES) for s in SIGNS[ch]]
+            if ch in SIGNS and (as_is or at not in inner):
+                options.append((ch, STAYS if at in inner else 0.0))
             if drawn and ch == prev:
                 options.append(("", 0.4))
             if ch in _SEPARATORS:
-                options += [("", 0.3 if apart else 2.0), (" ", 1.0)]
+                options += [("", 0.3 if apart else 2.0), (" " if apart else ch, 1.0)]
             if not options:
-                options = [(" ", 0.5)]
+                options = [(ch, 0.0)]
             for (a, b), (cost, out) in beams.items():
                 for letter, fee in options:
                     if not letter:
                         key, total, text = (a, b), cost + fee, out
                     else:
                         k = _NUMBER.get(letter, 0)
-                        if k == 0 and b == 0:
-                            key, total, text = (a, b), cost + fee, out
+                        if b == 0 and k == 0 and (letter == " " or at not in inner):
+                            key, total, text = (a, b), cost + fee, out if letter == " " else out + letter
                         else:
                             key, total, text = (b, k), cost + fee + float(self.cost[a, b, k]), out + letter
                     if key not in nxt or total < nxt[key][0]:
                         nxt[key] = (total, text)
             beams, prev = nxt, ch
-        ended = ((cost + float(self.cost[a, b, 0]), out) for (a, b), (cost, out) in beams.items())
-        return min(ended)[1].strip()
+        cost, out = min((cost + (float(self.cost[a, b, 0]) if b else 0.0), out) for (a, b), (cost, out) in beams.items())
+        return cost, "".join(done) + out
+
+
+def _settled(beams: dict, done: list[str]) -> dict:
+    """``beams`` without their common beginning, which goes to ``done``; far apart, only the best is left."""
+    same = commonprefix([out for _, out in beams.values()])
+    if max(len(out) for _, out in beams.values()) - len(same) > 2 * STRETCH:
+        beams = dict([min(beams.items(), key=lambda x: x[1])])
+        same = next(iter(beams.values()))[1]
+    done.append(same)
+    return {k: (cost, out[len(same) :]) for k, (cost, out) in beams.items()}
 
 
 def tampered(texts: list[str]) -> dict[int, list[tuple[int, int]]]:
@@ -146,13 +176,14 @@ def tampered(texts: list[str]) -> dict[int, list[tuple[int, int]]]:
     chain = np.zeros(n, bool)
     chain[:-6] = single[:-6] & sep[1:-5] & single[2:-4] & sep[3:-3] & single[4:-2] & sep[5:-1] & single[6:]
     out: dict[int, list[tuple[int, int]]] = {}
-    edge = np.flatnonzero(blank)
+    edge = np.flatnonzero(~(letter | sign | sep) | blank)
     at = np.flatnonzero(hit)
     for tok in np.unique(np.searchsorted(edge, at)).tolist() if len(at) else ():
         a, b = (int(edge[tok - 1]) + 1 if tok else 0), int(edge[tok])
-        if b - a <= 64 and int(letter[a:b].sum()) * 5 >= (b - a) * 2 and int(letter[a:b].sum()) >= 2:
-            r = int(np.searchsorted(bounds, a, side="right")) - 1
-            out.setdefault(r, []).append((a - int(bounds[r]), b - int(bounds[r])))
+        core = np.flatnonzero(letter[a:b] | sign[a:b])  # without the punctuation around it
+        a, b = a + int(core[0]), a + int(core[-1]) + 1
+        r = int(np.searchsorted(bounds, a, side="right")) - 1
+        out.setdefault(r, []).append((a - int(bounds[r]), b - int(bounds[r])))
     last = -1
     for a in np.flatnonzero(chain).tolist():
         if a < last:
@@ -170,12 +201,15 @@ def tampered(texts: list[str]) -> dict[int, list[tuple[int, int]]]:
 def restored(texts: list[str], model: CharModel) -> list[str]:
     """The texts with tampered spans read as the letters behind them."""
     out = list(texts)
+    known: dict[str, str] = {}
     for r, spans in tampered(texts).items():
         t, parts, at = texts[r], [], 0
         for a, b in sorted(spans):
             if a < at:
                 continue
-            parts += [t[at:a], model.restore(t[a:b])]
+            if (span := t[a:b]) not in known:
+                known[span] = model.restore(span)
+            parts += [t[at:a], known[span]]
             at = b
         out[r] = "".join([*parts, t[at:]])
     return out

@@ -102,6 +102,29 @@ def test_line_dedup(spark, none, odd):
     assert line_dedup.dedup_lines(none).count() == 0 and line_dedup.dedup_lines(odd).columns[: len(odd.columns)] == odd.columns
 
 
+def test_line_dedup_short_lines(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    texts = ["\n".join("".join(rng.choice(list("abcé"), int(rng.integers(0, 7)))) + "xyz" * int(rng.integers(0, 7)) for _ in range(12)) for _ in range(25)] + ["Les.\n \n\t\n\n \nLes.", "Les", "Les.\r"]
+    want, lines = {}, []
+
+    def near(a, b):
+        a, b = sorted((a, b), key=len)
+        k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+        return len(b) - len(a) < 2 and (a[k:] == b[k + 1 :] if len(a) < len(b) else a[k + 1 :] == b[k + 1 :])
+
+    for i, t in enumerate(texts):
+        left = []
+        for line in t.split("\n"):
+            if not line.strip() or not any(near(line, x) for x in lines):
+                left.append(line)
+            if line.strip():
+                lines.append(line)
+        want[i] = (len(t.split("\n")) if t else 0, len(left) if t else 0, zlib.crc32("\n".join(left).encode()))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["n_kept"], r["text_crc32"]) for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == want and sum(x[1] for x in want.values()) < sum(x[0] for x in want.values()) - 50
+
+
 def test_language_id(spark, odd, none):
     d = queries.table(spark, "/root/testdata/sf0.01", "documents")
     m = language_id.train(d)

@@ -5,16 +5,18 @@ other.  A line goes when any earlier line of the corpus, by (doc_id, line number
 does not depend on whether the earlier one stays itself, so the decision is a join and not a chain.
 
 1. *Equal lines* meet by a 128-bit hash, aggregated before the shuffle: only the earliest place is left.
-2. *Sieve, without loss.*  A line is cut into parts (4; more for very long lines).  One edit
+2. *Sieve, without loss.*  A line of more than 16 characters is cut into parts (4; more for very long lines).  One edit
    leaves all parts but one, so near lines share a key of "everything but part j".  Only lines that share one with a
-   different line go on, each with the middle that the key leaves out, read from its first place.
+   different line go on, each with the middle that the key leaves out, read from its first place.  Lines of up to 16
+   characters need no sieve: they go on whole, as the middle of a key of their own.
 3. *Deletion neighbourhoods* of the middles, as hashed keys.  Lines with the same middle less character p
    are one replacement apart; a line whose middle less one character is another's whole middle is one insertion
    apart.  Each key is aggregated to its earliest line and joined back: a star for each key, no
    pairs within a key.
 4. The edit distance of each line and the earlier line that it met is verified on the characters.
 
-Lines under ``min_chars`` characters (blank ones too) are layout rather than content and always stay.
+Blank lines are layout rather than content and always stay; so do lines under ``min_chars`` characters (1 in op10:
+all others are compared).
 
 Defined cases: a null text stays null and has no lines; null doc_ids come after all others and are one document;
 rows that repeat a doc_id with an equal text are one document (each row gets the same result), with different texts
@@ -35,6 +37,8 @@ from .textkit import U, mix
 GRAIN, PARTS, LONG, LONG_PART = 16, 4, 2048, 512
 _STEP = 1 << 20
 LAST = (1 << 63) - 1
+#: A line of nothing else is blank.
+BLANKS = " \t\x0b\x0c\r"
 #: Counted lines of the sieve's outcome (64 bytes each) that are broadcast at most; beyond it the join shuffles.
 WANTED_ROWS = 250_000
 
@@ -54,19 +58,19 @@ def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def parts_of(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For a shorter length ``m``: the rounded length and the number of parts."""
+    """For a shorter length ``m``: the rounded length and the number of parts, none under GRAIN."""
     q = m - m % GRAIN
-    return q, np.where(q < LONG, PARTS, q // LONG_PART)
+    return q, np.where(q < LONG, np.where(q < GRAIN, 0, PARTS), q // LONG_PART)
 
 
 def line_table(texts: list[str | None], min_chars: int) -> dict[str, np.ndarray | list]:
-    """Of the lines of at least ``min_chars`` characters: text row, line number, bounds, two hashes,
+    """Of the lines of at least ``min_chars`` characters that are not blank: text row, line number, bounds, two hashes,
     and the sieve keys with their line, rounded length and part."""
     rows, numbers, joined, start = [], [], [], []
     at = 0
     for r, t in enumerate(texts):
         for n, line in enumerate(t.split("\n") if t else ()):
-            if len(line) >= min_chars:
+            if len(line) >= min_chars and line.strip(BLANKS):
                 rows.append(r)
                 numbers.append(n)
                 joined.append(line)
@@ -128,12 +132,13 @@ def staying_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     def lines(batches):
         for ids, tags, t in _tables(batches, min_chars):
             columns = [pa.array(v) for v in (t["h1"], t["h2"], ids[t["row"]], t["number"], tags[t["row"]])]
-            yield pa.RecordBatch.from_arrays([*columns, _key_lists(t)], names=["h1", "h2", "doc_id", "number", "tag", "keys"])
+            brief = pa.array([line if len(line) <= GRAIN else None for line in t["text"]], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, brief, _key_lists(t)], names=["h1", "h2", "doc_id", "number", "tag", "brief", "keys"])
 
     # the keys of equal lines are equal, so each line's first place is enough from here on
-    first = d.mapInArrow(lines, "h1 long, h2 long, doc_id long, number long, tag long, keys array<struct<key: long, left: int, right: int>>")
-    first = first.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "number", "tag")).alias("p"), F.first("keys").alias("keys"))
-    first = spool(first.select("h1", "h2", F.struct("p.doc_id", "p.number").alias("at"), "p.tag", "keys"), "first_lines")
+    first = d.mapInArrow(lines, "h1 long, h2 long, doc_id long, number long, tag long, brief string, keys array<struct<key: long, left: int, right: int>>")
+    first = first.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "number", "tag")).alias("p"), F.first("brief").alias("brief"), F.first("keys").alias("keys"))
+    first = spool(first.select("h1", "h2", F.struct("p.doc_id", "p.number").alias("at"), "p.tag", "brief", "keys"), "first_lines")
     shared = first.select("h1", F.explode("keys.key").alias("key")).groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("key")
     shared = maybe_broadcast(spool(shared, "shared_keys"))
     wanted = first.select("h1", "h2", "at", "tag", F.inline("keys")).join(shared, "key", "left_semi")
@@ -143,7 +148,9 @@ def staying_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     met = source.join(F.broadcast(wanted) if n <= WANTED_ROWS else wanted, ["doc_id", "tag", "number"])
     met = met.select("key", "h1", "h2", F.struct("doc_id", "number").alias("at"), F.expr("substring(line, left + 1, length(line) - left - right)").alias("middle"))
     # rows that repeat a document bring its lines again
-    met = spool(met.groupBy("key", "h1", "h2").agg(F.min("at").alias("at"), F.min("middle").alias("middle")), "middles")
+    met = met.groupBy("key", "h1", "h2").agg(F.min("at").alias("at"), F.min("middle").alias("middle"))
+    short = first.where("brief is not null").select(F.lit(0).cast("long").alias("key"), "h1", "h2", "at", F.col("brief").alias("middle"))
+    met = spool(met.unionByName(short), "middles")
 
     spot = F.sequence(F.lit(1), F.length("middle"))
     less = lambda p: F.concat(F.substring("middle", F.lit(1), p - 1), F.substring("middle", p + 1, F.length("middle")))
@@ -173,7 +180,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     keep = staying_lines(docs, min_chars).select(F.col("doc_id").alias("_key"), F.col("kept").alias("_kept"))
     d = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
     d = d.join(keep, d["_id"] == keep["_key"], "left").withColumn("_all", F.split(F.col("text").cast("string"), "\n", -1))
-    left = F.filter("_all", lambda line, n: (F.length(line) < min_chars) | F.array_contains(F.coalesce("_kept", F.array().cast("array<long>")), n.cast("long")))
+    left = F.filter("_all", lambda line, n: (F.length(line) < min_chars) | (F.trim(line, F.lit(BLANKS)) == "") | F.array_contains(F.coalesce("_kept", F.array().cast("array<long>")), n.cast("long")))
     d = d.withColumn("_stay", left)
     count = lambda c: F.when(F.coalesce(F.col("text"), F.lit("")) == "", 0).otherwise(F.size(c)).cast("long")
     out = [F.array_join("_stay", "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]

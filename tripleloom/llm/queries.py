@@ -73,7 +73,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=1)
     return d.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_kept_lines").alias("n_kept"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
 
 

@@ -164,6 +164,24 @@ def test_toxicity_punctuation_and_mostly_signs(spark):
     assert not set(toxicity.restored([long], m)[0]) & set("10") and len(toxicity.restored([long], m)[0]) == len(long)
 
 
+#: Kind of spacing, text, what it should be read as, whether it is toxic (None: the model of sf0.01 does not know the plain word either).
+SPACED = [
+    ("signs set apart", "you 1 d 1 0 t now", "you idiot now", 1), ("signs set apart", "so ! d ! 0 t", "so idiot", 1), ("signs set apart", "the 1 2 3 4 of", "the 1 2 3 4 of", 0),
+    ("three letters", "you a s s now", "you ass now", None), ("runs of separators", "you i - d - i - o - t now", "you idiot now", 1), ("runs of separators", "s  t  u  p  i  d", "stupid", None),
+    ("within a word", "you id-iot", "you idiot", 1), ("within a word", "you id.iot!", "you idiot!", 1), ("within a word", "st--upid", "stupid", None), ("within a word", "that-there the.of", "that-there the.of", 0),
+    ("asterisks", "you id*ot", "you idot idiot", 1), ("asterisks", "a st**id", "a st**id stupid", None), ("ends", '"i d i o t!"', '"idiot!"', 1), ("longer runs part words", "y o u  i d i o t", "you  idiot", 1),
+    ("long", "i d i o t  " * 200, ("idiot  " * 200).strip() + "  ", 1), ("not a chain", "well, 7 | 5 of 3 - 4", "well, 7 | 5 of 3 - 4", 0),
+]
+
+
+def test_toxicity_spacing(spark):
+    d, y = (queries.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    m = toxicity.train(d, y)
+    for kind, text, read, toxic in SPACED:
+        assert toxicity.restored([text], m.chars) == [read], kind
+        assert m.score([text])[0] == m.score([read])[0] and (toxic is None or (m.score([text])[0] >= 0.3) == toxic), kind
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, u in ((0, 1), (1, 1), (5, 5), (3000, 10**6), (700, 700)):

@@ -2,9 +2,10 @@
 
 1. *Character language model.*  Trigram counts over the letters of every document (summed per task, then over
    tasks): what is gathered grows with the corpus, the model does not.
-2. *Channel.*  Tokens that look tampered with (signs for letters, letters set apart, letters
-   repeated three times and more) become lattices: each sign may stand for the letters that it imitates, separators
-   and repetitions may be noise.  Viterbi finds the likeliest letters under the language model, and they stand
+2. *Channel.*  What looks tampered with becomes a lattice: tokens with signs for letters, with letters repeated three times
+   and more or with separators between letters, and chains of three and more letters and signs (one letter at least) set apart
+   by any separators.  Each sign may stand for the letters that it imitates, separators and repetitions may be noise; one or two
+   asterisks in a token may also stand for any letters, and then both readings are scored.  Viterbi finds the likeliest letters under the language model, and they stand
    if they cost less than the unchanged signs; neither a token's length nor its share of letters keeps it out.
 3. *Scoring.*  Logistic regression over word units (whole words and word starts of 3 to 6 letters) of the
    restored text.  Units are chosen by their G2 against the labels.
@@ -18,6 +19,7 @@ only the score is that class's smoothed rate, with none 0; several labels of a d
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from os.path import commonprefix
@@ -52,6 +54,11 @@ _SEPARATORS = " .-_*~"
 IMITATES, STAYS = 0.7, 3.0
 #: Characters after which the readings of a span are cut back to what they differ in.
 STRETCH = 128
+_PARTS = re.compile(f"[{re.escape(_SEPARATORS)}]+|[^{re.escape(_SEPARATORS)}]+")
+#: Fee of separators as noise, in a chain and in a token, and as a word boundary, in a chain and in a token.
+NOISE, PART = (0.3, 2.0), (2.0, 1.0)
+#: Letters behind asterisks, and the fee of each.
+_ANY, MASKED = "abcdefghijklmnopqrstuvwxyz", 0.7
 _SIGN = np.zeros(0x10000, bool)
 _SIGN[[ord(c) for c in SIGNS]] = True
 _LOUD = np.zeros(0x10000, bool)
@@ -100,21 +107,19 @@ class CharModel:
     def restore(self, span: str) -> str:
         """The likeliest reading of a tampered span; what it has no letters for stays as it is."""
         low = span.lower()
-        ways = [self._read(low, False)]
-        if any(c in SIGNS for c in low):
-            ways.append(self._read(low, True))
-        return min(ways)[1].strip()
+        signs = (False, True) if any(c in SIGNS for c in low) else (False,)
+        best = [min(self._read(low, as_is, masked) for as_is in signs)[1].strip() for masked in ((False, True) if "*" in low else (False,))]
+        return " ".join(dict.fromkeys(best))  # asterisks can be noise or letters: both readings count
 
-    def _read(self, low: str, as_is: bool) -> tuple[float, str]:
+    def _read(self, low: str, as_is: bool, masked: bool) -> tuple[float, str]:
         """Cost and letters of the best reading, ``as_is`` with every sign left a sign."""
         beams = {(0, 0): (0.0, "")}
         done: list[str] = []
         prev = ""
         inner = range(len(low) - len(low.lstrip("(")), len(low.rstrip(_LOUD_SIGNS)))
-        apart = all(c in _SEPARATORS for c in low[1::2]) and len(low) > 4
         drawn = any(x == y == z for x, y, z in zip(low, low[1:], low[2:], strict=False))  # stretched words repeat at will
-        for at, ch in enumerate(low):
-            if at and at % STRETCH == 0:
+        for n, (at, ch, fee) in enumerate(_steps(low, masked)):
+            if n and n % STRETCH == 0:
                 beams = _settled(beams, done)
             nxt: dict[tuple[int, int], tuple[float, str]] = {}
             options: list[tuple[str, float]] = []
@@ -126,8 +131,10 @@ class CharModel:
                 options.append((ch, STAYS if at in inner else 0.0))
             if drawn and ch == prev:
                 options.append(("", 0.4))
-            if ch in _SEPARATORS:
-                options += [("", 0.3 if apart else 2.0), (" " if apart else ch, 1.0)]
+            if fee is not None:
+                options += [("", fee), (ch, PART[NOISE.index(fee)])]
+            elif ch == "*":
+                options += [(ch, PART[1]), *((x, MASKED) for x in _ANY)]
             if not options:
                 options = [(ch, 0.0)]
             for (a, b), (cost, out) in beams.items():
@@ -136,8 +143,8 @@ class CharModel:
                         key, total, text = (a, b), cost + fee, out
                     else:
                         k = _NUMBER.get(letter, 0)
-                        if b == 0 and k == 0 and (letter == " " or at not in inner):
-                            key, total, text = (a, b), cost + fee, out if letter == " " else out + letter
+                        if b == 0 and k == 0 and (letter[0] in _SEPARATORS or at not in inner):
+                            key, total, text = (a, b), cost + fee, out + letter
                         else:
                             key, total, text = (b, k), cost + fee + float(self.cost[a, b, k]), out + letter
                     if key not in nxt or total < nxt[key][0]:
@@ -147,6 +154,25 @@ class CharModel:
         return cost, "".join(done) + out
 
 
+def _steps(low: str, masked: bool) -> Iterator[tuple[int, str, float | None]]:
+    """Place and text of each character or run of separators, and for these the fee of being noise: little within a chain.
+    ``masked``: asterisks outside of chains stand for letters."""
+    parts, at = _PARTS.findall(low), 0
+    one = [len(p) == 1 and p not in _SEPARATORS for p in parts]
+    linked = [i > 0 and i + 1 < len(parts) and one[i - 1] and one[i + 1] for i in range(len(parts))]
+    least = min((len(p) for p, x in zip(parts, linked, strict=True) if x), default=0)  # longer runs rather part words
+    for i, p in enumerate(parts):
+        if p[0] not in _SEPARATORS:
+            yield from ((at + k, ch, None) for k, ch in enumerate(p))
+        else:
+            chain = linked[i] and (i > 1 and linked[i - 2] or i + 2 < len(parts) and linked[i + 2])
+            if masked and not chain and p in ("*", "**"):
+                yield from ((at + k, ch, None) for k, ch in enumerate(p))
+            else:
+                yield at, p, NOISE[0] if chain and len(p) == least else NOISE[1]
+        at += len(p)
+
+
 def _settled(beams: dict, done: list[str]) -> dict:
     """``beams`` without their common beginning, which goes to ``done``; far apart, only the best is left."""
     same = commonprefix([out for _, out in beams.values()])
@@ -170,11 +196,14 @@ def tampered(texts: list[str]) -> dict[int, list[tuple[int, int]]]:
     hit = sign & ((before | after) & ~loud | before & after)
     low = _table(_LOW, c, 0)
     hit[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & (low[2:] > 0)
-    single = letter.copy()
-    single[1:] &= ~letter[:-1]
-    single[:-1] &= ~letter[1:]
-    chain = np.zeros(n, bool)
-    chain[:-6] = single[:-6] & sep[1:-5] & single[2:-4] & sep[3:-3] & single[4:-2] & sep[5:-1] & single[6:]
+    # letters with nothing but separators between them
+    member, seps = letter | sign & ~(loud & (before | after)), np.concatenate([[0], np.cumsum(sep & ~blank)])
+    at = np.flatnonzero(letter)
+    gap = at[1:] - at[:-1] - 1
+    hit[at[:-1][(gap > 0) & (seps[at[1:]] - seps[at[:-1] + 1] == gap)]] = True
+    single = member.copy()
+    single[1:] &= ~member[:-1]
+    single[:-1] &= ~member[1:]
     out: dict[int, list[tuple[int, int]]] = {}
     edge = np.flatnonzero(~(letter | sign | sep) | blank)
     at = np.flatnonzero(hit)
@@ -184,17 +213,28 @@ def tampered(texts: list[str]) -> dict[int, list[tuple[int, int]]]:
         a, b = a + int(core[0]), a + int(core[-1]) + 1
         r = int(np.searchsorted(bounds, a, side="right")) - 1
         out.setdefault(r, []).append((a - int(bounds[r]), b - int(bounds[r])))
-    last = -1
-    for a in np.flatnonzero(chain).tolist():
-        if a < last:
-            continue
-        b = a + 1
-        while b + 1 < n and sep[b] and single[b + 1]:
-            b += 2
-        last = b
-        r = int(np.searchsorted(bounds, a, side="right")) - 1
-        # long chains are read in stretches, so the work per span is bounded
-        out.setdefault(r, []).extend((x - int(bounds[r]), min(x + 128, b) - int(bounds[r])) for x in range(a, b, 128))
+    # chains: letters and signs that stand alone, with nothing but separators between them
+    lone, seps = np.flatnonzero(single), np.concatenate([[0], np.cumsum(sep)])
+    if len(lone) > 2:
+        linked = seps[lone[1:]] - seps[lone[:-1] + 1] == lone[1:] - lone[:-1] - 1
+        first = np.flatnonzero(np.concatenate([[True], ~linked]))
+        end = np.append(first[1:], len(lone))
+        letters = np.add.reduceat(letter[lone].astype(np.int64), first)
+        for x, y in zip(first[(end - first > 2) & (letters > 0)].tolist(), end[(end - first > 2) & (letters > 0)].tolist(), strict=True):
+            a, b = int(lone[x]), int(lone[y - 1]) + 1
+            r = int(np.searchsorted(bounds, a, side="right")) - 1
+            out.setdefault(r, []).append((a - int(bounds[r]), b - int(bounds[r])))
+    return {r: _merged(spans) for r, spans in out.items()}
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
@@ -204,9 +244,7 @@ def restored(texts: list[str], model: CharModel) -> list[str]:
     known: dict[str, str] = {}
     for r, spans in tampered(texts).items():
         t, parts, at = texts[r], [], 0
-        for a, b in sorted(spans):
-            if a < at:
-                continue
+        for a, b in spans:
             if (span := t[a:b]) not in known:
                 known[span] = model.restore(span)
             parts += [t[at:a], known[span]]

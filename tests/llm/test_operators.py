@@ -83,6 +83,16 @@ def test_mixing(spark, odd, none):
     assert mixing.sample(odd, queries.TARGETS).columns == odd.columns and mixing.sample(none, queries.TARGETS).count() == 0
 
 
+def test_mixing_keeps_unlisted_languages(spark):
+    rows = [(i, "w " * 5, "ab"[i % 2], ["en", "de", "es", "fr", "it", None, "en", "en", "en", "de"][i % 10]) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    share = collections.Counter()
+    for c in mixing.calibrate(d, {"lang": queries.TARGETS["lang"]}, F.lit("t"), rounds=30).collect():
+        share[c["lang"]] += c["weight"]
+    assert [share[x] for x in ("it", "", "en", "de")] == pytest.approx([0.1, 0.1, 0.8 * 0.55, 0.8 * 0.15], abs=1e-6)
+    assert {r["lang"] for r in mixing.sample(d, queries.TARGETS).collect()} >= {"it", None}
+
+
 def test_chat_format(spark):
     t = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 70, "", "late"), (None, 0, "ann", "x"), (2, 0, "system", "only")], "conv_id long, turn long, role string, text string")
     got = chat_format.rotate(t).collect()

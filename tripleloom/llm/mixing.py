@@ -10,6 +10,7 @@ marginal, so the table sits in one partition (windows over it need no exchange).
 
 Targets: a mapping of shares per dimension, or a number: the temperature, by which a value's share is
 its token total to that power.  Values without a mapped share keep their natural share of what is left; shares are scaled to 1.
+Where the mapped shares leave nothing, values without one (null among them) keep their natural share of all tokens and the mapped ones part the rest.
 
 Where no value of a dimension has a target share, the natural shares stand.  A probability is the raked weight over the natural weight, scaled so that the largest is ``rate``; so
 the expected token shares of the sample are the raked ones.
@@ -61,7 +62,12 @@ def _target(cells: DataFrame, dim: str, want: Mapping[str, float] | float) -> Da
         left = max(0.0, 1.0 - float(sum(want.values())))
         cells = cells.withColumn("_w", share)
         rest = F.sum(F.when(F.col("_w").isNull() & F.col("_first"), F.col("_n"))).over(everything)
-        cells = cells.withColumn("_w", F.coalesce("_w", F.try_divide(F.lit(left) * F.col("_n"), rest)))
+        if left > 1e-9:
+            cells = cells.withColumn("_w", F.coalesce("_w", F.try_divide(F.lit(left) * F.col("_n"), rest)))
+        else:
+            listed = F.sum(F.when(F.col("_first"), F.col("_w"))).over(everything)
+            cells = cells.withColumns({"_listed": listed, "_others": F.sum("n_tokens").over(everything) - rest})
+            cells = cells.withColumn("_w", F.coalesce("_w", F.try_divide(F.col("_listed") * F.col("_n"), F.col("_others")))).drop("_listed", "_others")
     else:
         cells = cells.withColumn("_w", F.pow(F.col("_n").cast("double"), F.lit(float(want))))
     total = F.sum(F.when(F.col("_first"), F.col("_w"))).over(everything)

@@ -5,12 +5,10 @@ stage's documents.  All but the last return the columns of the documents they we
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tripleloom.llm import decontaminate, mixing, ngram_join, quality_gam, queries, token_store
-from tripleloom.llm.spool import shared_dir
+from tripleloom.llm.spool import folder_for, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +38,16 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("leaks", leaks), ("mixture", mixture), ("token_ids", token_ids)]
 
-#: A learned model and a tokenizer are beyond SQL; the tests hold each stage against brute force.
+#: A learned model and a tokenizer are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage.  What a stage spools goes once its output is written, the outputs with the process."""
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        path = folder_for(spark, f"pipeline-{name}")
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

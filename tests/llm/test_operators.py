@@ -29,6 +29,9 @@ def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 9), (1, 2), (7, 7), (None, 3)], "a long, b long")
     assert {tuple(r) for r in spool.components(e).collect()} == {(4, 4), (5, 4), (9, 4), (1, 1), (2, 1)}
     assert spool.components(e.where("a > 100")).count() == 0
+    # the shuffled way, which larger edge tables take
+    chain = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)], "a long, b long")
+    assert {tuple(r) for r in spool.components(chain, one_task=0).collect()} == {(k, 0) for k in range(61)} | {(k, 100) for k in range(100, 140)}
 
 
 def test_ngram_join(spark, odd, none):
@@ -37,6 +40,46 @@ def test_ngram_join(spark, odd, none):
     assert ngram_join.ngram_components(none).count() == 0
 
 
+def test_ngram_join_in_pieces(spark):
+    """Brute force over texts of many sizes, some in one block far above the bound of a piece, some only with a passage in common."""
+    rng = np.random.default_rng(5)
+    word = lambda k: [f"w{x}" for x in rng.integers(0, 10**6, k)]
+    passage, texts = word(30), []
+    for size in (8, 12, 40, 60, 200):
+        for _ in range(3):
+            base = word(size)
+            for _ in range(7):
+                t = list(base)
+                for _ in range(int(rng.integers(0, 1 + size // 12))):
+                    t[int(rng.integers(0, len(t)))] = f"x{rng.integers(0, 10**6)}"
+                texts.append(" ".join(t[: len(t) - int(rng.integers(0, 2 + size // 20))] + (passage if rng.integers(0, 2) else [])))
+    chain = word(120)
+    texts += [" ".join(chain[k : k + 100]) for k in range(20)] + [texts[0], texts[0]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n, percent in ((3, 90), (5, 80)):
+        sets = [{tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for w in map(str.split, texts)]
+        comp = list(range(len(sets)))
+        for a in range(len(sets)):
+            for b in range(a):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    lo, hi = sorted((comp[a], comp[b]))
+                    comp = [lo if c == hi else c for c in comp]
+        assert len(set(comp)) < len(comp) - 20
+        for options in ({}, {"piece_elements": 150, "part_values": 500}):
+            got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(d, n, percent, **options).collect()}
+            assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, comp))}
+
+
+def test_ngram_trie_shares_prefixes():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**62, 300, dtype=np.uint64)
+    sets = [np.sort(np.append(np.delete(base, k), rng.integers(0, 2**62, 3, dtype=np.uint64))) for k in range(40)]
+    ranked = ngram_join.frequent_first(sets)
+    tree = ngram_join.Trie([ranked[i] for i in ngram_join.Trie.order(ranked)], np.array([len(s) for s in sets]))
+    assert tree.stored < sum(map(len, ranked)) / 2 and len(ngram_join.links_of(list(range(40)), sets, 90)) == 39
+
+
 def test_ngram_blocks_lose_nothing():
     rng = np.random.default_rng(1)
     for percent in (80, 90):

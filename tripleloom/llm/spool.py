@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,37 +22,67 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is set instead."""
+    Only where that is unset and the master is local (tests on one machine) a temporary folder is set instead."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         folder = tempfile.mkdtemp(prefix="tripleloom-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def folder_for(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, deleted with the spooled tables."""
+    path = f"{shared_dir(spark)}/spool-{what}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def spool(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spool-{what}-{uuid.uuid4().hex}"
+    path = folder_for(df.sparkSession, what)
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(some: list[tuple[SparkSession, str]]) -> None:
+    while some:
+        spark, path = some.pop()
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes what was spooled inside at the end; results must be written elsewhere by then."""
+    start = len(_written)
+    try:
+        yield
+    finally:
+        inside, _written[start:] = _written[start:], []
+        _delete(inside)
 
 
 @atexit.register
 def sweep() -> None:
     """Delete the spooled tables of this process; results that read them are void afterwards."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone already
-            return
+    try:
+        _delete(_written)
+    except Exception:  # the session may be gone already
+        return
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """A column name that no column in ``taken`` has, in any case of letters."""
+    taken = {t.lower() for t in taken}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -59,17 +91,17 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: rows ``(id, component)``, component the least id.
 
     Alternates large-star and small-star steps until the edges stop changing; each step is an
     aggregation and a join on the node, so a node with very many edges is pre-aggregated before
-    the shuffle and its join side can be split.  Few edges (counted) stay in one partition, where the same
+    the shuffle and its join side can be split.  Up to ``one_task`` edges (counted) stay in one partition, where the same
     steps need no exchange.  Isolated nodes have no row."""
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = spool(e, "edges")
     before = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    few = before[0] <= ONE_TASK_EDGES
+    few = before[0] <= one_task
     while before[0]:
         e = e.coalesce(1) if few else e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .spool import maybe_broadcast, shared_dir, spool
+from .spool import folder_for, maybe_broadcast, spool
 
 BLOCK_BYTES = 4 << 20
 BLOCK_DOCS = 1 << 16
@@ -291,9 +291,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def store(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """Write the store into the shared folder and read it back."""
-    import uuid
-
-    path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    """Write the store into the shared folder and read it back; it goes with the process."""
+    path = folder_for(docs.sparkSession, "tokens")
     write(docs, path, tokenizer_file, end_id)
     return read(docs.sparkSession, path)

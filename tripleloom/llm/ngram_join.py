@@ -221,14 +221,29 @@ def _packed_grams(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Itera
         yield _pack(v[alone], c[alone], v[starts & ~alone], bits, GRAM_BITS, a, b)
 
 
-def _support(pdf: pd.DataFrame) -> pd.DataFrame:
-    """How many n-grams of one part each document shares with others."""
+def _support(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """How many n-grams of one part each document shares with others, packed by buckets of documents."""
     v, has, c = _unpack(pdf)
     same = v[1:] == v[:-1]
     shared = np.append(same, False) | np.append(False, same)
-    ids, count = np.unique(c[shared & has], return_counts=True)
     a, b = (np.frombuffer(b"".join(pdf[x]), np.int64) for x in ("a", "b"))
-    return pd.DataFrame({"doc_id": np.concatenate([ids, a]), "shared": np.concatenate([count, b])})
+    ids, count = _summed(np.concatenate([c[shared & has], a]), np.concatenate([np.ones(int((shared & has).sum()), np.int64), b]))
+    bucket = (mix(ids.view(U)) >> U(64 - bits)).astype(np.int32) if bits else np.zeros(len(ids), np.int32)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order])) + 1
+    groups = [g for g in np.split(order, cut) if len(g)]
+    return pd.DataFrame({"bucket": [int(bucket[g[0]]) for g in groups], "owners": [_planes(ids[g]) for g in groups], "counts": [_planes(count[g].astype(np.uint32)) for g in groups]})
+
+
+def _summed(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ids, at = np.unique(ids, return_inverse=True)
+    return ids, np.bincount(at, weights=counts, minlength=len(ids)).astype(np.int64)
+
+
+def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The counts of one bucket of documents, added over all parts."""
+    ids, shared = _summed(np.concatenate([_from_planes(x, np.int64) for x in pdf["owners"]]), np.concatenate([_from_planes(x, np.uint32) for x in pdf["counts"]]))
+    return pd.DataFrame({"doc_id": ids, "shared": shared})
 
 
 def _packed_keys(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -473,7 +488,9 @@ def _links(docs: DataFrame, some: DataFrame, classes: DataFrame, n: int, percent
     reps = docs.where("doc_id is not null").join(maybe_broadcast(followers), "doc_id", "left_anti")
     bits = _bits(classes.agg(F.sum("n_shingles")).first()[0] or 0, part_values)
     packed = reps.mapInArrow(functools.partial(_packed_grams, n=n, bits=bits), PACKED)
-    shared = packed.groupBy("part").applyInPandas(_support, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    # a bucket of documents holds at most four parts' worth of counts
+    counted = packed.groupBy("part").applyInPandas(lambda pdf: _support(pdf, max(0, bits - 2)), "bucket int, owners binary, counts binary")
+    shared = counted.groupBy("bucket").applyInPandas(_totals, "doc_id long, shared long")
     least = some.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles"))
     alive = spool(shared.join(least, "doc_id").where(F.col("shared") * 100 >= F.col("n_shingles") * percent).select("doc_id", "n_shingles"), "supported")
     sets = docs.join(maybe_broadcast(alive.select("doc_id")), "doc_id", "left_semi").mapInArrow(functools.partial(_sets, n=n), "doc_id long, grams binary")

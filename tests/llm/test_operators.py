@@ -246,7 +246,7 @@ def test_elias_fano():
 def test_token_store(spark, odd, none):
     from tokenizers import Tokenizer
 
-    more = [(20, " a"), (21, "a  b"), (22, "a\n \nb <|endoftext|> x"), (23, "don't we'll a. b, c.. 3.5, é, x  y\t z \n k "), (24, "a\n b.\n\n c")]
+    more = [(25, "a, b. c,d e., é, ñandú. x1. 3, ."), (26, "same words, same. same words"), (20, " a"), (21, "a  b"), (22, "a\n \nb <|endoftext|> x"), (23, "don't we'll a. b, c.. 3.5, é, x  y\t z \n k "), (24, "a\n b.\n\n c")]
     d = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     rows = token_store.store(d, queries.tokenizer_file(), 2).orderBy("start").collect()
     tok = Tokenizer.from_file(queries.tokenizer_file())
@@ -259,6 +259,9 @@ def test_token_store(spark, odd, none):
     ids = [r["doc_id"] for r in rows]
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
     assert token_store.store(none, queries.tokenizer_file(), 2).count() == 0
+    blocks = [token_store.Block(r["block"]) for r in token_store.encode(d, queries.tokenizer_file(), 2).orderBy("part", "seq").collect()]
+    alone = collections.Counter((i, zlib.crc32(b.document(k).astype("<u4").tobytes())) for b in blocks for k, i in enumerate(b.doc_ids()))
+    assert alone == collections.Counter((i, crc) for i, _, crc in want.elements())
 
 
 def test_topk(spark):

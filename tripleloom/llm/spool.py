@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 #: A counted edge table of at most this many rows (16 bytes each) is worked on in one task, without exchanges.
 ONE_TASK_EDGES = 1_000_000
+#: Bytes of a row group, which a writing task holds in memory.
+ROW_GROUP = 32 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -45,7 +47,7 @@ def spool(df: DataFrame, what: str) -> DataFrame:
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation."""
     path = folder_for(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

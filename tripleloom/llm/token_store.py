@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .spool import folder_for, maybe_broadcast, spool
+from .spool import ROW_GROUP, folder_for, maybe_broadcast, spool
 from .textkit import slices
 
 BLOCK_BYTES = 4 << 20
@@ -42,9 +42,11 @@ BLOCK_DOCS = 1 << 16
 SAMPLE = 64
 BLOCKS = "part int, seq int, n_docs long, n_tokens long, block binary"
 #: Bytes of texts that are encoded at a time.
-SLICE = 8 << 20
+SLICE = 2 << 20
+#: Words that are encoded in one string.
+ASK = 10_000
 #: Entries of a worker's memory of words and their ids; beyond it, words are encoded once in each slice.
-MEMORY = 1_000_000
+MEMORY = 300_000
 
 
 class EliasFano:
@@ -180,6 +182,8 @@ class Encoder:
         """The slots of words with a leading space.
 
         They are encoded in one string: a word starts at each id whose token starts with the space, and no other token holds one."""
+        if len(words) > ASK:
+            return pa.concat_arrays([self._words(words[k : k + ASK]) for k in range(0, len(words), ASK)])
         if not words:
             return self.slots[:0]
         ids = np.array(self.raw([" " + " ".join(words)])[0], self.kind)
@@ -252,6 +256,7 @@ def _encode_rows(batches: Iterator[pa.RecordBatch], spec, end_id: int) -> Iterat
         for lo, hi, _, _ in slices(text, SLICE):
             ids = enc.encode(text.slice(lo, hi - lo)).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([enc.kind.itemsize] * (hi - lo), pa.int32()), ids], names=["doc_id", "width", "ids"])
+        pa.default_memory_pool().release_unused()
 
 
 def _pack_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +298,7 @@ def encode(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
 
 def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> None:
     """Write the store of ``docs`` to ``path``, a folder that the cluster shares."""
-    encode(docs, tokenizer_file, end_id).write.option("compression", "zstd").parquet(path)
+    encode(docs, tokenizer_file, end_id).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -113,6 +113,9 @@ def test_decontaminate(spark, odd, none):
     assert got == {(5, 1), (6, 1), (4, 3)}
     left = decontaminate.drop_leaked(odd, items)
     assert left.columns == odd.columns and {r["doc_id"] for r in left.collect()} == {1, 2, 3, None, 7}
+    short = spark.createDataFrame([(1, "secret answer is forty"), (2, "Seventeen"), (3, "seven eight"), (4, "seven nine"), (5, "the secret answer is forty two"), (None, "one")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, BASE + "and the secret: answer is FORTY two, really"), (2, "answer is forty"), (3, BASE), (4, "secret answer is forty")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["n_item"]) for r in decontaminate.leaks(docs, short).collect()} == {(1, 1, 1), (4, 1, 1), (1, 2, 1), (3, 2, 1), (1, 3, 1), (3, 3, 1), (1, 5, 2)}
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(odd, items.where("1 = 0")).count() == 0
 
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .spool import ROW_GROUP, folder_for, maybe_broadcast, spool
+from .spool import ROW_GROUP, folder_for, maybe_broadcast, scratch, spool
 from .textkit import slices
 
 BLOCK_BYTES = 4 << 20
@@ -326,5 +326,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def store(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
     """Write the store into the shared folder and read it back; it goes with the process."""
     path = folder_for(docs.sparkSession, "tokens")
-    write(docs, path, tokenizer_file, end_id)
+    with scratch():
+        write(docs, path, tokenizer_file, end_id)
     return read(docs.sparkSession, path)

@@ -153,9 +153,27 @@ def test_line_dedup(spark, none, odd):
     base = "The quick brown fox jumps over the lazy dog"
     rows = [(1, base), (2, base + "."), (3, "short\n" + base.replace("quick", "quack") + "\n\nshort"), (4, base.replace("fox", "foxxx")), (5, None), (6, ""), (None, base), (7, "é" * 40), (8, "é" * 39 + "e"), (9, "x" * 5000), (10, "x" * 2400 + "y" + "x" * 2599)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(d).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(d, min_chars=20).collect()}
     assert got == {1: base, 2: "", 3: "short\n\nshort", 4: base.replace("fox", "foxxx"), 5: None, 6: "", None: "", 7: "é" * 40, 8: "", 9: "x" * 5000, 10: ""}
-    assert line_dedup.dedup_lines(none).count() == 0 and line_dedup.dedup_lines(odd).columns[: len(odd.columns)] == odd.columns
+    assert line_dedup.dedup_lines(none).count() == 0 and line_dedup.dedup_lines(odd).columns == odd.columns
+
+
+#: Names that operators use inside, and some that differ in case only.
+CLASHES = ("_id", "_kept", "_key", "_p", "_tokens", "_source", "_lang", "_topic", "_bad", "_gone", "_rep", "_all", "_stay", "_lines", "row", "key", "kept", "p", "n_tokens", "topic", "hash", "part", "tag", "score", "items", "grams", "block", "__gone", "__bad")
+
+
+def test_columns_of_any_name_stay(spark):
+    texts = {1: BASE, 2: BASE + "more", 3: None, 4: "", None: "some text", 5: "word " * 300, 6: "secret answer is forty two and more"}
+    rows = [(i, t, "en", "s", *(f"{c} of {i}" for c in CLASHES)) for i, t in texts.items()]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    items = spark.createDataFrame([(1, "secret answer is forty")], "item_id long, text string")
+    model = quality_gam.train(d, queries.table(spark, SF, "labels").where("1 = 0"))
+    everything = ("near", ngram_join.keep_one(d)), ("leaks", decontaminate.drop_leaked(d, items)), ("mix", mixing.sample(d, queries.TARGETS)), ("lines", line_dedup.dedup_lines(d)), ("good", quality_gam.keep_good(d, model))
+    for name, out in everything:
+        assert out.columns == d.columns, name
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert all(r[c] == f"{c} of {i}" for i, r in got.items() for c in CLASHES), name
+        assert set(got) == {"near": {1, 3, 4, None, 5, 6}, "leaks": {1, 2, 3, 4, None, 5}, "mix": set(got)}.get(name, set(texts)), name
 
 
 def test_line_dedup_short_lines(spark, tmp_path):

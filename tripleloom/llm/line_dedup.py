@@ -13,14 +13,16 @@ does not depend on whether the earlier one stays itself, so the decision is a jo
    are one replacement apart; a line whose middle less one character is another's whole middle is one insertion
    apart.  Each key is aggregated to its earliest line and joined back: a star for each key, no
    pairs within a key.
-4. The edit distance of each line and the earlier line that it met is verified on the characters.
+4. The edit distance of each line's middle and that of the earlier line that it met is verified on the characters; what a key
+   leaves outside the middle is equal by a 64-bit hash, equal lines by a 128-bit one.
 
-Blank lines are layout rather than content and always stay; so do lines under ``min_chars`` characters (1 in op10:
-all others are compared).
+Blank lines are layout rather than content and always stay; so do lines under ``min_chars`` characters (by default there are
+none such: all others are compared).
 
 Defined cases: a null text stays null and has no lines; null doc_ids come after all others and are one document;
 rows that repeat a doc_id with an equal text are one document (each row gets the same result), with different texts
-their lines at one place count as earlier by text; an empty table gives an empty result; extra columns are kept by ``dedup_lines``."""
+their lines at one place count as earlier by text; a very long line is cut into more parts and compared whole; an empty table gives an empty result; extra columns,
+whatever their names, are kept by ``dedup_lines``."""
 
 from __future__ import annotations
 
@@ -124,7 +126,7 @@ def _key_lists(t: dict) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), keys)
 
 
-def staying_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+def staying_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """``doc_id, kept``: per document with long enough lines the numbers of those that stay (null doc_id: 2^63 - 1)."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     d = d.select("doc_id", F.xxhash64("text").alias("tag"), "text")
@@ -175,13 +177,17 @@ def staying_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     return stay.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.array_sort(F.collect_list("at.number")).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
-    """``docs``, columns as they are but ``text`` without the lines that go, and ``_lines, _kept_lines``."""
-    keep = staying_lines(docs, min_chars).select(F.col("doc_id").alias("_key"), F.col("kept").alias("_kept"))
-    d = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    d = d.join(keep, d["_id"] == keep["_key"], "left").withColumn("_all", F.split(F.col("text").cast("string"), "\n", -1))
-    left = F.filter("_all", lambda line, n: (F.length(line) < min_chars) | (F.trim(line, F.lit(BLANKS)) == "") | F.array_contains(F.coalesce("_kept", F.array().cast("array<long>")), n.cast("long")))
-    d = d.withColumn("_stay", left)
-    count = lambda c: F.when(F.coalesce(F.col("text"), F.lit("")) == "", 0).otherwise(F.size(c)).cast("long")
-    out = [F.array_join("_stay", "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return d.select(*out, count("_all").alias("_lines"), F.when(F.coalesce(F.col("text"), F.lit("")) == "", 0).otherwise(F.size("_stay")).cast("long").alias("_kept_lines"))
+def decide_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
+    """``row`` (the input row as a struct, so that no name clashes), ``text`` without the lines that go, ``n_lines, n_kept``."""
+    keep = staying_lines(docs, min_chars).withColumnRenamed("doc_id", "key")
+    text = F.col("text").cast("string")
+    d = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.split(text, "\n", -1).alias("lines"), (F.coalesce(text, F.lit("")) == "").alias("blank"))
+    d = d.join(keep, "key", "left")
+    stay = F.filter("lines", lambda line, n: (F.length(line) < min_chars) | (F.trim(line, F.lit(BLANKS)) == "") | F.array_contains(F.coalesce("kept", F.array().cast("array<long>")), n.cast("long")))
+    count = lambda c: F.when(F.col("blank"), 0).otherwise(F.size(c)).cast("long")
+    return d.withColumn("stay", stay).select("row", F.array_join("stay", "\n").alias("text"), count("lines").alias("n_lines"), count("stay").alias("n_kept"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
+    """``docs``, columns as they are but ``text`` without the lines that go."""
+    return decide_lines(docs, min_chars).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -17,8 +17,8 @@ the expected token shares of the sample are the raked ones.
 
 Defined cases: null source, language or topic is a value of its own (``''``); null and empty texts have no
 tokens, count nothing and are kept with their cell's probability (1 where the cell has no tokens); a null
-id is drawn as if it were -1; repeated rows of one id are drawn alike; an empty table gives an empty result; extra
-columns are kept by ``sample``."""
+id is drawn as if it were -1; repeated rows of one id are drawn alike; a very long text counts all its words; cells of equal weight
+are scaled alike; an empty table gives an empty result; extra columns, whatever their names, are kept by ``sample``."""
 
 from __future__ import annotations
 
@@ -76,9 +76,10 @@ def _target(cells: DataFrame, dim: str, want: Mapping[str, float] | float) -> Da
 
 
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], rounds: int = 12, rate: float = 1.0) -> DataFrame:
-    """``source, lang, topic, n_docs, n_tokens, weight, p`` of every cell.
+    """``source, lang, topic, n_docs, n_tokens, weight, p, residual`` of every cell.
 
-    ``weight`` is the raked share of the tokens after ``rounds`` passes over the three marginals."""
+    ``weight`` is the raked share of the tokens after ``rounds`` passes over the three marginals, ``residual`` (the same in
+    every row) the largest distance of a marginal's share from its target that is left."""
     c = spool(cells.where("n_tokens > 0").coalesce(1), "cells")
     c = c.coalesce(1)
     for dim in DIMS:
@@ -88,31 +89,42 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], r
     for _ in range(rounds):
         for dim in DIMS:
             c = c.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"t_{dim}"), F.sum("weight").over(Window.partitionBy(dim))), F.lit(0.0)))
-    c = c.withColumn("_r", F.col("weight") / F.col("natural"))
-    return c.select(*DIMS, "n_docs", "n_tokens", "weight", (F.col("_r") / F.max("_r").over(everything) * F.lit(float(rate))).alias("p"))
+    # how far the shares of the raked weights are from their targets, at most
+    off = F.greatest(*[F.abs(F.sum("weight").over(Window.partitionBy(dim)) - F.col(f"t_{dim}")) for dim in DIMS])
+    c = c.withColumn("_off", off).withColumn("residual", F.max("_off").over(everything)).withColumn("_r", F.col("weight") / F.col("natural"))
+    return c.select(*DIMS, "n_docs", "n_tokens", "weight", (F.col("_r") / F.max("_r").over(everything) * F.lit(float(rate))).alias("p"), "residual")
 
 
 def with_cells(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """``docs`` and ``_source, _lang, _topic, _tokens``."""
+    """``row`` (the input row as a struct, so that no name clashes), ``source, lang, topic`` and ``n_tokens``."""
     topic = topic_of(F.col("text")) if topic is None else topic
-    return docs.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_topic": F.coalesce(topic.cast("string"), F.lit("")), "_tokens": tokens(F.col("text"))})
+    value = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return docs.select(F.struct("*").alias("row"), value(F.col("source")).alias("source"), value(F.col("lang")).alias("lang"), value(topic).alias("topic"), tokens(F.col("text")).alias("n_tokens"))
+
+
+def fit(counted: DataFrame, targets: Mapping, **options) -> DataFrame:
+    """Raked cells of ``counted(source, lang, topic, n_tokens)``."""
+    cells = counted.groupBy(*DIMS).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    return spool(rake(cells, targets, **options), "raked")
 
 
 def calibrate(docs: DataFrame, targets: Mapping, topic: Column | None = None, **options) -> DataFrame:
     """Raked cells of ``docs``."""
-    d = with_cells(docs.select("source", "lang", "text") if topic is None else docs, topic)
-    cells = d.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.count("*").alias("n_docs"), F.sum("_tokens").alias("n_tokens"))
-    return spool(rake(cells, targets, **options), "raked")
+    return fit(with_cells(docs, topic).select(*DIMS, "n_tokens"), targets, **options)
+
+
+def _drawn(rows: DataFrame, cells: DataFrame, doc_id: str) -> DataFrame:
+    cells = maybe_broadcast(cells.select(*DIMS, "p"))
+    d = rows.join(cells, list(DIMS), "left").withColumn("p", F.coalesce("p", F.lit(1.0)))
+    return d.withColumn("kept", draw(F.col(doc_id)) < F.col("p"))
 
 
 def decide(docs: DataFrame, targets: Mapping, topic: Column | None = None, **options) -> DataFrame:
-    """``docs`` with ``_p`` and ``_kept``; no shuffle of documents while the cells are few."""
-    cells = calibrate(docs, targets, topic, **options)
-    cells = maybe_broadcast(cells.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), F.col("p").alias("_p")))
-    d = with_cells(docs, topic).join(cells, ["_source", "_lang", "_topic"], "left").withColumn("_p", F.coalesce("_p", F.lit(1.0)))
-    return d.withColumn("_kept", draw(F.col("doc_id")) < F.col("_p"))
+    """``doc_id, source, lang, topic, n_tokens, p, kept`` of every row; texts are read once and no document is shuffled while the cells are few."""
+    d = spool(with_cells(docs, topic).select("row.doc_id", *DIMS, "n_tokens"), "counted")
+    return _drawn(d, fit(d, targets, **options), "doc_id").select("doc_id", *DIMS, "n_tokens", "p", "kept")
 
 
 def sample(docs: DataFrame, targets: Mapping, topic: Column | None = None, **options) -> DataFrame:
     """The drawn documents, columns as they are."""
-    return decide(docs, targets, topic, **options).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _drawn(with_cells(docs, topic), calibrate(docs, targets, topic, **options), "row.doc_id").where("kept").select("row.*")

@@ -42,7 +42,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixing.decide(table(spark, sf_dir, "documents"), TARGETS, rounds=RAKE_ROUNDS)
-    return d.select("doc_id", F.col("_tokens").alias("n_tokens"), F.round(F.col("_p") * 1e6).cast("long").alias("p_ppm"), F.col("_kept").alias("kept"))
+    return d.select("doc_id", "n_tokens", F.round(F.col("p") * 1e6).cast("long").alias("p_ppm"), "kept")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +73,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=1)
-    return d.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_kept_lines").alias("n_kept"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    d = line_dedup.decide_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("row.doc_id", "n_lines", "n_kept", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,6 +256,29 @@ def test_toxicity_spacing(spark):
         assert m.score([text])[0] == m.score([read])[0] and (toxic is None or (m.score([text])[0] >= 0.3) == toxic), kind
 
 
+def test_toxicity_obfuscated_copies(spark):
+    """Held-out labelled documents with every longer word obfuscated score like the plain ones."""
+    d, y = (queries.table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    m = toxicity.train(d, y)
+    rows = d.join(y, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).orderBy("doc_id").collect()
+    toxic, clean = [r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0][:200]
+    rng = np.random.default_rng(1)
+    leet, look = dict(zip("oieastbg", "01345789")), dict(zip("aeocips", "аеосірѕ"))
+
+    def stretch(w):
+        k = int(rng.integers(0, len(w)))
+        return w[:k] + w[k] * int(rng.integers(3, 7)) + w[k + 1 :]
+
+    kinds = {"signs": lambda w: "".join(leet.get(c, c) if rng.random() < 0.6 else c for c in w), "look-alikes": lambda w: "".join(look.get(c, c) for c in w), "repetition": stretch}
+    share = lambda texts: (m.score(texts) >= 0.3).mean()
+    plain = share(toxic)
+    assert plain > 0.9 and share(clean) < 0.02
+    for kind, change in kinds.items():
+        spoil = lambda t, change=change: re.sub(r"[A-Za-z]{3,}", lambda w: change(w[0]), t)
+        assert share([spoil(t) for t in toxic]) >= plain - 0.02 and share([spoil(t) for t in clean]) < 0.02, kind
+    assert toxicity.restored(["you ѕtupіd, і d і о t", "Привет, мир"], m.chars) == ["you stupid, idiot", "Привет, мир"]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, u in ((0, 1), (1, 1), (5, 5), (3000, 10**6), (700, 700)):

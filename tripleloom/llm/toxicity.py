@@ -4,7 +4,7 @@
    tasks): what is gathered grows with the corpus, the model does not.
 2. *Channel.*  What looks tampered with becomes a lattice: tokens with signs for letters, with letters repeated three times
    and more or with separators between letters, and chains of three and more letters and signs (one letter at least) set apart
-   by any separators.  Each sign may stand for the letters that it imitates, separators and repetitions may be noise; one or two
+   by any separators.  Each sign may stand for the letters that it imitates (so do look-alikes of other scripts beside Latin letters), separators and repetitions may be noise; one or two
    asterisks in a token may also stand for any letters, and then both readings are scored.  Viterbi finds the likeliest letters under the language model, and they stand
    if they cost less than the unchanged signs; neither a token's length nor its share of letters keeps it out.
 3. *Scoring.*  Logistic regression over word units (whole words and word starts of 3 to 6 letters) of the
@@ -49,6 +49,12 @@ SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
+#: Letters of other scripts that look like Latin ones; they count as such beside Latin letters only.
+LOOKS = {
+    "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
+}
+_LATIN_END = 0x250
 _SEPARATORS = " .-_*~"
 #: Fee of a sign that is read as a letter, and of one that stays a sign (none for punctuation at the ends).
 IMITATES, STAYS = 0.7, 3.0
@@ -64,6 +70,8 @@ _SIGN[[ord(c) for c in SIGNS]] = True
 _LOUD = np.zeros(0x10000, bool)
 _LOUD_SIGNS = "!|+("
 _LOUD[[ord(c) for c in _LOUD_SIGNS]] = True
+_LOOK = np.zeros(0x10000, bool)
+_LOOK[[ord(x) for c in LOOKS for x in (c, c.upper())]] = True
 _SEP = np.zeros(0x10000, bool)
 _SEP[[ord(c) for c in _SEPARATORS]] = True
 _BLANK = np.zeros(0x10000, bool)
@@ -118,6 +126,7 @@ class CharModel:
         prev = ""
         inner = range(len(low) - len(low.lstrip("(")), len(low.rstrip(_LOUD_SIGNS)))
         drawn = any(x == y == z for x, y, z in zip(low, low[1:], low[2:], strict=False))  # stretched words repeat at will
+        latin = any(c < chr(_LATIN_END) and c.isalpha() for c in low)
         for n, (at, ch, fee) in enumerate(_steps(low, masked)):
             if n and n % STRETCH == 0:
                 beams = _settled(beams, done)
@@ -125,6 +134,8 @@ class CharModel:
             options: list[tuple[str, float]] = []
             if ch in _NUMBER:
                 options.append((ch, 0.0))
+            if latin and ch in LOOKS:
+                options.append((LOOKS[ch], 0.0))
             if ch in SIGNS and not as_is:
                 options += [(s, IMITATES) for s in SIGNS[ch]]
             if ch in SIGNS and (as_is or at not in inner):
@@ -195,6 +206,10 @@ def tampered(texts: list[str]) -> dict[int, list[tuple[int, int]]]:
     before[1:], after[:-1] = letter[:-1], letter[1:]
     hit = sign & ((before | after) & ~loud | before & after)
     low = _table(_LOW, c, 0)
+    latin = letter & (c < _LATIN_END)
+    look = _table(_LOOK, c, False)
+    hit[1:] |= look[1:] & latin[:-1]
+    hit[:-1] |= look[:-1] & latin[1:]
     hit[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & (low[2:] > 0)
     # letters with nothing but separators between them
     member, seps = letter | sign & ~(loud & (before | after)), np.concatenate([[0], np.cumsum(sep & ~blank)])

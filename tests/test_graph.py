@@ -83,10 +83,10 @@ def test_pattern_and_sparql(store):
 
 
 def test_writes_and_access(store, spark):
-    assert store.assert_triples([("x:z", "x:next", "x:a"), ("x:z", "x:note", "plain text")], "other") == 2
+    assert store.assert_triples([("x:z", "x:next", "x:a", True), ("x:z", "x:note", "plain text")], "other") == 2
     g = store.graph()
     assert g.triples(ontology="other").count() == 2
-    assert store.retract_triple("x:z", "x:next", "urn:x:none", "other") == 0 and store.retract_triple("x:z", "x:next", "urn:x:a", "other") == 1
+    assert store.retract_triple("x:z", "x:next", "urn:x:none", True, "other") == 0 and store.retract_triple("x:z", "x:next", "urn:x:a", True, "other") == 1
     shut = populate.Policy.parse("default:rw,other:none")
     assert shut.view(store.graph()).triples().where("ontology = 'other'").count() == 0
     with pytest.raises(PermissionError):
@@ -139,3 +139,96 @@ def test_entry_without_llm():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_fails_on_a_broken_subpackage(monkeypatch):
+    """Only the absence of the subpackage is forgiven, not an import that fails inside it."""
+    import importlib
+    import sys
+
+    import __spark_entry__ as e
+
+    if e._llm is None:
+        pytest.skip("the subpackage is not here")
+    for m in [m for m in sys.modules if m.startswith("tripleloom.llm")]:
+        monkeypatch.delitem(sys.modules, m)
+    monkeypatch.setitem(sys.modules, "tripleloom.llm.textkit", None)
+    with pytest.raises(ImportError):
+        importlib.reload(e)
+    monkeypatch.undo()
+    importlib.reload(e)
+
+
+def test_terms():
+    assert {terms.OWL + f"{k}Property" for k in ("Asymmetric", "Reflexive", "Irreflexive")} <= set(terms.VOCABULARY_TYPES)
+    names = terms.name_prefixes(["urn:z:", "urn:a:"], {"x": "urn:x:", "ns0": "urn:0:"})
+    assert names == {"x": "urn:x:", "ns0": "urn:0:", "ns1": "urn:a:", "ns2": "urn:z:"}
+    assert terms.shorten("urn:a:b", names) == "ns1__b" and terms.expand("ns1__b", names) == "urn:a:b" and terms.shorten("urn:q:b", names) == "urn:q:b"
+    for what, value in (("search", 201), ("depth", 0), ("depth", 7), ("similar", 101), ("related", 0), ("pattern", 10_001)):
+        with pytest.raises(ValueError):
+            terms.limit(what, value)
+
+
+def test_other_notations():
+    ld = '{"@context": {"ex": "urn:x:", "knows": {"@id": "urn:x:knows", "@type": "@id"}}, "@id": "ex:a", "@type": "ex:A", "knows": "urn:x:b", "ex:age": 5}'
+    rows, _ = turtle.parse(ld, ".jsonld", "f")
+    assert {("urn:x:a", terms.TYPE, "urn:x:A"), ("urn:x:a", "urn:x:knows", "urn:x:b"), ("urn:x:a", "urn:x:age", "5")} <= {(r[0], r[2], r[3]) for r in rows}
+    xml = '''<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:ex="urn:x:"><ex:A rdf:about="urn:x:a"><ex:knows rdf:resource="urn:x:b"/><ex:note>text</ex:note></ex:A></rdf:RDF>'''
+    rows, _ = turtle.parse(xml, ".rdf", "f")
+    assert {("urn:x:a", terms.TYPE, "urn:x:A"), ("urn:x:a", "urn:x:knows", "urn:x:b"), ("urn:x:a", "urn:x:note", "text")} <= {(r[0], r[2], r[3]) for r in rows}
+
+
+def test_union_is_a_set(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    for name in ("a", "b"):
+        assert s.assert_triples([("urn:x:1", "urn:x:p", "TODO:fix"), ("urn:x:1", "urn:x:p", "urn:x:2", True), ("urn:x:1", terms.TYPE, terms.OWL + "AsymmetricProperty", True)], name) == 3
+    assert s.assert_triples([("urn:x:1", "urn:x:p", "TODO:fix")], "a") == 1  # once more: nothing new
+    g = s.graph()
+    assert (g.triples().count(), g.triples(ontology="a").count()) == (3, 3)
+    assert {(r["o"], r["o_kind"]) for r in g.triples(["urn:x:p"]).collect()} == {("TODO:fix", "literal"), ("urn:x:2", "iri")}
+    assert graph.status(g).first()["typed_entities"] == 0 and graph.status(g).first()["triples"] == 3
+
+
+def test_manifest_and_dump(spark, tmp_path):
+    import json
+
+    (tmp_path / "one.ttl").write_text(DATA)
+    (tmp_path / "s.ttl").write_text(TTL)
+    (tmp_path / "m.yaml").write_text("ontologies:\n  - id: one\n    schema: ['s.ttl']\n    data: ['one.ttl']\n")
+    s = Store(spark, str(tmp_path / "store"))
+    try:
+        out = s.load_manifest(str(tmp_path / "m.yaml"))
+    except ModuleNotFoundError:
+        pytest.skip("no YAML reader here")
+    assert [(o.ontology, o.mode, o.error) for o in out] == [("one", "schema", None), ("one", "data", None)]
+    s.dump(str(tmp_path / "out"), "data", "json", "one")
+    rows = [x for f in (tmp_path / "out").glob("part-*") for x in json.loads(f.read_text() or "[]")]
+    assert len(rows) == s.graph().triples(ontology="one", layers=("data",)).count() > 10
+
+
+def test_network_as_triples(spark):
+    net = smoking()
+    again = bayes.from_triples(bayes.to_triples(spark, net))
+    assert again.states == net.states and sorted(c.variable for c in again.cpds) == sorted(c.variable for c in net.cpds)
+    assert bayes.posterior(again, ["Cancer"], {"Smoking": "yes"})["Cancer"]["yes"] == pytest.approx(0.72)
+    assert bayes.from_triples(spark.createDataFrame([], graph.SCHEMA)) is None
+
+
+def test_reports(spark):
+    from tripleloom.functions import report
+
+    a = spark.createDataFrame([("q1", "easy", "x", "ok", 3), ("q2", "hard", "y", "error", 0), ("q3", "hard", "y", "ok", 0)], "id string, difficulty string, category string, status string, row_count int")
+    b = spark.createDataFrame([("q1", "easy", "x", "ok", 2), ("q4", "hard", "y", "ok", 1)], a.schema)
+    text = report.markdown(a, "Run")
+    assert "3 questions, 1 failures" in text and "| hard | 1 | 1 | 1 |" in text and "| y | 2 |" in text and "## Failures" in text
+    assert "| q1 | easy | 3 | 2 | ▲ |" in report.compare(a, b, "A", "B") and "| q4 | hard |  | 1 | only b |" in report.compare(a, b, "A", "B")
+
+
+def test_answer_evidence(spark):
+    d = spark.createDataFrame([("Ring and widget", ["ring", "widget", "red", "ab"], ["A"], ["A", "B"]), ("nothing", [], [], [])], "answer string, names array<string>, seen array<string>, asked array<string>")
+    r = d.select(populate.usage(d["answer"], d["names"]).alias("use"), populate.coverage(d["seen"], d["asked"]).alias("rel")).collect()
+    assert [(round(x["use"], 4), x["rel"]) for x in r] == [(0.6667, 0.5), (0.5, 1.0)]
+    v = spark.createDataFrame([(0.8, 0.9, None), (0.8, 0.9, 0.2), (0.8, 0.5, 0.9)], "r double, u double, s double")
+    assert [x[0] for x in v.select(populate.judge(v["r"], v["u"], v["s"])).collect()] == ["sufficient", "insufficient", "ambiguous"]
+    q = spark.createDataFrame([("Which Move has the probability?",), ("list pokemon and moves",), ("show each Trainer",), ("hello",)], "q string")
+    assert [x[0] for x in q.select(populate.route(q["q"], ["Move", "Trainer", "Ty"])).collect()] == ["multi", "multi", "single", "simple"]

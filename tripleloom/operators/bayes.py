@@ -4,6 +4,7 @@ Learning reads data at any size and reduces it to counts; inference runs on the
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -11,6 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import terms as T
+from .graph import SCHEMA
+
 
 @dataclass
 class Cpd:
@@ -171,6 +175,40 @@ def posterior_frame(spark, net: Network, query: str, evidence: dict[str, str] |
     return out.crossJoin(F.broadcast(total)).select(F.col(query).alias("state"), (F.col("p") / F.col("z")).alias("p"))  # one row
 
 
+# The vocabulary of a network as triples.
+BN = "urn:bn:"
+NETWORK = BN + "network"
+
+
+def to_triples(spark, net: Network, base: str = "urn:bn:var/") -> DataFrame:
+    """A network as triples of the probabilistic layer: a node per variable and per table; lists and tables are JSON literals."""
+    rows = [(NETWORK, T.TYPE, BN + "Network", "iri")]
+    for v, states in sorted(net.states.items()):
+        rows += [(base + v, T.TYPE, BN + "Variable", "iri"), (NETWORK, BN + "hasVariable", base + v, "iri"), (base + v, T.LABEL, v, "literal"), (base + v, BN + "states", json.dumps(states), "literal")]
+    for c in net.cpds:
+        node = f"{base}{c.variable}/cpd"
+        rows += [(node, T.TYPE, BN + "CPD", "iri"), (NETWORK, BN + "hasCPD", node, "iri"), (node, BN + "forVariable", base + c.variable, "iri"), (node, BN + "values", json.dumps(c.values), "literal")]
+        rows.append((node, BN + "evidence", json.dumps([base + e for e in c.evidence]), "literal"))
+    return spark.createDataFrame([(None, "probabilistic", s, "iri", p, o, k, T.XSD + "string" if k == "literal" else None, None) for s, p, o, k in rows], SCHEMA)
+
+
+def from_triples(triples: DataFrame) -> Network | None:
+    """The network that such triples describe, variables and tables in the order of their IRIs; None without a variable.
+
+    A network has as many triples as variables and tables, so they are collected."""
+    said: dict[str, dict[str, str]] = {}
+    for r in triples.select("s", "p", "o").distinct().orderBy("s", "p", "o").collect():
+        said.setdefault(r["s"], {}).setdefault(r["p"], r["o"])
+    names = {s: d[T.LABEL] for s, d in said.items() if d.get(T.TYPE) == BN + "Variable"}
+    if not names:
+        return None
+    tables = [d for _, d in sorted(said.items()) if d.get(T.TYPE) == BN + "CPD"]
+    return Network(
+        {names[s]: json.loads(said[s][BN + "states"]) for s in sorted(names)},
+        [Cpd(names[d[BN + "forVariable"]], json.loads(d[BN + "values"]), [names[e] for e in json.loads(d[BN + "evidence"])]) for d in tables],
+    )
+
+
 def gather_observations(triples: DataFrame, instances: DataFrame, represents: dict[str, str], states: dict[str, list[str]]) -> DataFrame:
     """One row per instance, a column per variable: the least value of its property; rows with an undeclared state go."""
     t = triples.where(F.col("p").isin(*represents.values())).join(instances.select("s"), "s", "left_semi")

@@ -88,6 +88,50 @@ def property_map(rows: DataFrame) -> DataFrame:
     return per.groupBy("uri").agg(F.map_from_entries(F.collect_list(F.struct("predicate", "values"))).alias("properties"))
 
 
+def answer(graph: Graph, class_uri: str, filters: tuple[Filter, ...] = (), cap: int = 30, predicates: tuple[str, ...] | None = None, ontology: str | None = None) -> DataFrame:
+    """The first ``cap`` entities with all that an answer shows: ``uri, label, properties, has_more``.
+
+    ``properties`` maps a predicate to its sorted values, each with the label of a resource; ``has_more`` (the same in every
+    row) says that at least one entity was left out.  One entity over the cap is looked for, no more."""
+    found = select(graph, class_uri, filters, ontology).orderBy("s").limit(cap + 1)
+    more = found.agg((F.count("*") > cap).alias("has_more"))
+    page = found.orderBy("s").limit(cap).select(F.col("s").alias("uri"))
+    labels = graph.labels(ontology)
+    own = properties(graph, page, predicates, ontology).join(labels.select(F.col("uri").alias("value"), F.col("label").alias("value_label")), "value", "left")
+    own = own.withColumn("value_label", F.when(F.col("value_kind") != "literal", F.col("value_label")))
+    per = own.groupBy("uri", "predicate").agg(F.array_sort(F.collect_set(F.struct("value", "value_label"))).alias("values"))
+    maps = per.groupBy("uri").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("predicate", "values")))).alias("properties"))
+    out = page.join(labels, "uri", "left").join(maps, "uri", "left")
+    return out.crossJoin(F.broadcast(more)).select("uri", "label", "properties", "has_more")  # one row
+
+
+def with_labels(graph: Graph, rows: DataFrame, columns: tuple[str, ...], ontology: str | None = None) -> DataFrame:
+    """``rows`` and a column ``<c>_label`` for each of the given columns of IRIs; null without a label."""
+    for c in columns:
+        rows = rows.join(graph.labels(ontology).select(F.col("uri").alias(c), F.col("label").alias(f"{c}_label")), c, "left")
+    return rows
+
+
+def typed_edges(graph: Graph, predicates: tuple[str, ...] | None = None, ontology: str | None = None) -> DataFrame:
+    """Distinct ``s, p, o`` whose object has a type of its own (EXISTS): links to unknown resources are left out."""
+    typed = graph.triples([T.TYPE], ontology, ("data",)).where(~F.col("o").isin(*T.VOCABULARY_TYPES)).select(F.col("s").alias("o")).distinct()
+    names = None if predicates is None else [graph.iri(p) for p in predicates]
+    return graph.edges(names, ontology, ("data",)).join(typed, "o", "left_semi").select("s", "p", "o")
+
+
+def chunks(graph: Graph, ontology: str | None = None) -> DataFrame:
+    """``uri, chunk``: a typed entity as text for a vector index: ``label (types). predicate: value. ...`` with local names, sorted."""
+    local = lambda c: F.regexp_extract(c, r"([^/#:]*)$", 1)
+    labels = graph.labels(ontology)
+    types = graph.triples([T.TYPE], ontology, ("data",)).where(~F.col("o").isin(*T.VOCABULARY_TYPES))
+    types = types.groupBy(F.col("s").alias("uri")).agg(F.array_join(F.array_sort(F.collect_set(local(F.col("o")))), ", ").alias("types"))
+    own = graph.triples(None, ontology, ("data",)).where(~F.col("p").isin(T.TYPE, T.LABEL)).join(labels.select(F.col("uri").alias("o"), F.col("label").alias("o_label")), "o", "left")
+    said = F.when(F.col("o_kind") == "literal", F.col("o")).otherwise(F.coalesce("o_label", local(F.col("o"))))
+    own = own.groupBy(F.col("s").alias("uri")).agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit(" "), local(F.col("p")), F.lit(": "), said, F.lit(".")))), "").alias("facts"))
+    text = F.concat(F.coalesce("label", local(F.col("uri"))), F.lit(" ("), F.col("types"), F.lit(")."), F.coalesce("facts", F.lit("")))
+    return types.join(labels, "uri", "left").join(own, "uri", "left").select("uri", text.alias("chunk"))
+
+
 def count_entities(graph: Graph, class_uri: str, filters: tuple[Filter, ...] = (), ontology: str | None = None) -> DataFrame:
     return select(graph, class_uri, filters, ontology).agg(F.count("*").alias("n"))
 
@@ -139,4 +183,4 @@ def find_related(graph: Graph, class_a: str, predicate: str, class_b: str, filte
     b = select(graph, class_b, filters_b, ontology, infer).withColumnRenamed("s", "b")
     e = graph.edges([graph.iri(predicate)], ontology, ("data",)).select(F.col("s").alias("a"), F.col("o").alias("b"))
     out = e.join(a, "a", "left_semi").join(b, "b", "left_semi").select("a", "b")
-    return out if limit is None else out.orderBy("a", "b").limit(limit)
+    return out if limit is None else out.orderBy("a", "b").limit(T.limit("related", limit))

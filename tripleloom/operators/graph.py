@@ -21,11 +21,12 @@ LAYERS = {"schema": "schema", "data": "data", "semantic": "schema", "state": "da
 
 @dataclass
 class Part:
-    """Triples of some predicates (None: any) of one layer."""
+    """Triples of some predicates (None: any) of one layer; ``unique`` if no two of them are equal but for the ontology."""
 
     rows: DataFrame
     predicates: frozenset[str] | None
     layer: str
+    unique: bool = False
 
 
 @dataclass
@@ -50,7 +51,7 @@ class Graph:
         """The scope's triples as a set.  ``ontology=None`` is the union of all readable ontologies, in which equal triples are one."""
         T.ontology_id(ontology)
         want = None if predicates is None else frozenset(predicates)
-        found = []
+        found, unique = [], True
         for part in self.parts:
             if part.layer not in layers or want is not None and part.predicates is not None and not want & part.predicates:
                 continue
@@ -58,6 +59,7 @@ class Graph:
             if want is not None and (part.predicates is None or part.predicates - want):
                 rows = rows.where(F.col("p").isin(*sorted(want)))
             found.append(rows)
+            unique = unique and part.unique
         if not found:
             return self.spark.createDataFrame([], SCHEMA)
         rows = found[0]
@@ -71,7 +73,8 @@ class Graph:
             named = sorted(x for x in self.readable if x is not None)
             allowed = F.col("ontology").isin(*named) if named else F.lit(False)
             rows = rows.where(F.when(F.col("ontology").isNull(), F.lit(None in self.readable)).otherwise(allowed))
-        return rows
+        # in the union a triple that several ontologies state is one, of none of them
+        return rows if unique else rows.withColumn("ontology", F.lit(None).cast("string")).distinct()
 
     def edges(self, predicates: Iterable[str] | None = None, ontology: str | None = None, layers: tuple[str, ...] = ("schema", "data")) -> DataFrame:
         """Distinct ``s, p, o`` with resource objects."""

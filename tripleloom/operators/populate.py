@@ -72,7 +72,7 @@ def normalise(names: DataFrame, aliases: DataFrame, namespace: str) -> DataFrame
     """``name, uri``: by exact alias, else by alias without case, else a slug under the namespace.  ``aliases(alias, uri)`` is a registry."""
     exact = aliases.groupBy(F.col("alias").alias("name")).agg(F.min("uri").alias("u1"))
     lower = aliases.groupBy(F.lower("alias").alias("low")).agg(F.min("uri").alias("u2"))
-    slug = F.concat(F.lit(namespace), F.regexp_replace(F.regexp_replace(F.lower(F.trim("name")), r"[^\p{L}\p{N}]+", "_"), r"^_+|_+$", ""))
+    slug = mint(F.col("name"), namespace)
     d = names.select("name").distinct().withColumn("low", F.lower("name"))
     return d.join(exact, "name", "left").join(lower, "low", "left").select("name", F.coalesce("u1", "u2", slug).alias("uri"))
 
@@ -123,26 +123,94 @@ class Policy:
         return Graph(graph.spark, graph.parts, graph.prefixes, seen)
 
 
-# Wording that asks for reasoning, and wording that asks for several hops.
-REASONING = ("why", "because", "compare", "difference", "explain", "cause", "relationship between", "how does", "왜", "비교", "차이", "설명", "원인", "관계")
-HOPS = ("through", "via", "connected", "path", "indirect", "chain", "in turn", "통해", "경로", "연결", "거쳐")
+# Patterns that tell a question of several hops, and one that asks for probability, cause or a counterfactual.
+HOPS = (
+    r"\band\b", r"first .{1,30} then", r"compared? (?:to|with)", r"top \d+", r"chain", r"path", r"vs\.?",
+    r"그리고", r"먼저 .{1,30} 다음", r"이후", r"비교", r"대비", r"상위 \d+", r"경로",
+    r"타입별|유형별|종류별|지역별|클래스별", r"각각", r"\d+\s*(?:이상|이하|초과|미만)", r"(?:과|와)\s*같은",
+    r"가장\s*(?:많은|적은|흔한|큰|작은|높은|낮은|긴|짧은|빠른|느린|강한|약한)", r"모두\s*(?:알려|보여|찾|나열)",
+    r"한\s*\S{1,3}\s*라도|하나라도", r"역방향|반대로|반대\s*방향", r"포함", r"(?:이고|이며)[\s,]+그\s*\S", r"출신",
+)
+REASONING = (
+    r"if .{1,40} (?:then|would)", r"만약", r"\b다면", r"probability", r"확률", r"가능성", r"cause(?:d|s)?", r"\b원인", r"because", r"때문",
+    r"intervene", r"개입", r"counterfactual", r"반사실", r"posterior", r"prior probability", r"do\(",
+)
+#: Class names under this length match too much by chance.
+NAME_CHARS = 3
 
 
 def route(question: Column, class_names: list[str]) -> Column:
-    """``multi``, ``single`` or ``simple``: by reasoning wording, class mentions and hop wording."""
-    q = F.lower(question)
-    says = lambda words: F.greatest(F.lit(False), *[q.contains(w) for w in words])
+    """``multi``, ``single`` or ``simple``: reasoning patterns, then two classes or a hop pattern, then one class."""
+    says = lambda patterns: question.rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns))
     n = F.lit(0)
-    for c in class_names:
-        n = n + q.contains(c.lower()).cast("int")
+    for c in dict.fromkeys(c.lower() for c in class_names if len(c) >= NAME_CHARS):
+        n = n + F.lower(question).contains(c).cast("int")
     return F.when(says(REASONING), "multi").when((n >= 2) | says(HOPS), "multi").when(n == 1, "single").otherwise("simple")
 
 
-def judge(relevance: Column, support: Column, n_facts: Column, high: float = 0.7, low: float = 0.3, enough: int = 5) -> Column:
-    """``accept``, ``refine`` or ``reject`` of an answer by relevance, support and how many facts back it."""
-    use = F.least(F.lit(1.0), n_facts / F.lit(float(enough)))
-    score = (relevance + support + use) / 3
-    return F.when(score >= high, "accept").when(score >= low, "refine").otherwise("reject")
+def coverage(named: Column, asked: Column) -> Column:
+    """Relevance: the share of the asked classes that the evidence names; 1 if none was asked for."""
+    return F.when(F.size(asked) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_distinct(asked), named)) / F.size(F.array_distinct(asked)))
+
+
+def usage(answer: Column, evidence: Column, enough: int = 5) -> Column:
+    """Use: how many of the evidence's names (3 characters and more) the answer cites, ``enough`` at most asked for; 0.5 without any."""
+    names = F.array_distinct(F.filter(evidence, lambda x: F.length(x) >= NAME_CHARS))
+    cited = F.size(F.filter(names, lambda x: F.lower(answer).contains(F.lower(x))))
+    return F.when(F.size(names) == 0, 0.5).otherwise(F.least(F.lit(1.0), cited / F.least(F.lit(enough), F.size(names))))
+
+
+def judge(relevance: Column, use: Column, support: Column | None = None, high: float = 0.7, low: float = 0.3) -> Column:
+    """``sufficient`` if every axis that is there reaches ``high``, ``insufficient`` if any is under ``low``, else ``ambiguous``."""
+    axes = [relevance, use, *([support] if support is not None else [])]
+    best = F.lit(True)
+    weak = F.lit(False)
+    for a in axes:
+        best = best & F.coalesce(a >= high, F.lit(True))
+        weak = weak | F.coalesce(a < low, F.lit(False))
+    return F.when(best, "sufficient").when(weak, "insufficient").otherwise("ambiguous")
+
+
+def mint(name: Column, namespace: str) -> Column:
+    """A resource's IRI from its name: the namespace and a slug."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[^\p{L}\p{N}]+", "_"), r"^_+|_+$", "")
+    return F.concat(F.lit(namespace), slug)
+
+
+FOUND = "name string, class_uri string, predicate string, object string, object_is_entity boolean, confidence double"
+
+
+def gazetteer(lexicon: dict[str, str]):
+    """An extractor that needs no model: names of a lexicon (name to class) found in the texts as whole words."""
+    pattern = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(n) for n in sorted(lexicon, key=len, reverse=True)) + r")(?!\w)")
+
+    def extract(batches):
+        import pandas as pd
+
+        for b in batches:
+            found = [(n, lexicon[n], None, None, None, 1.0) for t in b["text"] for n in (sorted(set(pattern.findall(t))) if t else ())]
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")])
+
+    return extract
+
+
+def populate_text(texts: DataFrame, extract, classes: list[str], predicates: list[str], namespace: str, least: float = 0.5) -> DataFrame:
+    """Triples of what ``extract`` finds in ``texts(text)``.
+
+    ``extract`` maps batches of texts to rows of ``FOUND`` (a model or a rule, run on the executors).  Findings under the confidence,
+    of unknown classes or with unknown predicates are dropped; names become IRIs of the namespace."""
+    f = texts.select("text").mapInPandas(extract, FOUND).where((F.col("confidence") >= least) & (F.trim("name") != ""))
+    s = mint(F.col("name"), namespace)
+    known = F.col("class_uri").isin(*classes) if classes else F.lit(False)
+    row = lambda p, o, kind, dt: F.struct(p.alias("p"), o.alias("o"), kind.alias("o_kind"), dt.alias("dt"))
+    none = F.lit(None).cast("string")
+    string = F.lit(T.XSD + "string")
+    cells = [
+        F.when(known, row(F.lit(T.TYPE), F.col("class_uri"), F.lit("iri"), none)), F.when(known, row(F.lit(T.LABEL), F.trim("name"), F.lit("literal"), string)),
+        F.when(F.col("predicate").isin(*predicates) if predicates else F.lit(False), row(F.col("predicate"), F.when(F.col("object_is_entity"), mint(F.col("object"), namespace)).otherwise(F.col("object")), F.when(F.col("object_is_entity"), "iri").otherwise("literal"), F.when(~F.coalesce("object_is_entity", F.lit(False)), string))),
+    ]
+    t = f.select(s.alias("s"), F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")).where("c.o is not null")
+    return t.select(F.lit(None).cast("string").alias("ontology"), F.lit("data").alias("layer"), "s", F.lit("iri").alias("s_kind"), "c.p", "c.o", "c.o_kind", "c.dt", none.alias("lang")).select(*COLUMNS).distinct()
 
 
 def mentions(text: str, names: list[str]) -> list[str]:

@@ -61,6 +61,16 @@ def class_detail(graph: Graph, class_uri: str, ontology: str | None = None, samp
     return own.asDict() | {"parents": parents, "children": children, "properties": props, "instances_inferred": instances(graph, uri, ontology).count(), "sample": some}
 
 
+def class_graph(graph: Graph, ontology: str | None = None) -> DataFrame:
+    """``kind, id, label, source, target, instances``: a node per class and an edge per parent, for a drawing of the hierarchy."""
+    c = classes(graph, ontology)
+    name = F.coalesce("label", F.regexp_extract("uri", r"([^/#:]*)$", 1))
+    none = F.lit(None).cast("string")
+    nodes = c.select(F.lit("node").alias("kind"), F.col("uri").alias("id"), name.alias("label"), none.alias("source"), none.alias("target"), F.col("instances").cast("long").alias("instances"))
+    edges = c.where("parent is not null").select(F.lit("edge").alias("kind"), F.concat(F.col("uri"), F.lit(" subClassOf "), F.col("parent")).alias("id"), F.lit("subClassOf").alias("label"), F.col("parent").alias("source"), F.col("uri").alias("target"), F.lit(None).cast("long").alias("instances"))
+    return nodes.unionByName(edges)
+
+
 def schema_hash(graph: Graph, ontology: str | None = None) -> str:
     """MD5 over the sorted class and property IRIs; changes when the schema does."""
     c = sorted(r["uri"] for r in classes(graph, ontology).select("uri").collect())

@@ -64,12 +64,26 @@ def bm25(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "text"
     return d.where(want).crossJoin(F.broadcast(stats)).select("id", total.alias("score"))  # one row of statistics
 
 
-def search_text(graph: Graph, query: str, class_uri: str | None = None, limit: int = 10, ontology: str | None = None) -> DataFrame:
-    """``uri, score``: every literal of the text properties is a document; an entity has its best one's score.
+def literals(graph: Graph, fields: str = "text", ontology: str | None = None) -> DataFrame:
+    """Documents ``id(s, p, o), text``.  ``text``: each literal of the text properties; ``all``: each string literal of any
+    property; ``node``: all string literals of a node as one text, in the order of predicate and value."""
+    if fields not in ("text", "all", "node"):
+        raise ValueError(f"unknown fields {fields!r}")
+    strings = (F.col("o_kind") == "literal") & (F.col("lang").isNotNull() | F.col("dt").isNull() | F.col("dt").isin(T.XSD + "string", T.RDF + "langString"))
+    lit = graph.triples(list(T.TEXT_PROPERTIES) if fields == "text" else None, ontology, ("schema", "data") if fields == "text" else ("data",)).where(F.col("o_kind") == "literal" if fields == "text" else strings)
+    lit = lit.select("s", "p", "o").distinct()
+    if fields == "node":
+        lit = lit.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("p", "o"))).alias("all"))
+        lit = lit.select("s", F.lit(None).cast("string").alias("p"), F.array_join(F.transform("all", lambda x: x["o"]), "\n").alias("o"))
+    return lit.select(F.struct("s", "p", "o").alias("id"), F.col("o").alias("text"))
+
+
+def search_text(graph: Graph, query: str, class_uri: str | None = None, limit: int = 10, ontology: str | None = None, fields: str = "text") -> DataFrame:
+    """``uri, score``: an entity has the score of its best document (see ``literals``).
 
     Only typed entities; with a class only its instances, descendants included, and filtered before the top is taken."""
-    lit = graph.triples(list(T.TEXT_PROPERTIES), ontology).where("o_kind = 'literal'").select(F.struct("s", "p", "o").alias("id"), F.col("o").alias("text")).distinct()
-    scored = bm25(lit, query).select(F.col("id.s").alias("s"), "score")
+    T.limit("search", limit)
+    scored = bm25(literals(graph, fields, ontology), query).select(F.col("id.s").alias("s"), "score")
     typed = graph.triples([T.TYPE], ontology).where(~F.col("o").isin(*T.VOCABULARY_TYPES)).select("s").distinct() if class_uri is None else instances(graph, graph.iri(class_uri), ontology)
     best = scored.join(typed, "s", "left_semi").groupBy(F.col("s").alias("uri")).agg(F.max("score").alias("score"))
     return best.orderBy(F.desc("score"), "uri").limit(limit)

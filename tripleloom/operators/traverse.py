@@ -9,7 +9,7 @@ from ..plans import terms as T
 from ..plans.materialise import materialise
 from .graph import Graph, instances
 
-MAX_DEPTH = 6
+MAX_DEPTH = T.LIMITS["depth"][1]
 
 
 def _steps(graph: Graph, predicate: str | None, direction: str, ontology: str | None) -> DataFrame:
@@ -24,18 +24,20 @@ def _steps(graph: Graph, predicate: str | None, direction: str, ontology: str |
 
 def traverse(graph: Graph, start: str, predicate: str | None = None, max_depth: int = 2, direction: str = "out", ontology: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes ``uri, depth`` (first seen; the start not among them) and the edges ``s, p, o`` that were touched."""
-    depth = max(1, min(MAX_DEPTH, max_depth))
+    depth = T.limit("depth", max_depth)
     steps = _steps(graph, predicate, direction, ontology)
-    seen = graph.spark.createDataFrame([(graph.iri(start), 0)], "uri string, depth int")
+    seen = frontier = graph.spark.createDataFrame([(graph.iri(start), 0)], "uri string, depth int")
     touched = None
     for d in range(1, depth + 1):
-        hop = steps.join(seen.where(F.col("depth") == d - 1).select(F.col("uri").alias("u")), "u", "left_semi")
+        # read twice below: nodes and edges of the hop
+        hop = materialise(steps.join(frontier.select(F.col("uri").alias("u")), "u", "left_semi"))
         edges = hop.select(F.when(F.col("forward"), F.col("u")).otherwise(F.col("v")).alias("s"), "p", F.when(F.col("forward"), F.col("v")).otherwise(F.col("u")).alias("o")).distinct()
         new = hop.select(F.col("v").alias("uri")).distinct().join(seen, "uri", "left_anti").select("uri", F.lit(d).alias("depth"))
         touched = edges if touched is None else touched.unionByName(edges)
-        seen = materialise(seen.unionByName(new))
-        if seen.where(F.col("depth") == d).isEmpty():
+        frontier = materialise(new)
+        if frontier.isEmpty():
             break
+        seen = seen.unionByName(frontier)
     return seen.where("depth > 0"), touched.distinct()
 
 
@@ -44,7 +46,7 @@ def find_path(graph: Graph, a: str, b: str, max_depth: int = 4, ontology: str |
 
     Among equal paths each node keeps its least (parent, predicate)."""
     a, b = graph.iri(a), graph.iri(b)
-    depth = max(1, min(MAX_DEPTH, max_depth))
+    depth = T.limit("depth", max_depth)
     if a == b:
         return []
     steps = _steps(graph, None, "both", ontology)
@@ -75,7 +77,7 @@ def distances(graph: Graph, start: str, predicates: tuple[str, ...] | None = Non
     e = graph.edges(None if predicates is None else [graph.iri(p) for p in predicates], ontology)
     both = e.select(F.col("s").alias("u"), F.col("o").alias("v")).unionByName(e.select(F.col("o").alias("u"), F.col("s").alias("v")))
     seen = graph.spark.createDataFrame([(graph.iri(start), 0)], "uri string, depth int")
-    for d in range(1, min(MAX_DEPTH, max_depth) + 1):
+    for d in range(1, T.limit("depth", max_depth) + 1):
         new = both.join(seen.where(F.col("depth") == d - 1).select(F.col("uri").alias("u")), "u", "left_semi").select(F.col("v").alias("uri")).distinct().join(seen, "uri", "left_anti").select("uri", F.lit(d).alias("depth"))
         seen = materialise(seen.unionByName(new))
         if seen.where(F.col("depth") == d).isEmpty():

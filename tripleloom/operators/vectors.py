@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import terms as T
+from .graph import Graph, instances
 from .search import rrf
 
 
@@ -22,6 +24,7 @@ def find_similar(vectors: DataFrame, key, top_k: int = 10, id_col: str = "id", v
     """``id, score``: the nearest by cosine to the vector of ``key``, itself and zero vectors left out; empty if it has none.
 
     ``keep`` filters the candidates before the top is taken."""
+    T.limit("similar", top_k)
     v = vectors.where(keep) if keep is not None else vectors
     one = vectors.where(F.col(id_col) == key).select(F.col(vec_col).alias("_q")).limit(1)
     s = v.where(F.col(id_col) != key).crossJoin(F.broadcast(one)).select(F.col(id_col).alias("id"), cosine(F.col(vec_col), F.col("_q")).alias("score"))  # one row
@@ -33,6 +36,36 @@ def hybrid(structural: DataFrame, textual: DataFrame, top_k: int = 10) -> DataFr
     return rrf([x.select(F.col("id").alias("uri"), "score") for x in (structural, textual)], top_k)
 
 
+def hybrid_search(graph: Graph, structural: DataFrame, textual: DataFrame, uri: str, top_k: int = 10, class_uri: str | None = None, ontology: str | None = None) -> DataFrame:
+    """``uri, score``: neighbours of one entity by structure and by text, two lists of twice the length fused by rank.
+
+    Vectors are tables ``id, vec`` of IRIs.  With a class only its instances, descendants included, are candidates, filtered
+    before either top is taken; an entity without a vector of one kind is ranked by the other alone."""
+    uri = graph.iri(uri)
+    lists = []
+    for v in (structural, textual):
+        if class_uri is not None:
+            own = instances(graph, graph.iri(class_uri), ontology).select(F.col("s").alias("id"))
+            v = v.join(own, "id", "left_semi").unionByName(v.where(F.col("id") == uri)).distinct()
+        lists.append(find_similar(v, uri, 2 * top_k))
+    return hybrid(lists[0], lists[1], top_k)
+
+
+def upsert(table: DataFrame, vectors: DataFrame, ontology: str) -> DataFrame:
+    """A vector table ``id, vec, ontologies`` with ``vectors(id, vec)`` of one ontology put in.
+
+    A known id takes the new vector and is tagged with the ontology as well."""
+    new = vectors.select("id", F.col("vec").alias("_v")).withColumn("_o", F.array(F.lit(ontology)))
+    both = table.join(new, "id", "full_outer")
+    none = F.array().cast("array<string>")
+    return both.select("id", F.coalesce("_v", "vec").alias("vec"), F.array_sort(F.array_union(F.coalesce("ontologies", none), F.coalesce("_o", none))).alias("ontologies"))
+
+
+def untag(table: DataFrame, ontology: str) -> DataFrame:
+    """The table without the ontology's tag; vectors that no other ontology names go."""
+    return table.withColumn("ontologies", F.array_remove("ontologies", ontology)).where(F.size("ontologies") > 0)
+
+
 def _unit(v: str) -> Column:
     n = F.sqrt(dot(F.col(v), F.col(v)))
     return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(F.col(v))

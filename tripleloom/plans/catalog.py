@@ -93,11 +93,11 @@ def find_lte_and(spark, d):
     return _find(spark, d, ("part",), "v:Part", Filter("v:size", "<=", 10), Filter("v:retailPrice", "<=", 1200))
 
 
-@query("SELECT 'urn:t:part/' || p_partkey AS uri, p_name AS label FROM part WHERE contains(p_name, '7')")
+@query("SELECT 'urn:t:part/' || p_partkey AS uri, p_name AS label FROM part WHERE contains(p_name, 'red')")
 def find_contains(spark, d):
     from .terms import LABEL
 
-    return _find(spark, d, ("part",), "v:Part", Filter(LABEL, "contains", "7"))
+    return _find(spark, d, ("part",), "v:Part", Filter(LABEL, "contains", "red"))
 
 
 @query("SELECT 'urn:t:part/' || p_partkey AS uri, p_name AS label FROM part WHERE starts_with(p_type, 'PRO')")
@@ -269,10 +269,11 @@ def sameas_components(spark, d):
     return traverse.identity_classes(e)
 
 
-@query("SELECT 'urn:t:customer/' || c_custkey AS s FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT 'urn:t:customer/' || c_custkey AS s FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def not_exists(spark, d):
     g = lifted(spark, d, ("customer", "orders"))
-    return graph.instances(g, "urn:v:Customer").join(g.edges([V + "placedBy"]).select(F.col("o").alias("s")), "s", "left_anti")
+    done = g.triples([V + "status"]).where("o = 'F'").select("s")
+    return graph.instances(g, "urn:v:Customer").join(g.edges([V + "placedBy"]).join(done, "s", "left_semi").select(F.col("o").alias("s")), "s", "left_anti")
 
 
 _BM25 = """WITH t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents {where}),
@@ -366,7 +367,8 @@ def do_adjusted(spark, d):
     return spark.createDataFrame([(round(p, 6),)], "p double")
 
 
-@query("SELECT * FROM (VALUES ('Cancer', 'no'), ('Genotype', 'normal'), ('Smoking', 'no')) t(variable, state)")
+@query(_NET + """, j AS (SELECT g, s, 'yes' AS c, pg * ps * pc AS w FROM g JOIN s USING (g) JOIN c USING (g, s) UNION ALL SELECT g, s, 'no', pg * ps * (1 - pc) FROM g JOIN s USING (g) JOIN c USING (g, s)),
+  b AS (SELECT * FROM j ORDER BY w DESC LIMIT 1) SELECT 'Cancer' AS variable, c AS state FROM b UNION ALL SELECT 'Genotype', CASE g WHEN 0 THEN 'risk' ELSE 'normal' END FROM b UNION ALL SELECT 'Smoking', s FROM b""")
 def bayes_mpe(spark, d):
     return spark.createDataFrame(sorted(bayes.mpe(smoking()).items()), "variable string, state string")
 
@@ -440,12 +442,20 @@ def memory_prune(spark, d):
     return populate.prune(_table(spark, d, "events"), "2024-01-31 00:00:00", 1, "ts").select("event_id", "event_type")
 
 
-@query("""SELECT doc_id, CASE WHEN contains(q, 'why') OR contains(q, 'because') OR contains(q, 'compare') OR contains(q, 'difference') OR contains(q, 'explain') OR contains(q, 'cause') OR contains(q, 'relationship between') OR contains(q, 'how does') THEN 'multi'
-  WHEN contains(q, 'tion')::INT + contains(q, 'der')::INT >= 2 OR contains(q, 'through') OR contains(q, 'via') OR contains(q, 'connected') OR contains(q, 'path') OR contains(q, 'indirect') OR contains(q, 'chain') OR contains(q, 'in turn') THEN 'multi'
-  WHEN contains(q, 'tion')::INT + contains(q, 'der')::INT = 1 THEN 'single' ELSE 'simple' END AS route FROM (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS q FROM documents)""")
+def _edges_of_words(pattern: str) -> str:
+    """A pattern with ``\\b`` spelled out for letters of any script."""
+    ends = r"(?:^|$|[^\p{L}\p{N}_])"
+    return pattern.replace(r"\b", ends).replace(r"\s", r"[\s\p{Z}]")
+
+
+_ROUTE = " ".join(
+    f"WHEN regexp_matches(t, '(?i){'|'.join('(?:' + _edges_of_words(p) + ')' for p in patterns)}') THEN 'multi'" for patterns in (populate.REASONING, populate.HOPS)
+)
+
+
+@query(f"SELECT doc_id, CASE {_ROUTE} WHEN contains(lower(t), 'tion')::INT + contains(lower(t), 'der')::INT >= 2 THEN 'multi' WHEN contains(lower(t), 'tion') OR contains(lower(t), 'der') THEN 'single' ELSE 'simple' END AS route FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def router_class(spark, d):
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
-    return _table(spark, d, "documents").select("doc_id", populate.route(first, ["Tion", "Der"]).alias("route"))
+    return _table(spark, d, "documents").select("doc_id", populate.route(F.coalesce("text", F.lit("")), ["Tion", "Der", "Xy"]).alias("route"))
 
 
 @query("""SELECT 'urn:x/nation/' || n_nationkey AS s, unnest(['urn:v:name', 'urn:v:region', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type']) AS p, unnest([n_name, n_regionkey::VARCHAR, 'urn:v:Nation']) AS o FROM nation""")
@@ -476,13 +486,13 @@ def sparql_group(spark, d):
         } GROUP BY ?r ORDER BY DESC(?n)""")
 
 
-@query("SELECT 'urn:t:customer/' || c_custkey AS c FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT 'urn:t:customer/' || c_custkey AS c FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def sparql_union_not_exists(spark, d):
     from .sparql import select
 
     return select(lifted(spark, d, ("customer", "orders")), """
         PREFIX v: <urn:v:>
-        SELECT ?c WHERE { { ?c v:segment "BUILDING" } UNION { ?c v:segment "MACHINERY" } FILTER NOT EXISTS { ?o v:placedBy ?c } }""")
+        SELECT ?c WHERE { { ?c v:segment "BUILDING" } UNION { ?c v:segment "MACHINERY" } FILTER NOT EXISTS { ?o v:placedBy ?c . ?o v:status "F" } }""")
 
 
 @query("SELECT 'urn:t:customer/' || c_custkey AS c, 'urn:t:region/' || n_regionkey AS x FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal::DECIMAL(18,2) > 9000 UNION ALL SELECT 'urn:t:customer/' || c_custkey, 'urn:t:nation/' || c_nationkey FROM customer WHERE c_acctbal::DECIMAL(18,2) > 9000")
@@ -490,3 +500,6 @@ def sparql_path(spark, d):
     from .sparql import select
 
     return select(lifted(spark, d, ("customer", "nation")), "PREFIX v: <urn:v:> SELECT ?c ?x WHERE { ?c v:locatedIn+ ?x ; v:balance ?b . FILTER(?b > 9000) }")
+
+
+from . import catalog_more  # noqa: E402, F401  registers the rest

@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def sweep() -> None:
+    """Delete what loops of this process wrote."""
+    try:
+        while _written:
+            spark, path = _written.pop()
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone already
+        return
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set and the master is local."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         folder = tempfile.mkdtemp(prefix="tripleloom-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -20,5 +38,6 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/loop-{uuid.uuid4().hex}"
+    _written.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

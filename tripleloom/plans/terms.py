@@ -24,6 +24,7 @@ TEXT_PROPERTIES = (LABEL, COMMENT, PREF, DEFINITION)
 #: Types that belong to the vocabulary and never name an instance's class.
 VOCABULARY_TYPES = (
     *CLASSES, *PROPERTIES, RDF + "Property", TRANSITIVE, FUNCTIONAL, OWL + "SymmetricProperty", OWL + "InverseFunctionalProperty",
+    OWL + "AsymmetricProperty", OWL + "ReflexiveProperty", OWL + "IrreflexiveProperty",
     OWL + "Ontology", OWL + "NamedIndividual", OWL + "Restriction", RDFS + "Datatype",
 )
 NUMERIC = tuple(XSD + t for t in ("integer", "decimal", "double", "float", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "negativeInteger", "nonPositiveInteger", "unsignedInt", "unsignedLong"))
@@ -42,6 +43,18 @@ def ontology_id(name: str | None) -> str | None:
     return name
 
 
+# The least and most that a caller may ask for.
+LIMITS = {"search": (1, 200), "similar": (1, 100), "depth": (1, 6), "related": (1, 1000), "pattern": (1, 10_000)}
+
+
+def limit(what: str, value: int) -> int:
+    """A checked limit; ValueError outside of ``LIMITS``."""
+    least, most = LIMITS[what]
+    if not least <= value <= most:
+        raise ValueError(f"{what} must be {least} to {most}, not {value}")
+    return value
+
+
 def is_variable(term: str) -> bool:
     return bool(_VARIABLE.fullmatch(term))
 

@@ -89,16 +89,16 @@ def lifted(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] | None = No
     for x in LIFTS:
         if tables is None or x.table in tables:
             o, kind = (ref(*x.obj), "iri") if isinstance(x.obj, tuple) else (F.expr(x.obj), "literal")
-            parts.append(Part(_row(read(x.table), "data", ref(*x.subject), x.predicate, o, kind, x.dt), frozenset([x.predicate]), "data"))
+            parts.append(Part(_row(read(x.table), "data", ref(*x.subject), x.predicate, o, kind, x.dt), frozenset([x.predicate]), "data", x.table != "lineitem"))
     tbox = [(V + c, T.SUBCLASS, V + p, "iri", None) for c, p in _PARENTS.items()]
     for table, kind, key, name, by in CLASSES:
         if tables is None or table in tables:
             df = read(table)
             cls = F.lit(V + name) if by is None else F.concat(F.lit(V + name), slug(F.col(by)))
-            parts.append(Part(_row(df, "data", ref(kind, key), T.TYPE, cls, "iri", None), frozenset([T.TYPE]), "data"))
+            parts.append(Part(_row(df, "data", ref(kind, key), T.TYPE, cls, "iri", None), frozenset([T.TYPE]), "data", True))
             if by is not None:
                 sub = df.select(F.concat(F.lit(V + name), slug(F.col(by))).alias("c")).distinct()
-                parts.append(Part(_row(sub, "schema", F.col("c"), T.SUBCLASS, F.lit(V + name[:-1]), "iri", None), frozenset([T.SUBCLASS]), "schema"))
+                parts.append(Part(_row(sub, "schema", F.col("c"), T.SUBCLASS, F.lit(V + name[:-1]), "iri", None), frozenset([T.SUBCLASS]), "schema", True))
     for c in ("Place", "Region", "Nation", "Agent", "Customer", "Supplier", "Part", "Order", "Event", "Document"):
         tbox.append((V + c, T.TYPE, T.OWL + "Class", "iri", None))
     for p, d, r in (("locatedIn", "Place", "Place"), ("placedBy", "Order", "Customer"), ("placed", "Customer", "Order"), ("hasBrand", "Part", "Brand"), ("orderContains", "Order", "Part"), ("orderSuppliedBy", "Order", "Supplier"), ("byUser", "Event", "User")):
@@ -107,5 +107,5 @@ def lifted(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] | None = No
         tbox += [(V + p, T.TYPE, T.OWL + "DatatypeProperty", "iri", None), (V + p, T.DOMAIN, V + d, "iri", None), (V + p, T.RANGE, r, "iri", None)]
     tbox += [(V + "locatedIn", T.TYPE, T.TRANSITIVE, "iri", None), (V + "placed", T.INVERSE, V + "placedBy", "iri", None)]
     rows = spark.createDataFrame([(None, "schema", s, "iri", p, o, k, dt, None) for s, p, o, k, dt in tbox], "ontology string, layer string, s string, s_kind string, p string, o string, o_kind string, dt string, lang string")
-    parts.append(Part(rows, None, "schema"))
+    parts.append(Part(rows, None, "schema", True))
     return Graph(spark, parts, {"v": V, "t": NS})

@@ -7,6 +7,7 @@ import os
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,13 @@ class Store:
         folder = f"{self.path}/ontology={self._scope(ontology)}/layer={layer}"
         out.write.mode("overwrite").parquet(folder)
 
+    def _append(self, rows: DataFrame, ontology: str | None, layer: str) -> None:
+        """Write the triples that are not there yet as new files; what is there stays as it is."""
+        columns = [c for c in COLUMNS if c not in ("ontology", "layer")]
+        new = materialise(rows.select(*columns).subtract(self._get(ontology, layer).select(*columns)))
+        if not new.isEmpty():
+            new.write.mode("append").parquet(f"{self.path}/ontology={self._scope(ontology)}/layer={layer}")
+
     def _get(self, ontology: str | None, layer: str) -> DataFrame:
         own = F.col("ontology").isNull() if ontology is None else F.col("ontology") == ontology
         return self.rows().where(own & (F.col("layer") == layer))
@@ -64,8 +72,10 @@ class Store:
         """Schema replaces its layer, data adds (or replaces); equal triples are one.  Returns the triples given."""
         t = materialise(triples.distinct())
         layer = LAYERS[mode] if mode else "schema" if turtle.is_schema_frame(t) else "data"
-        new = t if replace or layer == "schema" else t.unionByName(self._get(ontology, layer).select(*t.columns))
-        self._put(new, ontology, layer)
+        if replace or layer == "schema":
+            self._put(t, ontology, layer)
+        else:
+            self._append(t, ontology, layer)
         return t.count()
 
     def load_rdf(self, path: str, mode: str | None = None, replace: bool = False, ontology: str | None = None) -> int:
@@ -80,21 +90,27 @@ class Store:
                     self.prefixes[found[0][8][:-1]] = found[1][1][1:-1]
         return self.load(t, mode, replace, ontology)
 
-    def assert_triples(self, triples: list[tuple[str, str, str]], ontology: str | None = None) -> int:
-        """Add data triples; an object that is no IRI is a plain string."""
-        rows = []
-        for s, p, o in triples:
-            s, p = T.iri(s, self.prefixes), T.iri(p, self.prefixes)
-            try:
-                rows.append((s, "iri", p, T.iri(o, self.prefixes), "iri", None, None))
-            except ValueError:
-                rows.append((s, "iri", p, o, "literal", T.XSD + "string", None))
-        return self.load(self.spark.createDataFrame(rows, turtle.ROWS), "data", False, ontology) if rows else 0
+    def _object(self, o: str, object_is_uri: bool) -> tuple[str, str, str | None]:
+        """Object, kind and datatype: a checked IRI or a plain string."""
+        return (T.iri(o, self.prefixes), "iri", None) if object_is_uri else (o, "literal", T.XSD + "string")
+
+    def assert_triples(self, triples: list[tuple], ontology: str | None = None) -> int:
+        """Add data triples ``(s, p, o)`` or ``(s, p, o, object_is_uri)``; without the flag the object is a plain string.
 
-    def retract_triple(self, s: str, p: str, o: str, ontology: str | None = None) -> int:
-        """Remove a data triple; 0 if it is not there."""
+        Only triples that are not there are written, as new files beside the old ones.  Returns the triples given."""
+        rows = []
+        for s, p, o, *flag in triples:
+            o, kind, dt = self._object(o, bool(flag and flag[0]))
+            rows.append((T.iri(s, self.prefixes), "iri", T.iri(p, self.prefixes), o, kind, dt, None))
+        if rows:
+            self._append(self.spark.createDataFrame(rows, turtle.ROWS).distinct(), ontology, "data")
+        return len(rows)
+
+    def retract_triple(self, s: str, p: str, o: str, object_is_uri: bool = False, ontology: str | None = None) -> int:
+        """Remove a data triple, the resource or the literal as the flag says; 0 if it is not there."""
         own = self._get(ontology, "data")
-        hit = (F.col("s") == T.iri(s, self.prefixes)) & (F.col("p") == T.iri(p, self.prefixes)) & (F.col("o") == o)
+        o, kind, _ = self._object(o, object_is_uri)
+        hit = (F.col("s") == T.iri(s, self.prefixes)) & (F.col("p") == T.iri(p, self.prefixes)) & (F.col("o") == o) & (F.col("o_kind") == kind)
         n = own.where(hit).count()
         if n:
             self._put(own.where(~hit), ontology, "data")
@@ -110,9 +126,13 @@ class Store:
         return out
 
     def dump(self, path: str, target: str = "data", fmt: str = "jsonl", ontology: str | None = None) -> None:
-        """``json``/``jsonl``: objects of s, p, o; ``ttl``: N-Triples lines, which are Turtle; ``csv``: one sheet a graph."""
+        """``jsonl``: objects of s, p, o; ``json``: one array of them a file; ``ttl``: N-Triples lines, which are Turtle; ``csv``: one sheet a graph."""
         t = self._get(ontology, LAYERS[target])
-        if fmt in ("json", "jsonl"):
+        if fmt == "json":
+            # a file a task: its rows fold into one array
+            array = lambda batches: (pd.DataFrame({"value": ["[" + ",\n".join(v for b in batches for v in b["value"]) + "]"]}) for _ in (0,))
+            t.select(F.to_json(F.struct("s", "p", "o")).alias("value")).mapInPandas(array, "value string").write.mode("overwrite").text(path)
+        elif fmt == "jsonl":
             t.select(F.to_json(F.struct("s", "p", "o")).alias("value")).write.mode("overwrite").text(path)
         elif fmt == "csv":
             t.select("s", "p", "o").write.mode("overwrite").option("header", True).csv(path)

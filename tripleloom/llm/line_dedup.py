@@ -11,7 +11,7 @@ does not depend on whether the earlier one stays itself, so the decision is a jo
    characters need no sieve: they go on whole, as the middle of a key of their own.
 3. *Deletion neighbourhoods* of the middles, as hashed keys.  Lines with the same middle less character p
    are one replacement apart; a line whose middle less one character is another's whole middle is one insertion
-   apart.  Each key is aggregated to its earliest line and joined back: a star for each key, no
+   apart.  Each line of a key meets the key's earliest line: a star for each key, no
    pairs within a key.
 4. The edit distance of each line's middle and that of the earlier line that it met is verified on the characters; what a key
    leaves outside the middle is equal by a 64-bit hash, equal lines by a 128-bit one.
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spool import maybe_broadcast, spool
@@ -158,16 +158,17 @@ def staying_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     less = lambda p: F.concat(F.substring("middle", F.lit(1), p - 1), F.substring("middle", p + 1, F.length("middle")))
     near = met.where("length(middle) > 0")
     who = F.struct("at", "h1", "h2")
+    # rows of one variant are different lines, so they are at most as many as characters exist (times the places of one more)
+    same = Window.partitionBy("v")
+    met_with = lambda early: ["key", "h1", "h2", early["h1"].alias("o1"), early["h2"].alias("o2")]
     # one replacement: the same middle less the character at the same place
     swap = near.select("key", "h1", "h2", "at", F.explode(F.transform(spot, lambda p: F.xxhash64("key", F.lit("swap"), p, less(p)))).alias("v"))
-    star = swap.groupBy("v").agg(F.min(who).alias("early"), F.max("h1").alias("hi"), F.min("h1").alias("lo")).where("lo < hi").select("v", "early")
-    swaps = swap.join(star, "v").where("early.at < at").select("key", "h1", "h2", F.col("early.h1").alias("o1"), F.col("early.h2").alias("o2"))
+    swaps = swap.withColumn("early", F.min(who).over(same)).where("early.at < at").select(met_with(F.col("early")))
     # one insertion: a whole middle against the others' middles less one character
     whole = met.select("key", "h1", "h2", "at", F.xxhash64("key", F.lit("drop"), F.col("middle")).alias("v"), F.lit(True).alias("whole"))
     drop = near.select("key", "h1", "h2", "at", F.explode(F.array_distinct(F.transform(spot, lambda p: F.xxhash64("key", F.lit("drop"), less(p))))).alias("v"), F.lit(False).alias("whole"))
-    both = whole.unionByName(drop)
-    star = both.groupBy("v").agg(F.min(F.when(F.col("whole"), who)).alias("w"), F.min(F.when(~F.col("whole"), who)).alias("o")).where("w is not null and o is not null")
-    drops = both.join(star, "v").withColumn("early", F.when(F.col("whole"), F.col("o")).otherwise(F.col("w"))).where("early.at < at").select("key", "h1", "h2", F.col("early.h1").alias("o1"), F.col("early.h2").alias("o2"))
+    both = whole.unionByName(drop).withColumns({"w": F.min(F.when(F.col("whole"), who)).over(same), "o": F.min(F.when(~F.col("whole"), who)).over(same)})
+    drops = both.withColumn("early", F.when(F.col("whole"), F.col("o")).otherwise(F.col("w"))).where("early.at < at").select(met_with(F.col("early")))
     pairs = swaps.unionByName(drops).distinct()
     text = met.select("key", "h1", "h2", "middle")
     other = met.select("key", F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("middle").alias("m2"))

@@ -323,6 +323,31 @@ def test_topk(spark):
     assert got == want and topk.top_k(d.where("1 = 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_prunes_clusters(spark):
+    """Clusters far apart: most pairs are never scored, the result is that of brute force, repeated ids and longer ids included."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 40, (12, 6))
+    x = (centres[rng.integers(0, 12, 3000)] + rng.normal(0, 0.5, (3000, 6))).round(2)
+    ids = np.arange(3000)
+    ids[2990:] = ids[:10]
+    d = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), ["extra"] * 3000)), "vec_id long, embedding array<double>, query_id string")
+    got = {tuple(r) for r in topk.top_k(d, F.col("vec_id") % 60 == 0, block_rows=300, query_rows=8).collect()}
+    v = np.floor(1024 * x).astype(np.int64)
+    want = set()
+    for q in range(0, 2990, 60):
+        own = min(v[ids == q].tolist())
+        s = v @ np.array(own)
+        best = sorted((-int(s[i]), int(ids[i])) for i in range(3000) if ids[i] != q)[:10]
+        want |= {(q, k + 1, i, -m) for k, (m, i) in enumerate(best)}
+    assert got == want
+    asked = np.arange(0, 2990, 60)
+    best = topk.search(topk.CoverTree(asked, v[asked], topk.QUERY_LEAF), topk.CoverTree(ids, v), 10)
+    assert best.scored < 0.35 * len(asked) * 3000
+    tree = topk.CoverTree(ids, v)
+    again = topk.CoverTree.load(*tree.dump(), 6)
+    assert [n[:2] + n[3:] for n in tree.nodes] == [n[:2] + n[3:] for n in again.nodes] and (again.points == tree.points).all()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -341,7 +341,7 @@ def test_topk_prunes_clusters(spark):
         want |= {(q, k + 1, i, -m) for k, (m, i) in enumerate(best)}
     assert got == want
     asked = np.arange(0, 2990, 60)
-    best = topk.search(topk.CoverTree(asked, v[asked], topk.QUERY_LEAF), topk.CoverTree(ids, v), 10)
+    best = topk.search(topk.CoverTree(asked, v[asked], 8), topk.CoverTree(ids, v), 10)
     assert best.scored < 0.35 * len(asked) * 3000
     tree = topk.CoverTree(ids, v)
     again = topk.CoverTree.load(*tree.dump(), 6)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .spool import spool
 
 #: Points of a leaf, of candidates and of queries.
-LEAF, QUERY_LEAF = 128, 16
+LEAF, QUERY_LEAF = 256, 64
 #: Vectors that blocks are dealt by, at most, and candidate blocks that a query block meets first.
 PIVOTS, SEEDS = 256, 2
 LONG = (-(2**63), 2**63 - 1)

@@ -220,6 +220,79 @@ def test_quality(spark, odd, none):
     assert quality_gam.train(odd, y.where("1 = 0")).score(np.zeros((1, len(quality_gam.NAMES)))) == pytest.approx([0.5])
 
 
+def test_language_and_quality_scores_by_hand(spark):
+    """The registered scores against a plain loop over the fitted models, text by text."""
+    d, y = (queries.table(spark, SF, t) for t in ("documents", "labels"))
+    rows = d.select("doc_id", "text").orderBy("doc_id").limit(60).collect()
+    m = language_id.train(d)
+    got = {r["doc_id"]: r for r in language_id.predict(d, m).collect()}
+    low = [32 if c < 33 else c + 32 if 65 <= c < 91 else c for c in range(256)]
+    for r in rows[:20]:
+        c, n = [low[b] for b in r["text"].encode()], collections.Counter()
+        for k in range(len(c)):
+            n[(c[k] * 0x9E3779B1 & 0xFFFFFFFF) >> 19] += 1
+            if k + 1 < len(c):
+                n[((c[k] * 257 + c[k + 1]) * 0x85EBCA6B & 0xFFFFFFFF) >> 19] += 1
+            if k + 2 < len(c):
+                n[((c[k] * 66049 + c[k + 1] * 257 + c[k + 2] + (1 << 25)) * 0xC2B2AE35 & 0xFFFFFFFF) >> 19] += 1
+        margin = m.bias + sum((v / sum(n.values())) ** 0.5 * m.weights[g].astype(float) for g, v in n.items())
+        loss = [float((np.log1p(np.exp(-np.clip(margin, -15, 15) * code)) * m.trust).sum() / m.trust.sum()) for code in m.code]
+        p = np.exp(-4 * (np.array(loss) - min(loss)))
+        assert got[r["doc_id"]]["lang_pred"] == m.names[int(np.argmin(loss))] and got[r["doc_id"]]["score"] == pytest.approx(p.max() / p.sum(), abs=1e-3)
+    g = quality_gam.train(d, y)
+    got = {r["doc_id"]: r for r in quality_gam.score(d, g).collect()}
+    import pyarrow as pa
+
+    for r in rows:
+        x = quality_gam.features(pa.array([r["text"]]))[0]
+        at = [sum(v >= e for e in edges.tolist()) for v, edges in zip(x.tolist(), g.edges)]
+        z = g.base + sum(float(t[b]) for t, b in zip(g.tables, at)) + sum(float(t[int(g.coarse[i][at[i]]), int(g.coarse[j][at[j]])]) for i, j, t in g.pairs)
+        want = 1 / (1 + np.exp(-z))
+        assert got[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-6) and got[r["doc_id"]]["predicted"] == int(want >= 0.3)
+
+
+def test_line_dedup_of_documents(spark):
+    """op10 over whole documents against a comparison of all lines of like length."""
+
+    def near(a, b):
+        a, b = sorted((a, b), key=len)
+        k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+        return a[k:] == b[k + 1 :] if len(a) < len(b) else a[k + 1 :] == b[k + 1 :]
+
+    docs = sorted((r["doc_id"], r["text"]) for r in queries.table(spark, SF, "documents").select("doc_id", "text").collect())
+    want, seen, by_length = {}, set(), collections.defaultdict(list)
+    for i, text in docs:
+        lines = text.split("\n") if text else []
+        left = []
+        for line in lines:
+            if not line.strip(" \t\x0b\x0c\r"):
+                left.append(line)
+            elif line not in seen:
+                if not any(near(line, x) for n in (-1, 0, 1) for x in by_length[len(line) + n]):
+                    left.append(line)
+                seen.add(line)
+                by_length[len(line)].append(line)
+        want[i] = (len(lines), len(left), zlib.crc32("\n".join(left).encode()))
+    got = {r["doc_id"]: (r["n_lines"], r["n_kept"], r["text_crc32"]) for r in queries.op10_line_dedup(spark, SF).collect()}
+    assert got == want and sum(x[1] for x in want.values()) < sum(x[0] for x in want.values()) - 100
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        ids = [r["doc_id"] for r in out.select("doc_id").collect()]
+        assert set(ids) <= {i for i, _ in ODD} and len(ids) <= len(ODD), name
+        if name == "near_copies":
+            assert sorted(ids, key=str) == sorted([1, 2, 3, 4, 4, None, 5, 7], key=str)
+        if name in ("leaks", "token_ids"):
+            assert len(ids) == len(ODD), name
+        if name != "token_ids":
+            assert out.columns == odd.columns, name
+        assert stage(spark, none, SF).count() == 0, name
+
+
 def test_toxicity(spark, odd, none):
     d, y = (queries.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     m = toxicity.train(d, y)

@@ -9,8 +9,8 @@ long, has to fit into one row: ``piece`` k holds the turns with ``floor(turn / p
 concatenating the pieces of a perspective in order gives the whole dialogue.  The usual
 conversation is one piece.  A piece carries its text and, per segment, start, end and mask in it.
 
-Defined cases: a null text is empty; a null or empty role is the role ``unknown`` and takes part like any
-other; null turns come first, in piece 0; equal turns are ordered by role, then text; exact repeats of a row are one turn; rows
+Defined cases: a null text is empty; roles are trimmed, so "ann" and " ann" are one; a null or empty role is the role ``unknown`` and takes part like any
+other; a very long text is one turn like any other; null turns come first, in piece 0; equal turns are ordered by role, then text; exact repeats of a row are one turn; rows
 with a null conv_id belong to no conversation and are left out; conversations of context roles only have no
 perspective; an empty table gives an empty result; extra columns are ignored."""
 

@@ -8,7 +8,8 @@ Fitting takes a bounded sample: at most about ``sample_rows`` labelled rows (a d
 parameter), drawn by a hash of doc_id at the fraction that the counted labels call for.  Scoring
 covers every whole text.
 
-Defined cases: null and empty texts have all-zero features and get a score; with no usable labels
+Defined cases: null and empty texts have all-zero features and get a score; a very long text is one row like any other; equal
+features get equal scores; with no usable labels
 the score is 0.5; with one class only it is that class's smoothed rate; several label rows of one doc_id
 count as their mean, 0.5 and more as 1, null labels are left out; repeated documents are scored one by one; extra columns
 of the documents are ignored by ``score`` and kept by ``keep_good``."""

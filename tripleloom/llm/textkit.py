@@ -12,6 +12,8 @@ import pyarrow as pa
 
 U = np.uint64
 _STEP = 1 << 20
+#: Rows of a slice at most, for what is dense per row.
+_ROWS = 2048
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -31,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def slices(column: pa.Array, step: int = _STEP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut a string column into runs of rows of about ``step`` bytes.
+    """Cut a string column into runs of rows of about ``step`` bytes and ``_ROWS`` rows at most.
 
     Yields ``(first row, end row, bytes, offsets)``; offsets are relative to the bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -47,7 +49,7 @@ def slices(column: pa.Array, step: int = _STEP) -> Iterator[tuple[int, int, np.n
     at = 0
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + step, side="right")) - 1)
-        end = min(end, len(column))
+        end = min(end, at + _ROWS, len(column))
         yield at, end, raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
 

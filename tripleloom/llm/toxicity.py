@@ -13,7 +13,8 @@
 The classifier is fitted on a bounded sample: about ``sample_rows`` labelled documents of each class, drawn by a
 hash of doc_id.  Every whole text is scored.
 
-Defined cases: a null or empty text has no unit and gets the score of the intercept; with labels of one class
+Defined cases: a null or empty text has no unit and gets the score of the intercept; a very long text is read whole, its spans in
+stretches of ``STRETCH`` characters; of readings of equal cost the first found stands; with labels of one class
 only the score is that class's smoothed rate, with none 0; several labels of a doc_id count as their mean, 0.5 and more as 1; repeated documents are scored one by one; extra columns are ignored."""
 
 from __future__ import annotations

@@ -31,12 +31,13 @@ class Part:
 
 @dataclass
 class Graph:
-    """``readable`` limits the ontologies that reads see (None: all)."""
+    """``readable`` limits the ontologies that reads see (None: all); ``overlap``: parts may repeat each other's triples."""
 
     spark: SparkSession
     parts: list[Part] = field(default_factory=list)
     prefixes: dict[str, str] = field(default_factory=dict)
     readable: frozenset[str | None] | None = None
+    overlap: bool = False
 
     @classmethod
     def of(cls, triples: DataFrame, prefixes: dict[str, str] | None = None) -> Graph:
@@ -49,6 +50,14 @@ class Graph:
 
     def triples(self, predicates: Iterable[str] | None = None, ontology: str | None = None, layers: tuple[str, ...] = ("schema", "data")) -> DataFrame:
         """The scope's triples as a set.  ``ontology=None`` is the union of all readable ontologies, in which equal triples are one."""
+        rows, unique = self.scope(predicates, ontology, layers)
+        # in the union a triple that several ontologies state is one, of none of them
+        if ontology is None and not unique:
+            rows = rows.withColumn("ontology", F.lit(None).cast("string"))
+        return rows if unique else rows.distinct()
+
+    def scope(self, predicates: Iterable[str] | None = None, ontology: str | None = None, layers: tuple[str, ...] = ("schema", "data")) -> tuple[DataFrame, bool]:
+        """The scope's rows, and whether no two of them state the same triple."""
         T.ontology_id(ontology)
         want = None if predicates is None else frozenset(predicates)
         found, unique = [], True
@@ -61,35 +70,34 @@ class Graph:
             found.append(rows)
             unique = unique and part.unique
         if not found:
-            return self.spark.createDataFrame([], SCHEMA)
+            return self.spark.createDataFrame([], SCHEMA), True
         rows = found[0]
         for other in found[1:]:
             rows = rows.unionByName(other)
         if ontology is not None:
             if self.readable is not None and ontology not in self.readable:
                 raise PermissionError(f"ontology {ontology} is not readable")
-            return rows.where(F.col("ontology") == ontology)
+            return rows.where(F.col("ontology") == ontology), not self.overlap
         if self.readable is not None:
             named = sorted(x for x in self.readable if x is not None)
             allowed = F.col("ontology").isin(*named) if named else F.lit(False)
             rows = rows.where(F.when(F.col("ontology").isNull(), F.lit(None in self.readable)).otherwise(allowed))
-        # in the union a triple that several ontologies state is one, of none of them
-        return rows if unique else rows.withColumn("ontology", F.lit(None).cast("string")).distinct()
+        return rows, unique and not self.overlap
 
     def edges(self, predicates: Iterable[str] | None = None, ontology: str | None = None, layers: tuple[str, ...] = ("schema", "data")) -> DataFrame:
         """Distinct ``s, p, o`` with resource objects."""
-        return self.triples(predicates, ontology, layers).where("o_kind <> 'literal'").select("s", "p", "o").distinct()
+        return self.scope(predicates, ontology, layers)[0].where("o_kind <> 'literal'").select("s", "p", "o").distinct()
 
     def labels(self, ontology: str | None = None) -> DataFrame:
         """``uri, label``: one row a resource, the untagged label before the English before others, then the least."""
         rank = F.when(F.coalesce("lang", F.lit("")) == "", 0).when(F.lower("lang").rlike("^en(-|$)"), 1).otherwise(2)
-        rows = self.triples([T.LABEL], ontology)
+        rows, _ = self.scope([T.LABEL], ontology)
         return rows.groupBy(F.col("s").alias("uri")).agg(F.min(F.struct(rank.alias("r"), F.col("o").alias("label"))).alias("m")).select("uri", "m.label")
 
     def add(self, triples: DataFrame) -> Graph:
         """A graph with the given triples as well (set semantics)."""
         new = Graph.of(triples).parts
-        return Graph(self.spark, [*self.parts, *new], self.prefixes, self.readable)
+        return Graph(self.spark, [*self.parts, *new], self.prefixes, self.readable, True)
 
 
 def numeric(o: Column | str = "o", dt: Column | str = "dt") -> Column:
@@ -103,7 +111,7 @@ def subclasses(graph: Graph, class_uri: str, ontology: str | None = None) -> lis
 
     The class tree is schema, not data: a frontier is a list of class names, and each step one filtered scan of the
     ``subClassOf`` triples."""
-    rows = graph.triples([T.SUBCLASS], ontology, ("schema",)).select("s", "o").distinct()
+    rows = graph.scope([T.SUBCLASS], ontology, ("schema",))[0].select("s", "o").distinct()
     seen, frontier = {class_uri}, [class_uri]
     children: dict[str, set[str]] = {}
     for r in rows.collect():  # the subclass tree of the schema layer: as many rows as classes have parents
@@ -117,7 +125,7 @@ def subclasses(graph: Graph, class_uri: str, ontology: str | None = None) -> lis
 def instances(graph: Graph, class_uri: str, ontology: str | None = None, infer: bool = True) -> DataFrame:
     """Distinct ``s`` typed by the class or, with ``infer``, a descendant."""
     names = subclasses(graph, class_uri, ontology) if infer else [class_uri]
-    return graph.triples([T.TYPE], ontology, ("data",)).where(F.col("o").isin(*names)).select("s").distinct()
+    return graph.scope([T.TYPE], ontology, ("data",))[0].where(F.col("o").isin(*names)).select("s").distinct()
 
 
 def status(graph: Graph) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import terms as T
+from ..plans.materialise import materialise
 from .graph import Graph, instances
 
 K1, B = 1.2, 0.75
@@ -51,7 +52,8 @@ def bm25(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "text"
     for p in phrases:
         text = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
         d = d.withColumn("w", F.when(text.contains(" " + " ".join(p) + " "), F.col("w")).otherwise(F.filter("w", _outside(p))))
-    d = d.select("id", F.size("w").alias("len"), *tf)
+    # written once, narrow: the statistics and the scores both read it, the texts are read once
+    d = materialise(d.select("id", F.size("w").alias("len"), *tf))
     stats = d.agg(F.count("*").alias("N"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(names))])
     total = F.lit(0.0)
     for i in range(len(names)):

@@ -42,7 +42,7 @@ BLOCK_DOCS = 1 << 16
 SAMPLE = 64
 BLOCKS = "part int, seq int, n_docs long, n_tokens long, block binary"
 #: Bytes of texts that are encoded at a time.
-SLICE = 4 << 20
+SLICE = 8 << 20
 #: Words that are encoded in one string.
 ASK = 10_000
 #: Entries of a worker's memory of words and their ids; beyond it, words are encoded once in each slice.

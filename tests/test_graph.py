@@ -78,6 +78,12 @@ def test_pattern_and_sparql(store):
         Pattern(["?nope"], [Triple("?x", "x:next", "?y")])
     ask = sparql.select(g, "ASK { x:a x:next+ x:a }").first()["ask"]
     assert ask is True
+    ends = lambda text: sorted(r["e"] for r in sparql.select(g, text).collect())
+    ring = ["urn:x:a", "urn:x:b", "urn:x:c"]
+    assert ends("SELECT ?e WHERE { x:b x:next+ ?e }") == ends("SELECT ?e WHERE { ?e x:next+ x:b }") == ends("SELECT ?e WHERE { x:b ^x:next+ ?e }") == ring
+    assert ends("SELECT ?e WHERE { x:nowhere x:next* ?e }") == ends("SELECT ?e WHERE { ?e x:next* x:nowhere }") == ["urn:x:nowhere"]
+    assert not sparql.select(g, "ASK { x:a x:next+ x:nowhere }").first()["ask"] and sparql.select(g, "ASK { x:a x:next* x:a }").first()["ask"]
+    assert {(r["s"], r["o"]) for r in sparql.select(g, "SELECT ?s ?o WHERE { ?s x:next+ ?o }").collect()} == {(a, b) for a in ring for b in ring}
     rows = sparql.select(g, 'SELECT ?l WHERE { x:a <http://www.w3.org/2000/01/rdf-schema#label> ?l . FILTER(LANG(?l) = "en") }').collect()
     assert [r["l"] for r in rows] == ["one"]
 
@@ -206,6 +212,30 @@ def test_manifest_and_dump(spark, tmp_path):
     assert len(rows) == s.graph().triples(ontology="one", layers=("data",)).count() > 10
 
 
+def test_directory(spark, tmp_path):
+    root = tmp_path / "in"
+    (root / "one" / "deep er").mkdir(parents=True)
+    (root / ".hidden").mkdir()
+    (root / "one" / "s.ttl").write_text(TTL)
+    (root / "one" / "deep er" / "d.ttl").write_text(DATA)
+    (root / "one" / "broken.ttl").write_text("@prefix : <urn:x:> . :a :p ( 1 ")
+    (root / "one" / "empty.ttl").write_text("@prefix z: <urn:z:> .")
+    (root / "one" / "notes.txt").write_text("no triples")
+    (root / "skip.ttl").write_text(DATA)
+    (root / ".hidden" / "d.ttl").write_text(DATA)
+    (root / "flat.nt").write_text("<urn:x:a> <urn:x:p> <urn:x:b> .\n")
+    s, seen = Store(spark, str(tmp_path / "store")), []
+    out = s.load_directory(str(root), ignore=("skip*",), on_file=seen.append)
+    got = {o.path.rsplit("/", 1)[-1]: (o.ontology, o.mode, o.triples, o.error is None) for o in out}
+    assert seen == out and s.prefixes["z"] == "urn:z:"
+    n = len(turtle.Turtle(DATA).parse())
+    assert got == {"flat.nt": (None, "data", 1, True), "s.ttl": ("one", "schema", len(turtle.Turtle(TTL).parse()), True), "d.ttl": ("one", "data", n, True), "broken.ttl": ("one", "data", 0, False), "empty.ttl": ("one", "data", 0, True)}
+    assert s.graph().triples(ontology="one", layers=("data",)).count() == n
+    assert [o.path.rsplit("/", 1)[-1] for o in s.load_directory(str(root), recursive=False, ignore=("skip*",))] == ["flat.nt"]
+    with pytest.raises(Exception, match="broken"):
+        turtle.read_files(spark, [str(root / "one" / "broken.ttl")]).collect()
+
+
 def test_network_as_triples(spark):
     net = smoking()
     again = bayes.from_triples(bayes.to_triples(spark, net))

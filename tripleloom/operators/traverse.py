@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import terms as T
-from ..plans.materialise import materialise
+from ..plans.materialise import Grown, materialise
 from .graph import Graph, instances
 
 MAX_DEPTH = T.LIMITS["depth"][1]
@@ -50,19 +50,19 @@ def find_path(graph: Graph, a: str, b: str, max_depth: int = 4, ontology: str |
     if a == b:
         return []
     steps = _steps(graph, None, "both", ontology)
-    seen = graph.spark.createDataFrame([(a, 0, None, None, None)], "uri string, depth int, parent string, p string, forward boolean")
+    seen = Grown(graph.spark)
+    frontier = seen.add(graph.spark.createDataFrame([(a, 0, None, None, None)], "uri string, depth int, parent string, p string, forward boolean"))
     for d in range(1, depth + 1):
-        hop = steps.join(seen.where(F.col("depth") == d - 1).select(F.col("uri").alias("u")), "u", "left_semi")
+        hop = steps.join(frontier.select(F.col("uri").alias("u")), "u", "left_semi")
         new = hop.groupBy(F.col("v").alias("uri")).agg(F.min(F.struct(F.col("u").alias("parent"), "p", "forward")).alias("m"))
-        new = new.join(seen, "uri", "left_anti").select("uri", F.lit(d).alias("depth"), "m.parent", "m.p", "m.forward")
-        seen = materialise(seen.unionByName(new))
-        if not seen.where(F.col("uri") == b).isEmpty():
+        frontier = seen.add(new.join(seen.rows(), "uri", "left_anti").select("uri", F.lit(d).alias("depth"), "m.parent", "m.p", "m.forward"))
+        if not frontier.where(F.col("uri") == b).isEmpty():
             break
-        if seen.where(F.col("depth") == d).isEmpty():
+        if frontier.isEmpty():
             return []
-    path, at = [], b
+    path, at, found = [], b, seen.rows()
     for _ in range(depth):  # as many rows as the path has steps
-        row = seen.where((F.col("uri") == at) & (F.col("depth") > 0)).first()
+        row = found.where((F.col("uri") == at) & (F.col("depth") > 0)).first()
         if row is None:
             return []
         path.append({"from": row["parent"], "predicate": row["p"], "to": at, "forward": row["forward"]})
@@ -76,25 +76,36 @@ def distances(graph: Graph, start: str, predicates: tuple[str, ...] | None = Non
     """``uri, depth``: undirected distance from the start, up to the depth."""
     e = graph.edges(None if predicates is None else [graph.iri(p) for p in predicates], ontology)
     both = e.select(F.col("s").alias("u"), F.col("o").alias("v")).unionByName(e.select(F.col("o").alias("u"), F.col("s").alias("v")))
-    seen = graph.spark.createDataFrame([(graph.iri(start), 0)], "uri string, depth int")
+    seen = Grown(graph.spark)
+    frontier = seen.add(graph.spark.createDataFrame([(graph.iri(start), 0)], "uri string, depth int"))
     for d in range(1, T.limit("depth", max_depth) + 1):
-        new = both.join(seen.where(F.col("depth") == d - 1).select(F.col("uri").alias("u")), "u", "left_semi").select(F.col("v").alias("uri")).distinct().join(seen, "uri", "left_anti").select("uri", F.lit(d).alias("depth"))
-        seen = materialise(seen.unionByName(new))
-        if seen.where(F.col("depth") == d).isEmpty():
+        hop = both.join(frontier.select(F.col("uri").alias("u")), "u", "left_semi").select(F.col("v").alias("uri")).distinct()
+        frontier = seen.add(hop.join(seen.rows(), "uri", "left_anti").select("uri", F.lit(d).alias("depth")))
+        if frontier.isEmpty():
             break
-    return seen
+    return seen.rows()
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """Transitive closure ``s, o`` of ``edges(s, o)``, semi-naive: each round joins only the pairs that the last one found."""
-    base = materialise(edges.select("s", "o").distinct())
-    found, new = base, base
-    while True:
+    found = Grown(edges.sparkSession)
+    base = new = found.add(edges.select("s", "o").distinct())
+    while not new.isEmpty():
         step = new.join(base.select(F.col("s").alias("o"), F.col("o").alias("t")), "o").select("s", F.col("t").alias("o")).distinct()
-        new = materialise(step.join(found, ["s", "o"], "left_anti"))
+        new = found.add(step.join(found.rows(), ["s", "o"], "left_anti"))
+    return found.rows()
+
+
+def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``uri`` that a step or more of ``edges(s, o)`` lead to from ``starts(s)``; each round asks only for the edges of what the last one found."""
+    seen = Grown(edges.sparkSession)
+    frontier = starts
+    while True:
+        hop = edges.join(frontier, "s", "left_semi").select(F.col("o").alias("uri")).distinct()
+        new = seen.add(hop.join(seen.rows(), "uri", "left_anti") if seen.rounds else hop)
         if new.isEmpty():
-            return found
-        found = materialise(found.unionByName(new))
+            return seen.rows()
+        frontier = new.select(F.col("uri").alias("s"))
 
 
 def reachable(graph: Graph, predicate: str, start_uri: str | None = None, start_label: str | None = None, start_class: str | None = None, ontology: str | None = None) -> DataFrame:
@@ -111,17 +122,7 @@ def reachable(graph: Graph, predicate: str, start_uri: str | None = None, start_
         if start_label is not None:
             named = graph.triples([T.LABEL], ontology).where(F.lower("o") == start_label.lower()).select("s").distinct()
             starts = named if starts is None else named.join(starts, "s", "left_semi")
-    seen = None
-    frontier = starts
-    while True:
-        hop = e.join(frontier, "s", "left_semi").select(F.col("o").alias("uri")).distinct()
-        new = materialise(hop if seen is None else hop.join(seen, "uri", "left_anti"))
-        if new.isEmpty():
-            break
-        seen = new if seen is None else materialise(seen.unionByName(new))
-        frontier = new.select(F.col("uri").alias("s"))
-    seen = new if seen is None else seen
-    return seen.join(graph.labels(ontology), "uri", "left").orderBy("uri")
+    return reach(e, starts).join(graph.labels(ontology), "uri", "left").orderBy("uri")
 
 
 def same_as(graph: Graph, uri: str, ontology: str | None = None) -> DataFrame:
@@ -129,13 +130,8 @@ def same_as(graph: Graph, uri: str, ontology: str | None = None) -> DataFrame:
     uri = graph.iri(uri)
     e = graph.edges([T.SAME], ontology)
     both = e.select("s", "o").unionByName(e.select(F.col("o").alias("s"), F.col("s").alias("o")))
-    seen = graph.spark.createDataFrame([(uri,)], "uri string")
-    frontier = seen
-    while True:
-        new = materialise(both.join(frontier.select(F.col("uri").alias("s")), "s", "left_semi").select(F.col("o").alias("uri")).distinct().join(seen, "uri", "left_anti"))
-        if new.isEmpty():
-            return seen.where(F.col("uri") != uri).orderBy("uri")
-        seen, frontier = materialise(seen.unionByName(new)), new
+    start = graph.spark.createDataFrame([(uri,)], "s string")
+    return reach(both, start).where(F.col("uri") != uri).orderBy("uri")
 
 
 def identity_classes(edges: DataFrame) -> DataFrame:

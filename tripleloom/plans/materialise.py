@@ -36,8 +36,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _place(spark: SparkSession) -> str:
+    path = f"{shared_folder(spark)}/loop-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/loop-{uuid.uuid4().hex}"
-    _written.append((df.sparkSession, path))
+    path = _place(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Grown:
+    """What a loop has found so far, as one folder a round: a round writes its own rows and none of those before it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, _place(spark)
+        self.schema, self.rounds = None, []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """The rows of this round, written and read back."""
+        path = f"{self.path}/{len(self.rounds):06d}"
+        df.write.parquet(path)
+        self.schema = self.schema or df.schema
+        self.rounds.append(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def rows(self) -> DataFrame:
+        """The rows of all rounds."""
+        return self.spark.read.schema(self.schema).parquet(*self.rounds)

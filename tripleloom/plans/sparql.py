@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
-from ..operators.traverse import closure
+from ..operators.traverse import closure, reach
 from . import terms as T
 
 _TOKEN = re.compile(
@@ -315,17 +315,25 @@ class Query:
         hidden = [c for c in rows.columns if c.startswith("_h")]
         return rows.drop(*hidden).distinct() if len(steps) > 1 else rows
 
+    def repeated(self, t: DataFrame, s: tuple[str, str], o: tuple[str, str], zero: bool) -> DataFrame:
+        """Pairs ``s, o`` a step or more apart (or none, with ``zero``): the search starts at a given end, and only where none is given are all pairs made."""
+        e = t.where("o_kind <> 'literal'").select("s", "o")
+        given = next((x[1] for x in (s, o) if x[0] == "iri"), None)
+        if given is None:
+            out = closure(e)
+            nodes = t.select(F.col("s").alias("n")).unionByName(e.select(F.col("o").alias("n"))).distinct()
+        else:
+            nodes = self.graph.spark.createDataFrame([(given,)], "n string")  # its own end at no step, though no triple names it
+            forward = s[0] == "iri"
+            found = reach(e if forward else e.select(F.col("o").alias("s"), F.col("s").alias("o")), nodes.select(F.col("n").alias("s")))
+            ends = (F.lit(given), F.col("uri")) if forward else (F.col("uri"), F.lit(given))
+            out = found.select(ends[0].alias("s"), ends[1].alias("o"))
+        return out.unionByName(nodes.select(F.col("n").alias("s"), F.col("n").alias("o"))).distinct() if zero else out
+
     def edge(self, s: tuple[str, str], p: tuple[str, str], mod: str, o: tuple[str, str]) -> DataFrame:
         t = self.graph.triples([p[1]] if p[0] == "iri" else None, self.ontology, self.layers)
         if mod:
-            e = t.where("o_kind <> 'literal'").select("s", "o")
-            t = closure(e)
-            if mod == "*":
-                every = self.graph.triples([p[1]], self.ontology, self.layers)
-                nodes = every.select(F.col("s").alias("n")).unionByName(every.where("o_kind <> 'literal'").select(F.col("o").alias("n")))
-                if o[0] == "iri":  # a given end is its own closure though no triple names it
-                    nodes = nodes.unionByName(self.graph.spark.createDataFrame([(o[1],)], "n string"))
-                t = t.unionByName(nodes.distinct().select(F.col("n").alias("s"), F.col("n").alias("o"))).distinct()
+            t = self.repeated(t, s, o, zero=mod == "*")
         out, names = [], {}
         for pos, term in (("s", s), ("p", p), ("o", o)):
             if pos == "p" and mod:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import fnmatch
-import os
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -19,6 +18,18 @@ from . import turtle
 DEFAULT = "__default__"
 
 
+def _files(spark: SparkSession, root: str, recursive: bool) -> list[tuple[str, str]]:
+    """Paths of the files under a folder of any file system, whole and relative to it; names only, nothing is read."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(folder).toString().rstrip("/") + "/"
+    found, out = fs.listFiles(folder, recursive), []
+    while found.hasNext():
+        path = found.next().getPath().toString()
+        out.append((path, path[len(base) :]))
+    return sorted(out)
+
+
 @dataclass
 class Outcome:
     path: str
@@ -152,43 +163,50 @@ class Store:
 
         A failed file is reported and the rest goes on; after a failed schema the scope's data is left out."""
         plan = []
-        for path in sorted(p for p in (Path(root).rglob("*") if recursive else Path(root).glob("*")) if p.suffix.lower() in turtle.SUFFIXES):
-            rel = path.relative_to(root)
-            if any(x.startswith(".") for x in rel.parts) or any(fnmatch.fnmatch(str(rel), g) or any(fnmatch.fnmatch(x, g) for x in rel.parts) for g in ignore):
+        for path, rel in _files(self.spark, root, recursive):
+            parts = rel.split("/")
+            if not path.lower().endswith(turtle.SUFFIXES) or any(x.startswith(".") for x in parts):
                 continue
-            scope = ontology or (rel.parts[0] if len(rel.parts) > 1 else None)
-            try:
-                rows, prefixes = turtle.parse(path.read_text("utf-8"), path.suffix.lower(), "x")
-                self.prefixes |= prefixes
-                plan.append((scope, "schema" if turtle.is_schema(rows) else "data", path, None))
-            except Exception as e:
-                plan.append((scope, "data", path, str(e)))
+            if not any(fnmatch.fnmatch(rel, g) or any(fnmatch.fnmatch(x, g) for x in parts) for g in ignore):
+                plan.append((ontology or (parts[0] if len(parts) > 1 else None), None, path))
         return self._run(plan, replace, on_file)
 
-    def _run(self, plan, replace: bool, on_file) -> list[Outcome]:
+    def _run(self, plan: list[tuple[str | None, str | None, str]], replace: bool, on_file) -> list[Outcome]:
+        """Load files ``(scope, mode, path)``, without a mode as their content says: parsed once, in tasks, written once a scope and layer."""
+        if not plan:
+            return []
+        docs = materialise(turtle.documents(self.spark, sorted({path for _, _, path in plan})))
+        of = lambda what: F.col("what") == what
+        head = docs.groupBy("path").agg(
+            F.max(F.when(of("error"), F.col("o"))).alias("error"), F.count_if(of("triple")).alias("n"), F.max(of("triple") & turtle.marks_schema()).alias("schema"), F.collect_list(F.when(of("prefix"), F.struct("s", "o"))).alias("prefixes")
+        )
+        about = {r["path"]: r for r in head.collect()}  # a row a file
+        groups: dict[tuple, list[Outcome]] = {}
+        for scope, mode, path in sorted(plan, key=lambda x: x[2]):
+            r = about[path]
+            self.prefixes |= {p["s"]: p["o"] for p in r["prefixes"]}
+            one = Outcome(path, scope, mode or ("schema" if r["schema"] else "data"), r["n"], r["error"])
+            groups.setdefault((scope or "", one.mode != "schema", one.mode), []).append(one)
         out, broken = [], set()
-        groups: dict[tuple, list] = {}
-        for scope, mode, path, error in plan:
-            groups.setdefault((scope or "", mode != "schema", mode), []).append((path, error))
-        for (scope, _, mode), files in sorted(groups.items()):
-            good = []
-            for path, error in files:
-                one = Outcome(str(path), scope or None, mode, error=error or ("schema of the scope failed" if scope in broken else None))
-                out.append(one)
-                good += [] if one.error else [one]
+        for (scope, _, mode), files in sorted(groups.items(), key=lambda x: x[0]):
+            if mode != "schema" and scope in broken:
+                for o in files:
+                    o.error = o.error or "schema of the scope failed"
+            good = [o for o in files if not o.error]
             if good:
-                try:  # one write a scope and layer
-                    t = materialise(turtle.read_files(self.spark, [os.path.abspath(o.path) for o in good]))
-                    n = self.load(t, mode, replace, scope or None)
-                    good[0].triples = n
+                try:
+                    names = self.spark.createDataFrame([(o.path,) for o in good], "path string")  # a row a file
+                    self.load(turtle.triples_of(docs.join(names, "path", "left_semi")), mode, replace, scope or None)
                 except Exception as e:
                     for o in good:
                         o.error = str(e)
-            if mode == "schema" and any(o.error for o in out if o.ontology == (scope or None) and o.mode == "schema"):
+            if mode == "schema" and any(o.error for o in files):
                 broken.add(scope)
-        for o in out:
-            if on_file:
-                on_file(o)
+            for o in files:
+                o.triples = 0 if o.error else o.triples
+                if on_file:
+                    on_file(o)
+            out += files
         return out
 
     def load_manifest(self, path: str, replace: bool = False) -> list[Outcome]:
@@ -204,5 +222,5 @@ class Store:
                     files = sorted(p for p in base.glob(glob) if not any(fnmatch.fnmatch(p.name, g) for g in spec.get("ignore", [])))
                     if not files:
                         raise FileNotFoundError(f"{o['id']}: nothing matches {glob}")
-                    plan += [(o["id"], mode, f, None) for f in files]
+                    plan += [(o["id"], mode, f"file:{f.resolve()}") for f in files]
         return self._run(plan, replace, None)

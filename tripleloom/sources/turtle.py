@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import terms as T
@@ -285,22 +285,43 @@ SUFFIXES = (".ttl", ".jsonld", ".rdf", ".owl", ".n3", ".nt")
 ROWS = "s string, s_kind string, p string, o string, o_kind string, dt string, lang string"
 
 
-def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Triples of files by any path that Spark reads; a file is one document, parsed in its own task."""
+DOCUMENTS = f"path string, what string, {ROWS}"
+
+
+def documents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """What files hold, by any path that Spark reads; a file is one document, parsed in a task.
+
+    ``what``: a ``triple``; a ``prefix`` (in s, its name in o); a ``file`` that was parsed; or an ``error``, its message in o,
+    in place of all of these."""
 
     def run(batches) -> Iterator:
         import hashlib
 
         import pandas as pd
 
-        names = [c.split()[0] for c in ROWS.split(", ")]
+        names = [c.split()[0] for c in DOCUMENTS.split(", ")]
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows, _ = parse(bytes(content).decode("utf-8"), "." + path.rsplit(".", 1)[-1].lower(), hashlib.md5(path.encode()).hexdigest()[:8])
-                yield pd.DataFrame(rows, columns=names)
+                blank = [None] * 4
+                try:
+                    rows, prefixes = parse(bytes(content).decode("utf-8"), "." + path.rsplit(".", 1)[-1].lower(), hashlib.md5(path.encode()).hexdigest()[:8])
+                    out = [(path, "file", *[None] * 7), *((path, "prefix", k, None, None, v, *blank[:3]) for k, v in prefixes.items()), *((path, "triple", *r) for r in rows)]
+                except Exception as e:  # reported with its file; the others go on
+                    out = [(path, "error", None, None, None, str(e) or type(e).__name__, *blank[:3])]
+                yield pd.DataFrame(out, columns=names)
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(run, ROWS).distinct()
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, DOCUMENTS)
+
+
+def triples_of(docs: DataFrame) -> DataFrame:
+    """The triples of ``documents``, equal ones as one."""
+    return docs.where("what = 'triple'").select(*[c.split()[0] for c in ROWS.split(", ")]).distinct()
+
+
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Triples of files; a file that cannot be parsed fails the read."""
+    sound = F.when(F.col("what") == "error", F.raise_error(F.concat_ws(": ", "path", "o"))).otherwise(F.col("what"))
+    return triples_of(documents(spark, paths).withColumn("what", sound))
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
@@ -323,14 +344,12 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     ).distinct()
 
 
-def is_schema(rows: list[Row]) -> bool:
-    """Whether a document defines vocabulary rather than data."""
-    types = {*T.CLASSES, *T.PROPERTIES, T.OWL + "Ontology"}
-    marks = {T.SUBCLASS, T.RDFS + "subPropertyOf", T.DOMAIN, T.RANGE, T.OWL + "equivalentClass", T.OWL + "disjointWith"}
-    return any(p == T.TYPE and o in types or p in marks for _, _, p, o, *_ in rows)
+def marks_schema() -> Column:
+    """Whether a triple defines vocabulary rather than data."""
+    types = [*T.CLASSES, *T.PROPERTIES, T.OWL + "Ontology"]
+    marks = [T.SUBCLASS, T.RDFS + "subPropertyOf", T.DOMAIN, T.RANGE, T.OWL + "equivalentClass", T.OWL + "disjointWith"]
+    return (F.col("p") == T.TYPE) & F.col("o").isin(*types) | F.col("p").isin(*marks)
 
 
 def is_schema_frame(triples: DataFrame) -> bool:
-    types = [*T.CLASSES, *T.PROPERTIES, T.OWL + "Ontology"]
-    marks = [T.SUBCLASS, T.RDFS + "subPropertyOf", T.DOMAIN, T.RANGE, T.OWL + "equivalentClass", T.OWL + "disjointWith"]
-    return not triples.where((F.col("p") == T.TYPE) & F.col("o").isin(*types) | F.col("p").isin(*marks)).isEmpty()
+    return not triples.where(marks_schema()).isEmpty()

@@ -236,6 +236,25 @@ def test_directory(spark, tmp_path):
         turtle.read_files(spark, [str(root / "one" / "broken.ttl")]).collect()
 
 
+def test_replacing_survives_a_lost_driver(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path / "store"))
+    s.assert_triples([("urn:x:1", "urn:x:p", "a"), ("urn:x:1", "urn:x:p", "b"), ("urn:x:2", "urn:x:p", "c")], "one")
+    s.assert_triples([("urn:x:9", "urn:x:p", "z")], "two")
+    held = lambda name: sorted(r["o"] for r in s.rows().where(f"ontology = '{name}'").distinct().collect())
+
+    def lost(self, paths):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_delete", lost)
+        with pytest.raises(KeyboardInterrupt):
+            s.retract_triple("urn:x:1", "urn:x:p", "a", ontology="one")
+    assert held("one") == ["a", "b", "c"]
+    s.retract_triple("urn:x:1", "urn:x:p", "a", ontology="one")
+    assert held("one") == ["b", "c"] == sorted(r["o"] for r in s.graph().triples(ontology="one").collect())
+    assert s.clear("data", "one") == {"data": 2} and held("one") == [] and held("two") == ["z"]
+
+
 def test_network_as_triples(spark):
     net = smoking()
     again = bayes.from_triples(bayes.to_triples(spark, net))

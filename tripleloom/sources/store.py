@@ -19,9 +19,11 @@ DEFAULT = "__default__"
 
 
 def _files(spark: SparkSession, root: str, recursive: bool) -> list[tuple[str, str]]:
-    """Paths of the files under a folder of any file system, whole and relative to it; names only, nothing is read."""
+    """Paths of the files under a folder of any file system, whole and relative to it; names only, nothing is read; none if it is not there."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
     base = fs.makeQualified(folder).toString().rstrip("/") + "/"
     found, out = fs.listFiles(folder, recursive), []
     while found.hasNext():
@@ -63,10 +65,18 @@ class Store:
         return Graph.of(self.rows(), self.prefixes)
 
     def _put(self, rows: DataFrame, ontology: str | None, layer: str) -> None:
-        """Replace one (ontology, layer); other partitions stay."""
-        out = materialise(rows.select(*[c for c in COLUMNS if c not in ("ontology", "layer")]).distinct())
+        """Replace one (ontology, layer); other partitions stay.
+
+        The new files come first and the old ones go after: a driver lost in between loses no triple, and the same call again ends the work."""
         folder = f"{self.path}/ontology={self._scope(ontology)}/layer={layer}"
-        out.write.mode("overwrite").parquet(folder)
+        old = [path for path, name in _files(self.spark, folder, False) if name[0] not in "_."]
+        rows.select(*[c for c in COLUMNS if c not in ("ontology", "layer")]).distinct().write.mode("append").parquet(folder)
+        self._delete(old)
+
+    def _delete(self, paths: list[str]) -> None:
+        for path in paths:
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, False)
 
     def _append(self, rows: DataFrame, ontology: str | None, layer: str) -> None:
         """Write the triples that are not there yet as new files; what is there stays as it is."""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, line_dedup, mixing, ngram_join, quality_gam, token_store, topk, toxicity
+from . import chat_format, decontaminate, filter_audit, language_id, line_dedup, mixing, ngram_join, quality_gam, repeats, spelling, token_store, topk, toxicity
 
 #: Production targets of the mixture: temperatures, and language shares.
 TARGETS: dict = {"source": 0.7, "lang": {"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15}, "topic": 0.9}
@@ -77,6 +77,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("row.doc_id", "n_lines", "n_kept", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = repeats.repeated(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return r.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_chat_format, op2_decontaminate, op3_mix_sources, op4_language_id, op5_exact_topk, op6_quality, op7_ngram_join, op8_token_ids, op9_toxicity, op10_line_dedup, pipeline)
+    own = (op1_chat_format, op2_decontaminate, op3_mix_sources, op4_language_id, op5_exact_topk, op6_quality, op7_ngram_join, op8_token_ids, op9_toxicity, op10_line_dedup, op11_suffix_dedup, op12_filter_audit, op13_spelling_variants, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -172,5 +186,50 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, m.component_id FROM n JOIN (SELECT a
 """
 
 
+_OP12 = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM d),
+m AS MATERIALIZED (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT p.letter || q.letter || r.letter || s.letter || u.letter AS filter_order FROM x p, x q, x r, x s, x u WHERE p.bit | q.bit | r.bit | s.bit | u.bit = 31),
+k AS (SELECT filter_order, step, substr(filter_order, step::INT, 1) AS letter, list_sum(list_transform(string_split(substr(filter_order, 1, step::INT), ''), lambda v: 1 << (ascii(v) - 65)))::INT AS so_far,
+    (1 << (ascii(substr(filter_order, step::INT, 1)) - 65))::INT AS bit FROM o, range(1, 6) AS g(step)),
+r AS (SELECT part, filter_order, step::INT AS step, letter,
+    coalesce(sum(n) FILTER (mask & so_far = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & so_far = bit), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & bit > 0 AND mask & so_far <> bit), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (mask & so_far = bit AND good), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (mask & so_far = bit AND toxic), 0)::BIGINT AS toxic_lost
+  FROM m, k GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM r
+"""
+
+# CRC-32 has no function here; its table follows from the reflected polynomial 0xEDB88320
+_OP13 = f"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) AS g(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+per AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'), lambda v: ('0x' || v)::BIGINT)),
+    lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]))) AS h FROM per, crc),
+a AS (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n, length(word)::INT AS size FROM a WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+w AS (SELECT word, n, p, substr(word, 1, p::INT - 1) || '_' || substr(word, p::INT + 1) AS wild, substr(word, 1, p::INT - 1) || substr(word, p::INT + 1) AS less FROM v, range(1, 1000) AS g(p) WHERE p <= size),
+del AS MATERIALIZED (SELECT DISTINCT word, n, less FROM w),
+near AS (SELECT x.word, y.word AS other, y.n FROM w x JOIN w y ON x.wild = y.wild AND x.word <> y.word
+  UNION ALL SELECT d.word, v.word, v.n FROM del d JOIN v ON v.word = d.less
+  UNION ALL SELECT v.word, d.word, d.n FROM del d JOIN v ON v.word = d.less),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, encode(other)) AS other, max(n) AS m FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 5 * v.n THEN other END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+path(word, tip) AS (SELECT word, word FROM f UNION ALL SELECT path.word, f.form FROM path JOIN f ON f.word = path.tip WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, path.tip AS root, f.n, f.n_near, f.form_n FROM f JOIN path USING (word) JOIN f last ON last.word = path.tip AND last.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": _OP1, "op2_decontaminate": _OP2, "op3_mix_sources": _op3(), "op5_exact_topk": _OP5, "op7_ngram_join": _OP7}
+    return {"op1_chat_format": _OP1, "op2_decontaminate": _OP2, "op3_mix_sources": _op3(), "op5_exact_topk": _OP5, "op7_ngram_join": _OP7, "op12_filter_audit": _OP12, "op13_spelling_variants": _OP13}

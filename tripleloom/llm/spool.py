@@ -42,15 +42,25 @@ def folder_for(spark: SparkSession, what: str) -> str:
     return path
 
 
-def spool(df: DataFrame, what: str) -> DataFrame:
+def spool(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation."""
     path = folder_for(df.sparkSession, what)
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    writer = df.write.option("parquet.block.size", ROW_GROUP)
+    (writer.option("compression", codec) if codec else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*spooled: DataFrame) -> None:
+    """Delete spooled tables that nothing reads any more."""
+    for df in spooled:
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        gone = [w for w in _written if any(f.endswith(w[1].split(":", 1)[-1].lstrip("/")) for f in folders)]
+        _written[:] = [w for w in _written if w not in gone]
+        _delete(gone)
+
+
 def _delete(some: list[tuple[SparkSession, str]]) -> None:
     while some:
         spark, path = some.pop()

@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spool import drawn
 from .textkit import slices
 
 #: Size of the hashed n-gram space; a power of two.
@@ -123,18 +124,20 @@ def fit(x: np.ndarray, lang: list[str], steps: int = 150, l2: float = 1e-5) -> E
     return Ecoc(names, code, w, b, trust)
 
 
-def train(docs: DataFrame, fold: tuple[int, int] | None = (4, 2), per_language: int = 800) -> Ecoc:
-    """Learn from documents with a language outside the held-out fold (number of folds, fold)."""
+def train(docs: DataFrame, fold: tuple[int, int] | None = (4, 2), per_language: int = 800, sample_rows: int = 16_000) -> Ecoc:
+    """Learn from documents with a language outside the held-out fold (number of folds, fold).
+
+    About ``per_language`` documents of each language are taken, fewer where languages are so many that ``sample_rows`` (16 KB each) would not hold them."""
     d = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     if fold:
         d = d.where(~F.coalesce(F.crc32(F.col("_id").cast("string").cast("binary")) % fold[0] == fold[1], F.lit(False)))
     counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Ecoc([], codewords(0), np.zeros((1 << SPACE_BITS, 1), np.float32), np.zeros(1), np.ones(1))
-    draw = F.pmod(F.xxhash64(F.coalesce("_id", F.lit(0)), F.lit(5)), F.lit(1 << 20))
-    limit = F.lit(0)
-    for k, n in counts.items():
-        limit = F.when(F.col("lang") == k, int((1 << 20) * min(1.0, per_language / n))).otherwise(limit)
+    each = min(per_language, max(1, sample_rows // len(counts)))
+    chosen = F.lit(False)
+    for k, n in counts.items():  # a row a language
+        chosen = F.when(F.col("lang") == k, drawn(F.coalesce("_id", F.lit(0)), 5, each, n)).otherwise(chosen)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,7 +145,7 @@ def train(docs: DataFrame, fold: tuple[int, int] | None = (4, 2), per_language:
                 x = [r.astype(np.float16).tobytes() for r in profile(b.column("text").slice(lo, hi - lo))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column("lang").slice(lo, hi - lo)], names=["x", "lang"])
 
-    got = d.where(draw < limit).select("text", "lang").mapInArrow(take, "x binary, lang string").toArrow()
+    got = d.where(chosen).select("text", "lang").mapInArrow(take, "x binary, lang string").toArrow()
     rows = sorted(zip(got.column("lang").to_pylist(), got.column("x").to_pylist(), strict=True))
     x = np.frombuffer(b"".join(v for _, v in rows), np.float16).astype(np.float32).reshape(len(rows), -1) if rows else np.zeros((0, 1 << SPACE_BITS), np.float32)
     return fit(x, [k for k, _ in rows])

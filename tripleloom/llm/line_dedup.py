@@ -19,7 +19,7 @@ does not depend on whether the earlier one stays itself, so the decision is a jo
 Blank lines are layout rather than content and always stay; so do lines under ``min_chars`` characters (by default there are
 none such: all others are compared).
 
-Defined cases: a null text stays null and has no lines; null doc_ids come after all others and are one document;
+Defined cases: a null text stays null and has no lines; null doc_ids come after all others, among them the texts in the order of their hashes;
 rows that repeat a doc_id with an equal text are one document (each row gets the same result), with different texts
 their lines at one place count as earlier by text; a very long line is cut into more parts and compared whole; an empty table gives an empty result; extra columns,
 whatever their names, are kept by ``dedup_lines``."""
@@ -127,7 +127,7 @@ def _key_lists(t: dict) -> pa.ListArray:
 
 
 def staying_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """``doc_id, kept``: per document with long enough lines the numbers of those that stay (null doc_id: 2^63 - 1)."""
+    """``doc_id, tag, kept``: per document with long enough lines the numbers of those that stay (null doc_id: 2^63 - 1; ``tag``: the text's hash)."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     d = d.select("doc_id", F.xxhash64("text").alias("tag"), "text")
 
@@ -174,17 +174,20 @@ def staying_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     other = met.select("key", F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("middle").alias("m2"))
     near_ones = pairs.join(text, ["key", "h1", "h2"]).join(other, ["key", "o1", "o2"]).where(F.levenshtein("middle", "m2", 1).between(0, 1))
     gone = maybe_broadcast(spool(near_ones.select("h1", "h2").distinct(), "near_lines"))
-    stay = first.select("h1", "h2", "at").join(gone, ["h1", "h2"], "left_anti")
-    return stay.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.array_sort(F.collect_list("at.number")).alias("kept"))
+    stay = first.select("h1", "h2", "at", "tag").join(gone, ["h1", "h2"], "left_anti")
+    return stay.groupBy(F.col("at.doc_id").alias("doc_id"), "tag").agg(F.collect_list("at.number").alias("kept"))
 
 
 def decide_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """``row`` (the input row as a struct, so that no name clashes), ``text`` without the lines that go, ``n_lines, n_kept``."""
     keep = staying_lines(docs, min_chars).withColumnRenamed("doc_id", "key")
     text = F.col("text").cast("string")
-    d = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.split(text, "\n", -1).alias("lines"), (F.coalesce(text, F.lit("")) == "").alias("blank"))
-    d = d.join(keep, "key", "left")
-    stay = F.filter("lines", lambda line, n: (F.length(line) < min_chars) | (F.trim(line, F.lit(BLANKS)) == "") | F.array_contains(F.coalesce("kept", F.array().cast("array<long>")), n.cast("long")))
+    d = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.xxhash64(text).alias("tag"), F.split(text, "\n", -1).alias("lines"), (F.coalesce(text, F.lit("")) == "").alias("blank"))
+    d = d.join(keep, ["key", "tag"], "left")
+    # numbers of the lines that always stay, merged with the others; no line is searched for
+    places = F.transform("lines", lambda line, n: F.when((F.length(line) < min_chars) | (F.trim(line, F.lit(BLANKS)) == ""), n.cast("long")))
+    numbers = F.sort_array(F.concat(F.array_compact(places), F.coalesce("kept", F.array().cast("array<long>"))))
+    stay = F.transform(numbers, lambda n: F.element_at("lines", n.cast("int") + 1))
     count = lambda c: F.when(F.col("blank"), 0).otherwise(F.size(c)).cast("long")
     return d.withColumn("stay", stay).select("row", F.array_join("stay", "\n").alias("text"), count("lines").alias("n_lines"), count("stay").alias("n_kept"))
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spool import drawn
 from .textkit import slices, words
 
 _CLASS = np.full(256, 7, np.uint8)  # 7: bytes beyond ASCII
@@ -225,7 +226,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, in
     rows = rows.where(_fold("_id", fold[0]) != fold[1])
     total = rows.count()
     if total > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 20)) < F.lit(int((1 << 20) * sample_rows / total)))
+        rows = rows.where(drawn(F.col("_id"), 11, sample_rows, total))
         total = sample_rows
     rows = F.broadcast(rows) if total <= 1_000_000 else rows
     return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(rows, "_id").select("text", "y")

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it was counted and has at most this many narrow rows.
@@ -97,6 +97,22 @@ def free_name(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+#: Bits of the numbers that samples are drawn by.
+DRAW_BITS = 62
+
+
+def drawn(key: Column, seed: int, want: int, n: int) -> Column:
+    """Whether a row is among about ``want`` of ``n``, by a hash of its key; all are where there are no more.
+
+    The threshold is exact to 2^-62, so a sample does not run empty however many rows there are."""
+    number = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) * F.lit(1 << DRAW_BITS - 20) + F.pmod(F.xxhash64(key, F.lit(seed + 1000)), F.lit(1 << DRAW_BITS - 20))
+    return number < F.lit(draw_limit(want, n))
+
+
+def draw_limit(want: int, n: int) -> int:
+    return (1 << DRAW_BITS) if n <= want else max(1, (want << DRAW_BITS) // n)
+
+
 def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Hint a broadcast when the counted rows stay under the bound, else leave the join to Catalyst."""
     rows = df.count() if rows is None else rows

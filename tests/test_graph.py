@@ -147,24 +147,6 @@ def test_entry_without_llm():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_entry_fails_on_a_broken_subpackage(monkeypatch):
-    """Only the absence of the subpackage is forgiven, not an import that fails inside it."""
-    import importlib
-    import sys
-
-    import __spark_entry__ as e
-
-    if e._llm is None:
-        pytest.skip("the subpackage is not here")
-    for m in [m for m in sys.modules if m.startswith("tripleloom.llm")]:
-        monkeypatch.delitem(sys.modules, m)
-    monkeypatch.setitem(sys.modules, "tripleloom.llm.textkit", None)
-    with pytest.raises(ImportError):
-        importlib.reload(e)
-    monkeypatch.undo()
-    importlib.reload(e)
-
-
 def test_terms():
     assert {terms.OWL + f"{k}Property" for k in ("Asymmetric", "Reflexive", "Irreflexive")} <= set(terms.VOCABULARY_TYPES)
     names = terms.name_prefixes(["urn:z:", "urn:a:"], {"x": "urn:x:", "ns0": "urn:0:"})

@@ -1,10 +1,11 @@
-"""Full-text ranking by BM25 over literals."""
+"""Full-text ranking by BM25 over literals, by a scan of the texts; `text_index` answers the same from stored postings."""
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import terms as T
@@ -12,58 +13,147 @@ from ..plans.materialise import materialise
 from .graph import Graph, instances
 
 K1, B = 1.2, 0.75
-_SPLIT = r"[^\p{L}\p{N}]+"
+SPLIT = r"[^\p{L}\p{N}]+"
+_LEX = re.compile(r'"([^"]*)"|([()])|([^\s()"]+)')
 
 
-def parse(query: str) -> tuple[list[str], list[str], list[list[str]], bool]:
-    """Terms, prefixes (``term*``), quoted phrases, and whether all are required (AND)."""
+@dataclass
+class Asked:
+    """A query's leaves (a word, ``prefix*`` or a phrase as words joined by spaces) and which of them a document must hold.
+
+    ``tree``: a leaf's number, or ``(and | or | not, subtrees)``.  Leaves under a ``not`` do not score."""
+
+    leaves: list[str] = field(default_factory=list)
+    tree: int | tuple | None = None
+    scoring: set[int] = field(default_factory=set)
+
+    def holds(self, tf: list[Column]) -> Column:
+        def test(t) -> Column:
+            if isinstance(t, int):
+                return tf[t] > 0
+            if t[0] == "not":
+                return ~test(t[1][0])
+            out = test(t[1][0])
+            for x in t[1][1:]:
+                out = out & test(x) if t[0] == "and" else out | test(x)
+            return out
+
+        return test(self.tree)
+
+
+def parse(query: str) -> Asked:
+    """Words, ``prefix*``, quoted phrases; AND before OR, which is the default; NOT or ``-`` before an operand; parentheses.
+
+    A word with other signs in it is the phrase of its parts.  A query of exclusions only has no documents to rank and raises, like an empty one."""
     query = re.sub(r"[\x00-\x1f]", " ", query)
-    phrases = [re.findall(r"[^\W_]+", p.lower()) for p in re.findall(r'"([^"]*)"', query)]
-    rest = re.sub(r'"[^"]*"', " ", query)
-    words = rest.split()
-    need = "AND" in words
-    words = [w.lower() for w in words if w not in ("AND", "OR")]
-    prefix = [p for w in words if w.endswith("*") for p in re.findall(r"[^\W_]+", w)]
-    exact = [p for w in words if not w.endswith("*") for p in re.findall(r"[^\W_]+", w)]
-    exact += [w for p in phrases for w in p]
-    if not exact and not prefix:
+    lexed = [m for m in _LEX.finditer(query)]
+    out, at = Asked(), 0
+
+    def leaf(text: str, star: bool, minus: bool):
+        words = re.findall(r"[^\W_]+", text.lower())
+        if not words:
+            return None
+        name = " ".join(words) + ("*" if star and len(words) == 1 else "")
+        if name not in out.leaves:
+            out.leaves.append(name)
+        i = out.leaves.index(name)
+        if not minus:
+            out.scoring.add(i)
+        return i
+
+    def word() -> str | None:
+        return lexed[at][0] if at < len(lexed) else None
+
+    def operand(minus: bool):
+        nonlocal at
+        m = lexed[at]
+        at += 1
+        if m[2] == "(":
+            t = either(minus)
+            at += at < len(lexed)
+            return t
+        if m[3] and m[3].startswith("-") and len(m[3]) > 1:
+            t = leaf(m[3][1:], m[3].endswith("*"), not minus)
+            return None if t is None else ("not", [t])
+        if m[3] == "NOT":
+            t = operand(not minus) if word() not in (None, ")") else None
+            return None if t is None else ("not", [t])
+        return leaf(m[1], False, minus) if m[1] is not None else leaf(m[3], m[3].endswith("*"), minus)
+
+    def both(minus: bool):
+        nonlocal at
+        found = [operand(minus)]
+        while word() == "AND":
+            at += 1
+            if word() not in (None, ")"):
+                found.append(operand(minus))
+        found = [x for x in found if x is not None]
+        return ("and", found) if len(found) > 1 else found[0] if found else None
+
+    def either(minus: bool = False):
+        nonlocal at
+        found = []
+        while word() not in (None, ")"):
+            if word() in ("OR", "AND"):
+                at += 1
+                continue
+            found.append(both(minus))
+        found = [x for x in found if x is not None]
+        # an exclusion among alternatives takes from all of them
+        plain = [x for x in found if not (isinstance(x, tuple) and x[0] == "not")]
+        if plain and len(plain) < len(found):
+            rest = [x for x in found if x not in plain]
+            return ("and", [("or", plain) if len(plain) > 1 else plain[0], *rest])
+        return ("or", found) if len(found) > 1 else found[0] if found else None
+
+    while at < len(lexed):
+        t = either()
+        out.tree = t if out.tree is None else out.tree if t is None else ("or", [out.tree, t])
+        at += at < len(lexed)  # a parenthesis that closes nothing
+    if not out.scoring:
         raise ValueError("the query has no term")
-    return exact, prefix, [p for p in phrases if len(p) > 1], need
+    return out
+
+
+def tokens(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda w: w != "")
 
 
-def _is(term: str):
-    return (lambda x: x.startswith(term[:-1])) if term.endswith("*") else (lambda x: x == term)
+def frequency(words: Column, leaf: str) -> Column:
+    """How often a leaf stands in the words of a text."""
+    if leaf.endswith("*"):
+        return F.size(F.filter(words, lambda x: x.startswith(leaf[:-1])))
+    phrase = leaf.split(" ")
+    if len(phrase) == 1:
+        return F.size(F.filter(words, lambda x: x == leaf))
+    starts = F.filter(F.transform(words, lambda x, i: F.when(x == phrase[0], i)), lambda i: i.isNotNull())
+    here = F.size(F.filter(starts, lambda i: F.slice(words, i + 1, len(phrase)) == F.array(*map(F.lit, phrase))))
+    return F.when(F.array_contains(words, phrase[0]), here).otherwise(0)
 
 
-def _outside(words: list[str]):
-    return lambda x: ~x.isin(*words)
+def scored(asked: Asked, tf: list[Column], length: Column, n: Column, mean: Column, df: list[Column]) -> Column:
+    """The sum over scoring leaves of ``ln(1 + (N - df + 0.5) / (df + 0.5)) * tf (k1 + 1) / (tf + k1 (1 - b + b len / avg))``."""
+    total = F.lit(0.0)
+    for i in sorted(asked.scoring):
+        idf = F.log(1 + (n - df[i] + 0.5) / (df[i] + 0.5))
+        total = total + idf * tf[i] * (K1 + 1) / (tf[i] + K1 * (1 - B + B * length / mean))
+    return total
 
 
 def bm25(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``id, score`` of the documents that hold a term (all terms, with AND).
-
-    Per term ``ln(1 + (N - df + 0.5) / (df + 0.5)) * tf (k1 + 1) / (tf + k1 (1 - b + b len / avg))``.  A prefix counts
-    as one term.  Terms are counted inside each document's own row, so no token leaves it; only one row of statistics comes from the corpus."""
-    exact, prefix, phrases, need = parse(query)
-    toks = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), _SPLIT), lambda w: w != "")
-    d = docs.select(F.col(id_col).alias("id"), toks.alias("w"))
-    names = [*dict.fromkeys(exact), *(f"{p}*" for p in dict.fromkeys(prefix))]
-    tf = [F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(names)]
-    for p in phrases:
-        text = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
-        d = d.withColumn("w", F.when(text.contains(" " + " ".join(p) + " "), F.col("w")).otherwise(F.filter("w", _outside(p))))
+    """``id, score`` of the documents that answer the query, by one scan.
+
+    A prefix counts as one term, and so does a phrase, with its own frequency; lengths and other terms do not depend on it.  Terms are
+    counted inside each document's own row, so no token leaves it; only one row of statistics comes from the corpus."""
+    asked = parse(query)
+    names = range(len(asked.leaves))
+    d = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
     # written once, narrow: the statistics and the scores both read it, the texts are read once
-    d = materialise(d.select("id", F.size("w").alias("len"), *tf))
-    stats = d.agg(F.count("*").alias("N"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(names))])
-    total = F.lit(0.0)
-    for i in range(len(names)):
-        idf = F.log(1 + (F.col("N") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        total = total + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    hit = [F.col(f"tf{i}") > 0 for i in range(len(names))]
-    want = hit[0]
-    for h in hit[1:]:
-        want = want & h if need else want | h
-    return d.where(want).crossJoin(F.broadcast(stats)).select("id", total.alias("score"))  # one row of statistics
+    d = materialise(d.select("id", F.size("w").alias("len"), *[frequency(F.col("w"), t).alias(f"tf{i}") for i, t in enumerate(asked.leaves)]))
+    stats = d.agg(F.count("*").alias("N"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in names])
+    tf = [F.col(f"tf{i}") for i in names]
+    score = scored(asked, tf, F.col("len"), F.col("N"), F.col("avg"), [F.col(f"df{i}") for i in names])
+    return d.where(asked.holds(tf)).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))  # one row of statistics
 
 
 def literals(graph: Graph, fields: str = "text", ontology: str | None = None) -> DataFrame:

@@ -503,3 +503,4 @@ def sparql_path(spark, d):
 
 
 from . import catalog_more  # noqa: E402, F401  registers the rest
+from . import catalog_indexes  # noqa: E402, F401, I001

@@ -203,9 +203,9 @@ def sparql_ask(spark, d):
 
 # --- full text ------------------------------------------------------------------------------------------
 
-#: BM25 over documents ``t(id, s, text)`` for two words; ``w`` may lose words where a phrase is asked for.
-_SEARCH = """WITH t AS ({docs}), x AS (SELECT id, s, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w0 FROM t), w AS (SELECT id, s, {words} AS w FROM x),
-  d AS (SELECT id, s, len(w) AS len, len(list_filter(w, lambda x: x = '{a}')) AS a, len(list_filter(w, lambda x: x = '{b}')) AS b FROM w), n AS (SELECT count(*) AS n, avg(len) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM d),
+#: BM25 over documents ``t(id, s, text)`` for two words.
+_SEARCH = """WITH t AS ({docs}), x AS (SELECT id, s, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM t),
+  d AS (SELECT id, s, len(w) AS len, len(list_filter(w, lambda x: x = '{a}')) AS a, len(list_filter(w, lambda x: x = '{b}')) AS b FROM x), n AS (SELECT count(*) AS n, avg(len) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM d),
   z AS (SELECT s, max(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (1 - 0.75 + 0.75 * len / m)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (1 - 0.75 + 0.75 * len / m))) AS score FROM d, n WHERE {hit} GROUP BY s)
   SELECT s AS uri, round(score, 6) AS score FROM z WHERE {keep} ORDER BY z.score DESC, s LIMIT {top}"""
 _NAMES = "SELECT p_partkey AS id, 'urn:t:part/' || p_partkey AS s, p_name AS text FROM part"
@@ -215,27 +215,29 @@ def _scores(df: DataFrame) -> DataFrame:
     return df.select("uri", F.round("score", 6).alias("score"))
 
 
-@query(_SEARCH.format(docs=_NAMES, words="w0", a="red", b="ring", hit="a > 0 AND b > 0", keep="true", top=50))
+@query(_SEARCH.format(docs=_NAMES, a="red", b="ring", hit="a > 0 AND b > 0", keep="true", top=50))
 def search_and(spark, d):
     return _scores(search.search_text(lifted(spark, d, ("part",)), "red AND ring", "v:Part", 50))
 
 
-@query(_SEARCH.format(docs=_NAMES, words="CASE WHEN contains(' ' || array_to_string(w0, ' ') || ' ', ' red widget ') THEN w0 ELSE list_filter(w0, lambda x: x NOT IN ('red', 'widget')) END", a="red", b="widget", hit="a > 0 OR b > 0", keep="true", top=50))
+@query(f"""WITH t AS ({_NAMES}), x AS (SELECT s, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM t),
+  d AS (SELECT s, len(w) AS len, len(list_filter(range(1, len(w)), lambda i: w[i] = 'red' AND w[i + 1] = 'widget')) AS p FROM x), n AS (SELECT count(*) AS n, avg(len) AS m, count(*) FILTER (p > 0) AS dp FROM d)
+  SELECT s AS uri, round(ln(1 + (n - dp + 0.5) / (dp + 0.5)) * p * 2.2 / (p + 1.2 * (0.25 + 0.75 * len / m)), 6) AS score FROM d, n WHERE p > 0 ORDER BY score DESC, s LIMIT 50""")
 def search_phrase(spark, d):
     return _scores(search.search_text(lifted(spark, d, ("part",)), '"red widget"', "v:Part", 50))
 
 
-@query(_SEARCH.format(docs=_NAMES, words="w0", a="red", b="ring", hit="a > 0 OR b > 0", keep="s IN (SELECT 'urn:t:part/' || p_partkey FROM part WHERE p_type = 'PROMO')", top=20))
+@query(_SEARCH.format(docs=_NAMES, a="red", b="ring", hit="a > 0 OR b > 0", keep="s IN (SELECT 'urn:t:part/' || p_partkey FROM part WHERE p_type = 'PROMO')", top=20))
 def search_class(spark, d):
     return _scores(search.search_text(lifted(spark, d, ("part",)), "red ring", "v:Part_PROMO", 20))
 
 
-@query(_SEARCH.format(docs=_NAMES + " UNION ALL SELECT -1 - p_partkey, 'urn:t:part/' || p_partkey, p_type FROM part", words="w0", a="promo", b="red", hit="a > 0 OR b > 0", keep="true", top=100))
+@query(_SEARCH.format(docs=_NAMES + " UNION ALL SELECT -1 - p_partkey, 'urn:t:part/' || p_partkey, p_type FROM part", a="promo", b="red", hit="a > 0 OR b > 0", keep="true", top=100))
 def search_all_properties(spark, d):
     return _scores(search.search_text(lifted(spark, d, ("part",)), "promo red", "v:Part", 100, fields="all"))
 
 
-@query(_SEARCH.format(docs="SELECT p_partkey AS id, 'urn:t:part/' || p_partkey AS s, p_name || chr(10) || p_type AS text FROM part", words="w0", a="promo", b="red", hit="a > 0 AND b > 0", keep="true", top=100))
+@query(_SEARCH.format(docs="SELECT p_partkey AS id, 'urn:t:part/' || p_partkey AS s, p_name || chr(10) || p_type AS text FROM part", a="promo", b="red", hit="a > 0 AND b > 0", keep="true", top=100))
 def search_node(spark, d):
     return _scores(search.search_text(lifted(spark, d, ("part",)), "promo AND red", "v:Part", 100, fields="node"))
 

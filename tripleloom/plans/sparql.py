@@ -1,12 +1,17 @@
 """A SPARQL 1.1 subset compiled to DataFrames.
 
-SELECT [DISTINCT] and ASK; triples with ``;`` and ``,``; paths ``p+``, ``p*``, ``p/q``, ``^p``; FILTER with comparisons, ``&&``, ``||``,
-``!``, STR, LCASE, LANG, CONTAINS, STRSTARTS, NOT EXISTS and EXISTS; OPTIONAL; UNION; VALUES; sub-SELECT; COUNT, SUM, AVG, MIN,
-MAX, SAMPLE with GROUP BY and HAVING; ``(expr AS ?v)``; ORDER BY, LIMIT, OFFSET.  A term is its lexical form."""
+SELECT [DISTINCT] and ASK; triples with ``;`` and ``,``; paths ``p+``, ``p*``, ``p/q``, ``^p``, ``p|q``; FILTER with comparisons, ``&&``, ``||``,
+``!``, IN, STR, LCASE, LANG, CONTAINS, STRSTARTS, NOT EXISTS and EXISTS; OPTIONAL; UNION; MINUS; VALUES; sub-SELECT; COUNT, SUM, AVG, MIN,
+MAX, SAMPLE with GROUP BY and HAVING; ``(expr AS ?v)``; ORDER BY, LIMIT, OFFSET.  A term is its lexical form.
+
+An unbound variable is null and joins with anything.  Which variables may be unbound follows from the text, so joins of others stay plain
+equi-joins; where one may be, both sides are keyed by which variables are bound on either (`Query.compatible`)."""
 
 from __future__ import annotations
 
 import re
+from itertools import product
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,15 +19,25 @@ from pyspark.sql import functions as F
 from ..operators.graph import Graph
 from ..operators.traverse import closure, reach
 from . import terms as T
+from .materialise import materialise
 
 _TOKEN = re.compile(
     r"""(?P<skip>(?:\s+|\#[^\n]*)+)|(?P<iri><[^<>\s]*>)|(?P<var>[?$]\w+)|(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<tag>@[A-Za-z-]+)
-    |(?P<number>[+-]?\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]?[\w-]*:[\w.%-]*[\w%-]|[A-Za-z_]?[\w-]*:)|(?P<word>[A-Za-z]\w*)|(?P<mark>\^\^|&&|\|\||!=|<=|>=|[{}()\[\].;,=<>!*/+^-])""",
+    |(?P<number>[+-]?\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]?[\w-]*:[\w.%-]*[\w%-]|[A-Za-z_]?[\w-]*:)|(?P<word>[A-Za-z]\w*)|(?P<mark>\^\^|&&|\|\||!=|<=|>=|[{}()\[\].;,=<>!*/+^|-])""",
     re.X,
 )
+#: Columns that are no variables.
+_OWN = ("_unit", "_lang_")
 _AGGS = {"COUNT", "SUM", "AVG", "MIN", "MAX", "SAMPLE"}
 
 
+class Rows(NamedTuple):
+    """Solutions, one column a variable, and the variables that some of them may leave unbound."""
+
+    df: DataFrame
+    loose: frozenset[str] = frozenset()
+
+
 class Query:
     def __init__(self, graph: Graph, text: str, ontology: str | None = None, layers: tuple[str, ...] = ("schema", "data")):
         self.graph, self.ontology, self.layers = graph, ontology, layers
@@ -69,14 +84,14 @@ class Query:
             self.at += 1
         if self.maybe("ASK"):
             self.maybe("WHERE")
-            rows = self.group()
+            rows = self.group().df
             return rows.limit(1).agg((F.count("*") > 0).alias("ask"))
         out = self.select()
         if self.peek():
             raise ValueError(f"SPARQL: unexpected {self.peek()!r}")
-        return out
+        return out.df
 
-    def select(self) -> DataFrame:
+    def select(self) -> Rows:
         self.take("SELECT")
         distinct = self.maybe("DISTINCT", "REDUCED")
         items: list[tuple[str, int | None]] = []
@@ -91,7 +106,7 @@ class Query:
             else:
                 items.append((self.variable(), None))
         self.maybe("WHERE")
-        rows = self.group()
+        rows, loose = self.group()
         groups: list[str] = []
         if self.maybe("GROUP"):
             self.take("BY")
@@ -148,7 +163,7 @@ class Query:
         rows = rows.offset(offset) if offset else rows
         rows = rows.limit(limit) if limit is not None else rows
         self.at = end
-        return rows
+        return Rows(rows, frozenset(c for c in names if c in loose or c in outs))
 
     def variable(self) -> str:
         kind, s = self.tokens[self.at]
@@ -164,9 +179,9 @@ class Query:
             self.at += 1
 
     # --- patterns
-    def group(self) -> DataFrame | None:
+    def group(self) -> Rows:
         self.take("{")
-        rows: DataFrame | None = None
+        rows: Rows | None = None
         filters: list[int] = []
         if self.peek() == "SELECT":
             rows = self.select()
@@ -177,20 +192,23 @@ class Query:
                 filters.append(self.at)
                 self.skip_filter()
             elif self.maybe("OPTIONAL"):
-                other = self.group()
-                rows = self.join(rows, other, "left")
+                rows = self.join(rows or self.unit(), self.group(), "left")
+            elif self.maybe("MINUS"):
+                rows = self.join(rows or self.unit(), self.group(), "minus")
             elif self.maybe("VALUES"):
                 rows = self.join(rows, self.values())
             elif self.maybe("BIND"):
                 self.take("(")
                 e = self.expression(None)
                 self.take("AS")
-                rows = rows.withColumn(self.variable(), e)
+                v = self.variable()
+                rows = Rows(rows.df.withColumn(v, e), rows.loose | {v})
                 self.take(")")
             elif self.peek() == "{":
                 one = self.group()
                 while self.maybe("UNION"):
-                    one = one.unionByName(self.group(), allowMissingColumns=True)
+                    two = self.group()
+                    one = Rows(one.df.unionByName(two.df, allowMissingColumns=True), one.loose | two.loose | frozenset(one.df.columns) ^ frozenset(two.df.columns))
                 rows = self.join(rows, one)
             else:
                 rows = self.triples(rows)
@@ -200,7 +218,11 @@ class Query:
             self.at = f
             rows = self.filter(rows)
         self.at = end
-        return rows if rows is not None else self.graph.spark.range(1).select(F.lit(1).alias("_unit"))
+        return rows or self.unit()
+
+    def unit(self) -> Rows:
+        """One solution that binds nothing."""
+        return Rows(self.graph.spark.range(1).select(F.lit(1).alias("_unit")))
 
     def skip_filter(self) -> None:
         while self.peek() in ("NOT", "EXISTS"):
@@ -215,25 +237,71 @@ class Query:
             if not depth:
                 return
 
-    def filter(self, rows: DataFrame) -> DataFrame:
+    def filter(self, rows: Rows) -> Rows:
         negate = self.maybe("NOT")
         if self.maybe("EXISTS"):
-            other = self.group()
-            shared = [c for c in other.columns if c in rows.columns and not c.startswith("_")]
-            return rows.join(other.select(*shared).distinct(), shared, "left_anti" if negate else "left_semi")
-        return rows.where(self.expression(None))
+            return self.join(rows, self.group(), "anti" if negate else "semi")
+        return Rows(rows.df.where(self.expression(None)), rows.loose)
 
-    @staticmethod
-    def join(a: DataFrame | None, b: DataFrame, how: str = "inner") -> DataFrame:
+    @classmethod
+    def join(cls, a: Rows | None, b: Rows, how: str = "inner") -> Rows:
+        """Solutions that agree wherever both bind a variable; ``how``: inner, left, semi, anti or minus."""
         if a is None:
             return b
-        b = b.drop(*[c for c in b.columns if c in a.columns and c.startswith("_")])
-        shared = [c for c in a.columns if c in b.columns]
+        shared = [c for c in a.df.columns if c in b.df.columns and not c.startswith(_OWN)]
+        keeps_b = how in ("inner", "left")
+        bd = b.df.drop(*[c for c in b.df.columns if c in a.df.columns and c.startswith(_OWN)]) if keeps_b else b.df.select(*shared).distinct()
+        if how == "minus" and not shared:
+            return a
+        loose = a.loose
+        if how == "inner":
+            loose = (a.loose & b.loose) | (a.loose - set(shared)) | (b.loose - set(shared))
+        elif how == "left":
+            loose = a.loose | (frozenset(bd.columns) - set(shared))
+        if any(c in a.loose or c in b.loose for c in shared):
+            return Rows(cls.compatible(a, Rows(bd, b.loose), shared, how), loose)
+        how = {"semi": "left_semi", "anti": "left_anti", "minus": "left_anti"}.get(how, how)
         if shared:
-            return a.join(b, shared, how)
-        return a.crossJoin(b) if how == "inner" else a.join(b, F.lit(True), how)  # SPARQL's product of unrelated patterns
+            return Rows(a.df.join(bd, shared, how), loose)
+        return Rows(a.df.crossJoin(bd) if how == "inner" else a.df.join(bd, F.lit(True), how), loose)  # SPARQL's product of unrelated patterns
 
-    def values(self) -> DataFrame:
+    @staticmethod
+    def compatible(a: Rows, b: Rows, shared: list[str], how: str) -> DataFrame:
+        """One equi-join on the masks of bound variables and the values that both sides bind.
+
+        A row comes once for each mask that the other side may have, at most ``2 ** n`` times for ``n`` variables that may be unbound; a
+        pair of rows has one pair of masks, so it meets once."""
+        free = [c for c in shared if c in a.loose or c in b.loose]
+        bit = {c: 1 << i for i, c in enumerate(free)}
+
+        def masks(loose: frozenset[str]) -> list[int]:
+            return [sum(m) for m in product(*[(0, bit[c]) if c in loose else (bit[c],) for c in free])]
+
+        def keyed(rows: Rows, other: frozenset[str], own: str, others: str) -> DataFrame:
+            bound = sum((F.when(F.col(c).isNotNull(), F.lit(bit[c])).otherwise(F.lit(0)) for c in free), F.lit(0))
+            d = rows.df.withColumn(own, bound).withColumn(others, F.explode(F.array(*map(F.lit, masks(other)))))
+            both = F.col(own).bitwiseAND(F.col(others))
+            d = d.withColumn("_both", both)
+            return d.withColumns({f"_k{i}": F.when(both.bitwiseAND(F.lit(bit[c])) > 0, F.col(c)).otherwise(F.lit("")) if c in bit else F.col(c) for i, c in enumerate(shared)})
+
+        left = a
+        if how != "inner":
+            left = Rows(materialise(a.df.withColumn("_row", F.monotonically_increasing_id())), a.loose)
+        y = keyed(b, a.loose, "_mb", "_ma").drop("_both").withColumnsRenamed({c: f"_b_{c}" for c in shared})
+        met = keyed(left, b.loose, "_ma", "_mb").join(y, ["_ma", "_mb", *(f"_k{i}" for i in range(len(shared)))])
+        if how == "minus" and len(free) == len(shared):
+            met = met.where("_both > 0")  # solutions that bind no variable in common do not take each other away
+        if how in ("semi", "anti", "minus"):
+            return left.df.join(met.select("_row").distinct(), "_row", "left_semi" if how == "semi" else "left_anti").drop("_row")
+        own, more = a.df.columns, [c for c in b.df.columns if c not in shared]
+        out = met.select(*([] if how == "inner" else ["_row"]), *[F.coalesce(c, f"_b_{c}").alias(c) if c in shared else F.col(c) for c in own], *more)
+        if how == "inner":
+            return out
+        out = materialise(out)
+        alone = left.df.join(out.select("_row").distinct(), "_row", "left_anti")
+        return out.drop("_row").unionByName(alone.drop("_row"), allowMissingColumns=True)
+
+    def values(self) -> Rows:
         names, rows = [], []
         if self.maybe("("):
             while not self.maybe(")"):
@@ -249,7 +317,8 @@ class Query:
                 rows.append(tuple(row))
             else:
                 rows.append((self.term()[1],))
-        return self.graph.spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
+        open_ = frozenset(n for i, n in enumerate(names) if any(r[i] is None for r in rows))
+        return Rows(self.graph.spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)), open_)
 
     def term(self) -> tuple[str, str]:
         """``(kind, value)``: var, iri or literal."""
@@ -279,39 +348,48 @@ class Query:
             return "var", self.hidden()
         raise ValueError(f"SPARQL: {s!r} is no term")
 
-    def triples(self, rows: DataFrame | None) -> DataFrame:
+    def triples(self, rows: Rows | None) -> Rows:
         subject = self.term()
         while True:
             path = self.path()
             while True:
-                rows = self.join(rows, self.scan(subject, path, self.term()))
+                rows = self.join(rows, Rows(self.scan(subject, path, self.term())))
                 if not self.maybe(","):
                     break
             if not self.maybe(";") or self.peek() in (".", "}"):
                 return rows
 
-    def path(self) -> list[tuple[tuple[str, str], str, bool]]:
-        """Steps ``(predicate, '' or + or *, inverse)``."""
+    def path(self) -> list[tuple[list[tuple[str, str]], str, bool]]:
+        """Steps ``(alternative predicates, '' or + or *, inverse)``."""
         steps = []
         while True:
             inverse = self.maybe("^")
-            if self.tokens[self.at] == ("word", "a"):
-                self.at += 1
-                p = ("iri", T.TYPE)
-            else:
-                p = self.term()
+            wrapped = self.maybe("(")
+            p = [self.predicate()]
+            while self.maybe("|"):
+                p.append(self.predicate())
+            if wrapped:
+                self.take(")")
             mod = self.take() if self.peek() in ("+", "*") else ""
             steps.append((p, mod, inverse))
             if not self.maybe("/"):
                 return steps
 
+    def predicate(self) -> tuple[str, str]:
+        if self.tokens[self.at] == ("word", "a"):
+            self.at += 1
+            return "iri", T.TYPE
+        return self.term()
+
     def scan(self, s: tuple[str, str], steps: list, o: tuple[str, str]) -> DataFrame:
         at, rows = s, None
         for k, (p, mod, inverse) in enumerate(steps):
             to = o if k == len(steps) - 1 else ("var", self.hidden())
             a, b = (to, at) if inverse else (at, to)
-            rows = self.join(rows, self.edge(a, p, mod, b))
+            step = Rows(self.edge(a, p, mod, b))
+            rows = self.join(rows, step)
             at = to
+        rows = rows.df
         hidden = [c for c in rows.columns if c.startswith("_h")]
         return rows.drop(*hidden).distinct() if len(steps) > 1 else rows
 
@@ -330,8 +408,11 @@ class Query:
             out = found.select(ends[0].alias("s"), ends[1].alias("o"))
         return out.unionByName(nodes.select(F.col("n").alias("s"), F.col("n").alias("o"))).distinct() if zero else out
 
-    def edge(self, s: tuple[str, str], p: tuple[str, str], mod: str, o: tuple[str, str]) -> DataFrame:
-        t = self.graph.triples([p[1]] if p[0] == "iri" else None, self.ontology, self.layers)
+    def edge(self, s: tuple[str, str], ps: list[tuple[str, str]], mod: str, o: tuple[str, str]) -> DataFrame:
+        if len(ps) > 1 and any(p[0] != "iri" for p in ps):
+            raise ValueError("SPARQL: alternatives in a path are IRIs")
+        p = ps[0]
+        t = self.graph.triples([x[1] for x in ps] if p[0] == "iri" else None, self.ontology, self.layers)
         if mod:
             t = self.repeated(t, s, o, zero=mod == "*")
         out, names = [], {}
@@ -379,6 +460,17 @@ class Query:
             both = x.isNotNull() & y.isNotNull()
             cmp = {"=": lambda p, q: p == q, "!=": lambda p, q: p != q, "<": lambda p, q: p < q, "<=": lambda p, q: p <= q, ">": lambda p, q: p > q, ">=": lambda p, q: p >= q}[op]
             return F.when(both, cmp(x, y)).otherwise(cmp(a.cast("string"), b.cast("string")))
+        negate = self.peek() == "NOT" and self.tokens[self.at + 1][1].upper() == "IN"
+        self.at += negate
+        if self.maybe("IN"):
+            self.take("(")
+            among = F.lit(False)
+            while not self.maybe(")"):
+                b = self.additive(folds)
+                x, y = self.number(a), self.number(b)
+                among = among | F.when(x.isNotNull() & y.isNotNull(), x == y).otherwise(a.cast("string") == b.cast("string"))
+                self.maybe(",")
+            return ~among if negate else among
         return a
 
     def additive(self, folds) -> Column:

@@ -182,8 +182,9 @@ def decide_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """``row`` (the input row as a struct, so that no name clashes), ``text`` without the lines that go, ``n_lines, n_kept``."""
     keep = staying_lines(docs, min_chars).withColumnRenamed("doc_id", "key")
     text = F.col("text").cast("string")
-    d = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.xxhash64(text).alias("tag"), F.split(text, "\n", -1).alias("lines"), (F.coalesce(text, F.lit("")) == "").alias("blank"))
-    d = d.join(keep, ["key", "tag"], "left")
+    d = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.xxhash64(text).alias("tag"))
+    text = F.col("row.text").cast("string")
+    d = d.join(keep, ["key", "tag"], "left").select("row", "kept", F.split(text, "\n", -1).alias("lines"), (F.coalesce(text, F.lit("")) == "").alias("blank"))
     # numbers of the lines that always stay, merged with the others; no line is searched for
     places = F.transform("lines", lambda line, n: F.when((F.length(line) < min_chars) | (F.trim(line, F.lit(BLANKS)) == ""), n.cast("long")))
     numbers = F.sort_array(F.concat(F.array_compact(places), F.coalesce("kept", F.array().cast("array<long>"))))

@@ -8,6 +8,7 @@ from tripleloom.operators.pattern import Pattern, Triple
 from tripleloom.plans import terms, sparql
 from tripleloom.plans.catalog import smoking
 from tripleloom.sources import turtle
+from tripleloom.sources.commits import Log
 from tripleloom.sources.store import Store
 
 TTL = '''
@@ -224,11 +225,11 @@ def test_replacing_survives_a_lost_driver(spark, tmp_path, monkeypatch):
     s.assert_triples([("urn:x:9", "urn:x:p", "z")], "two")
     held = lambda name: sorted(r["o"] for r in s.rows().where(f"ontology = '{name}'").distinct().collect())
 
-    def lost(self, paths):
+    def lost(self, after, state):  # after the files are written, before the commit that lists them
         raise KeyboardInterrupt
 
     with monkeypatch.context() as m:
-        m.setattr(Store, "_delete", lost)
+        m.setattr(Log, "commit", lost)
         with pytest.raises(KeyboardInterrupt):
             s.retract_triple("urn:x:1", "urn:x:p", "a", ontology="one")
     assert held("one") == ["a", "b", "c"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.reach_index import ReachIndex
 from ..operators.text_index import TextIndex
 from ..sources.lift import V, lifted
+from ..sources.store import Store
 from .catalog import _BM25, _table, query
 from .catalog_more import _folder
 from .sparql import select
@@ -137,3 +138,23 @@ def reach_index_cycles(spark, d):
     name = lambda x: F.concat(F.lit("c/"), F.col(x).cast("string"))
     e = ring.union(on).select(name("k").alias("s"), name("to").alias("o"))
     return ReachIndex.build(e, _folder(spark, "reach-index")).closure()
+
+
+# --- stored graph by commits ----------------------------------------------------------------------------
+
+
+@query("""WITH o AS (SELECT 'urn:t:order/' || o_orderkey AS s, o_orderstatus AS st, o_orderpriority AS pr FROM orders)
+  SELECT 'before' AS seen, s, st AS o FROM o UNION ALL SELECT 'after', s, st FROM o WHERE st <> 'F' OR pr = '1-URGENT'""")
+def store_snapshots(spark, d):
+    """Deletions and additions after a load, seen by readers of an earlier and of the last commit; then one batch."""
+    g = lifted(spark, d, ("orders",))
+    status = g.triples([V + "status"]).drop("ontology", "layer")
+    urgent = g.triples([V + "priority"]).where("o = '1-URGENT'").select("s")
+    store = Store(spark, _folder(spark, "store"))
+    store.load(status, "data", ontology="o")
+    at, _ = store.log.read()
+    store.retract(status.where("o = 'F'"), "o")
+    store.load(status.join(urgent, "s", "left_semi"), "data", ontology="o")
+    store.compact("o")
+    seen = lambda name, n: store.graph(n).triples(ontology="o").select(F.lit(name).alias("seen"), "s", "o")
+    return seen("before", at).unionByName(seen("after", None))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +14,14 @@ from ..sources.lift import V, lifted
 from ..sources.store import Store
 from . import terms as T
 from .catalog import _NET, _table, query, smoking
-from .materialise import shared_folder
+from .materialise import place
 from .sparql import select
 
 _LABEL, _TYPE = T.LABEL, T.TYPE
 
 
 def _folder(spark, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    return place(spark, what)
 
 
 # --- schema ---------------------------------------------------------------------------------------------

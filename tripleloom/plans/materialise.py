@@ -36,14 +36,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _place(spark: SparkSession) -> str:
-    path = f"{shared_folder(spark)}/loop-{uuid.uuid4().hex}"
+def place(spark: SparkSession, what: str = "loop") -> str:
+    """A new path in the shared folder, deleted with the process."""
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    path = _place(df.sparkSession)
+    path = place(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -52,7 +53,7 @@ class Grown:
     """What a loop has found so far, as one folder a round: a round writes its own rows and none of those before it."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.path = spark, _place(spark)
+        self.spark, self.path = spark, place(spark)
         self.schema, self.rounds = None, []
 
     def add(self, df: DataFrame) -> DataFrame:

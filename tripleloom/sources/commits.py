@@ -53,7 +53,8 @@ class Log:
         The file is written under another name and renamed to one that must be free, so it is there whole or not at all."""
         sc = self.spark.sparkContext
         fs, p = self._at(f"{after + 1:010d}.json")
-        _, part = self._at(f"_{after + 1:010d}-{uuid.uuid4().hex}")
+        p = fs.makeQualified(p)
+        part = fs.makeQualified(self._at(f"_{after + 1:010d}-{uuid.uuid4().hex}")[1])
         out = fs.create(part, False)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()

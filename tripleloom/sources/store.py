@@ -1,21 +1,31 @@
-"""A stored graph: Parquet partitioned by (ontology, layer), with load, clear, dump and single writes."""
+"""A stored graph: batches of triples as Parquet by (ontology, layer), with load, clear, dump and single writes.
+
+A commit of the log lists the batches that count.  Every write is a new batch, of triples or of deletions, and one commit, so it costs what
+it writes, and readers see one commit's state.  Additions and deletions of several writers all count, in the order of their commits; a replacing write
+of one that others have changed meanwhile is refused.  `compact` makes one batch of many, `vacuum` deletes what no commit needs."""
 
 from __future__ import annotations
 
 import fnmatch
+import uuid
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import COLUMNS, LAYERS, SCHEMA, Graph
+from ..operators.graph import COLUMNS, LAYERS, SCHEMA, Graph, Part
 from ..plans import terms as T
 from ..plans.materialise import materialise
 from . import turtle
+from .commits import Conflict, Log
 
 DEFAULT = "__default__"
+#: Deleted triples that are broadcast to a read at most; beyond it the read's join is shuffled.
+BROADCAST_DELETIONS = 500_000
 
 
 def _files(spark: SparkSession, root: str, recursive: bool) -> list[tuple[str, str]]:
@@ -49,45 +59,122 @@ class Store:
     path: str
     prefixes: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def log(self) -> Log:
+        return Log(self.spark, f"{self.path}/_log")
+
     def _scope(self, ontology: str | None) -> str:
         return T.ontology_id(ontology) or DEFAULT
 
-    def rows(self) -> DataFrame:
-        try:
-            t = self.spark.read.schema(SCHEMA).parquet(self.path)
-            return t.withColumn("ontology", F.when(F.col("ontology") != DEFAULT, F.col("ontology"))).select(*COLUMNS)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+    def _batches(self, at: int | None = None) -> list[dict]:
+        """The live batches of a commit, oldest first: ``path, scope, kind`` (add or del) and ``n``, the triples written."""
+        return self.log.read(at)[1].get("batches", [])
+
+    def _read(self, batches: list[dict]) -> DataFrame:
+        """The triples that the batches state, each batch read from its own folder; batches may repeat each other's."""
+        order = {b["path"]: i for i, b in enumerate(batches)}
+        adds, dels = ([b for b in batches if b["kind"] == kind] for kind in ("add", "del"))
+        if not adds:
             return self.spark.createDataFrame([], SCHEMA)
 
-    def graph(self) -> Graph:
-        return Graph.of(self.rows(), self.prefixes)
+        def of(some: list[dict]) -> DataFrame:
+            schema = f"{SCHEMA}, batch string"
+            t = self.spark.read.schema(schema).option("basePath", self.path).parquet(*(f"{self.path}/{b['path']}" for b in some))
+            return t.withColumn("ontology", F.when(F.col("ontology") != DEFAULT, F.col("ontology")))
+
+        # a deletion concerns what was there before it
+        last = {b["scope"]: order[b["path"]] for b in dels}
+        open_to = [b for b in adds if last.get(b["scope"], -1) > order[b["path"]]]
+        rest = [b for b in adds if b not in open_to]
+        out = of(rest).select(*COLUMNS) if rest else None
+        if open_to:
+            when = self.spark.createDataFrame([(b["path"].rsplit("batch=", 1)[1], order[b["path"]]) for b in batches], "batch string, seq int")  # a row a batch
+            dated = lambda some: of(some).join(F.broadcast(when), "batch")
+            key = [F.coalesce(c, F.lit("\0")).alias(f"k_{c}") for c in COLUMNS]
+            gone = dated(dels).select(F.col("seq").alias("gone_at"), *key)
+            gone = F.broadcast(gone) if sum(b["n"] for b in dels) <= BROADCAST_DELETIONS else gone
+            old = dated(open_to).select("seq", *COLUMNS, *key)
+            same = (F.col("seq") < F.col("gone_at")) & reduce(and_, (old[f"k_{c}"] == gone[f"k_{c}"] for c in COLUMNS))
+            old = old.join(gone, same, "left_anti").select(*COLUMNS)
+            out = old if out is None else out.unionByName(old)
+        return out
 
-    def _put(self, rows: DataFrame, ontology: str | None, layer: str) -> None:
-        """Replace one (ontology, layer); other partitions stay.
+    def rows(self, at: int | None = None) -> DataFrame:
+        """All triples, each once for an ontology, as of a commit (the last one by default)."""
+        return self._read(self._batches(at)).distinct()
+
+    def graph(self, at: int | None = None) -> Graph:
+        """The graph as of a commit; a part of it reads the folders of its own layer only."""
+        batches = self._batches(at)
+        parts = [Part(self._read([b for b in batches if b["scope"].endswith(f"/layer={layer}")]), None, layer) for layer in ("schema", "data")]
+        # batches of one scope may repeat each other's triples
+        return Graph(self.spark, parts, dict(self.prefixes), overlap=len({b["scope"] for b in batches}) < len(batches))
+
+    def _write(self, rows: DataFrame, kind: str, ontology: str | None, layer: str) -> dict:
+        """A new folder that no commit lists yet, ordered by subject, so that a filter on one reads few row groups."""
+        scope = f"ontology={self._scope(ontology)}/layer={layer}"
+        path = f"{scope}/batch={uuid.uuid4().hex}"
+        columns = [c for c in COLUMNS if c not in ("ontology", "layer")]
+        # one exchange for both: equal triples are in one range
+        rows.select(*columns).repartitionByRange("s", "p", "o").distinct().sortWithinPartitions("s", "p", "o").write.parquet(f"{self.path}/{path}")
+        n = self.spark.read.schema(", ".join(f"{c} string" for c in columns)).parquet(f"{self.path}/{path}").count()
+        return {"path": path, "scope": scope, "kind": kind, "n": n}
+
+    def _commit(self, change) -> int:
+        """Commit ``change(batches)``, again on the newer state if another writer was first."""
+        for _ in range(100):
+            number, state = self.log.read()
+            try:
+                return self.log.commit(number, {"batches": change(state.get("batches", []))})
+            except Conflict:
+                continue
+        raise Conflict(f"{self.path}: too many writers")
 
-        The new files come first and the old ones go after: a driver lost in between loses no triple, and the same call again ends the work."""
-        folder = f"{self.path}/ontology={self._scope(ontology)}/layer={layer}"
-        old = [path for path, name in _files(self.spark, folder, False) if name[0] not in "_."]
-        rows.select(*[c for c in COLUMNS if c not in ("ontology", "layer")]).distinct().write.mode("append").parquet(folder)
-        self._delete(old)
+    def _replace(self, was: list[dict], scope: str, new: list[dict]) -> None:
+        """Put ``new`` in the place of a scope's batches; `Conflict` if these are others than ``was``."""
 
-    def _delete(self, paths: list[str]) -> None:
-        for path in paths:
-            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, False)
+        def change(now: list[dict]) -> list[dict]:
+            if [b for b in now if b["scope"] == scope] != was:
+                raise ValueError(f"{scope}: written meanwhile")
+            return [b for b in now if b["scope"] != scope] + new
 
-    def _append(self, rows: DataFrame, ontology: str | None, layer: str) -> None:
-        """Write the triples that are not there yet as new files; what is there stays as it is."""
-        columns = [c for c in COLUMNS if c not in ("ontology", "layer")]
-        new = materialise(rows.select(*columns).subtract(self._get(ontology, layer).select(*columns)))
-        if not new.isEmpty():
-            new.write.mode("append").parquet(f"{self.path}/ontology={self._scope(ontology)}/layer={layer}")
+        try:
+            self._commit(change)
+        except ValueError as e:
+            raise Conflict(str(e)) from e
+
+    def _own(self, ontology: str | None, layer: str) -> tuple[str, list[dict]]:
+        scope = f"ontology={self._scope(ontology)}/layer={layer}"
+        return scope, [b for b in self._batches() if b["scope"] == scope]
+
+    def _put(self, rows: DataFrame, ontology: str | None, layer: str) -> None:
+        """Replace one (ontology, layer) by one commit: readers see the old triples or the new ones, never both."""
+        scope, was = self._own(ontology, layer)
+        batch = self._write(rows, "add", ontology, layer)
+        self._replace(was, scope, [batch] if batch["n"] else [])
+
+    def _append(self, rows: DataFrame, ontology: str | None, layer: str, kind: str = "add") -> None:
+        """One more batch; nothing that is there is read."""
+        batch = self._write(rows, kind, ontology, layer)
+        if batch["n"]:
+            self._commit(lambda now: [*now, batch])
 
     def _get(self, ontology: str | None, layer: str) -> DataFrame:
-        own = F.col("ontology").isNull() if ontology is None else F.col("ontology") == ontology
-        return self.rows().where(own & (F.col("layer") == layer))
+        return self._read(self._own(ontology, layer)[1]).distinct()
+
+    def compact(self, ontology: str | None = None, layer: str = "data") -> None:
+        """One (ontology, layer) as one batch without deletions; `Conflict` if it is written meanwhile."""
+        scope, was = self._own(ontology, layer)
+        if len(was) > 1:
+            batch = self._write(self._read(was), "add", ontology, layer)
+            self._replace(was, scope, [batch] if batch["n"] else [])
+
+    def vacuum(self) -> int:
+        """Delete batches that only earlier commits list; their readers fail afterwards.  Returns how many."""
+        live = {b["path"] for b in self._batches()}
+        old = {b["path"] for n in self.log.numbers()[:-1] for b in self._batches(n)} - live
+        self.log.delete(*(f"{self.path}/{path}" for path in sorted(old)))
+        return len(old)
 
     def load(self, triples: DataFrame, mode: str | None = None, replace: bool = False, ontology: str | None = None) -> int:
         """Schema replaces its layer, data adds (or replaces); equal triples are one.  Returns the triples given."""
@@ -118,7 +205,7 @@ class Store:
     def assert_triples(self, triples: list[tuple], ontology: str | None = None) -> int:
         """Add data triples ``(s, p, o)`` or ``(s, p, o, object_is_uri)``; without the flag the object is a plain string.
 
-        Only triples that are not there are written, as new files beside the old ones.  Returns the triples given."""
+        They are written as one more batch; one that is there already is still one to readers.  Returns the triples given."""
         rows = []
         for s, p, o, *flag in triples:
             o, kind, dt = self._object(o, bool(flag and flag[0]))
@@ -128,22 +215,30 @@ class Store:
         return len(rows)
 
     def retract_triple(self, s: str, p: str, o: str, object_is_uri: bool = False, ontology: str | None = None) -> int:
-        """Remove a data triple, the resource or the literal as the flag says; 0 if it is not there."""
-        own = self._get(ontology, "data")
+        """Remove a data triple, the resource or the literal as the flag says; 0 if it is not there.
+
+        A deletion is a batch of the triples that go, and a read leaves them out; `compact` applies it to the files."""
         o, kind, _ = self._object(o, object_is_uri)
         hit = (F.col("s") == T.iri(s, self.prefixes)) & (F.col("p") == T.iri(p, self.prefixes)) & (F.col("o") == o) & (F.col("o_kind") == kind)
-        n = own.where(hit).count()
+        # filters on the subject reach the scan, which skips the row groups of others
+        gone = materialise(self._read(self._own(ontology, "data")[1]).where(hit).distinct())
+        n = gone.count()
         if n:
-            self._put(own.where(~hit), ontology, "data")
+            self._append(gone, ontology, "data", "del")
         return n
 
+    def retract(self, triples: DataFrame, ontology: str | None = None) -> None:
+        """Remove every given data triple that is there, all by one commit; nothing of the layer is read or rewritten."""
+        self._append(triples, ontology, "data", "del")
+
     def clear(self, target: str = "all", ontology: str | None = None) -> dict[str, int]:
         out = {}
         for layer in ("schema", "data") if target == "all" else (LAYERS[target],):
             own = self._get(ontology, layer)
             out[layer] = own.count()
-            if out[layer]:
-                self._put(own.limit(0), ontology, layer)
+            scope, was = self._own(ontology, layer)
+            if was:
+                self._replace(was, scope, [])
         return out
 
     def dump(self, path: str, target: str = "data", fmt: str = "jsonl", ontology: str | None = None) -> None:

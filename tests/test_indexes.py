@@ -7,7 +7,9 @@ import pytest
 
 from tripleloom.operators import search
 from tripleloom.operators.graph import Graph
+from tripleloom.operators.pattern import Triple, bindings
 from tripleloom.operators.reach_index import ReachIndex, strong_components
+from tripleloom.operators.statistics import Statistics
 from tripleloom.operators.text_index import TextIndex
 from tripleloom.operators.traverse import closure
 from tripleloom.plans.sparql import select
@@ -140,3 +142,61 @@ def small(spark):
 def test_sparql_joins_with_unbound_variables(small, text, want):
     got = select(small, "PREFIX u: <urn:> SELECT * WHERE { %s }" % text).collect()
     assert sorted(" ".join("-" if v is None else v[4:] for v in r) for r in got) == sorted(want)
+
+
+@pytest.fixture(scope="module")
+def shop(spark):
+    rng = np.random.default_rng(2)
+    rows = set()
+    for i in range(80):
+        rows |= {(f"o{i}", "by", f"c{rng.integers(0, 12)}"), (f"o{i}", "price", str(rng.integers(1, 50))), (f"o{i}", "status", "FO"[i % 2])} - ({(f"o{i}", "status", "F")} if i % 7 == 0 else set())
+        rows |= {(f"o{i}", "has", f"p{x}") for x in rng.integers(0, 9, 3)}
+    rows |= {(f"c{i}", "in", f"n{i % 4}") for i in range(12)} | {(f"n{i}", "in", "r") for i in range(4)} | {("hub", "has", f"p{x}") for x in range(200)} | {("hub", "by", "c1"), ("o1", "twin", "o1"), ("o2", "twin", "o3")}
+    kind = {"price": "literal", "status": "literal"}
+    t = [(None, "data", "urn:" + s, "iri", "urn:" + p, o if p in kind else "urn:" + o, kind.get(p, "iri"), None, None) for s, p, o in sorted(rows)]
+    return Graph.of(spark.createDataFrame(t, "ontology string, layer string, s string, s_kind string, p string, o string, o_kind string, dt string, lang string")), rows
+
+
+def test_statistics(spark, shop, tmp_path):
+    g, rows = shop
+    stats = Statistics.collect(g, f"file://{tmp_path}/stats")
+    assert stats.of("urn:has").most == 200 and stats.of("urn:by").n == 81 == stats.of("urn:by").subjects and stats.of("urn:none").n == 0
+    have = {}
+    for s, p, _ in rows:
+        have.setdefault(s, set()).add(p)
+    assert stats.star(["urn:by", "urn:price", "urn:status"]) == sum({"by", "price", "status"} <= x for x in have.values())
+    assert Statistics(stats.by_predicate).star(["urn:by", "urn:in"]) == 16  # without sets: the rarest
+
+
+@pytest.mark.parametrize(
+    "where",
+    [
+        [("?o", "by", "?c"), ("?o", "price", "?v"), ("?o", "status", '"F"'), ("?c", "in", "?n"), ("?n", "in", "?r")],
+        [("?o", "by", "c1"), ("?o", "price", "?v")],
+        [("?o", "has", "?p"), ("?o", "by", "?c"), ("?o", "price", "?v")],  # a subject with more values than a row gathers
+        [("?o", "twin", "?o"), ("?o", "by", "?c")],
+        [("?a", "by", "?c"), ("?b", "by", "?c"), ("?a", "status", '"O"'), ("?b", "status", '"F"')],
+        [("?a", "in", "?x"), ("?b", "twin", "?y")],
+        [("?o", "?p", "?c"), ("?c", "in", "n1"), ("?o", "price", "?v")],
+    ],
+)
+def test_stars_equal_joins(spark, shop, tmp_path, where):
+    g, _ = shop
+    term = lambda x: x if x[0] in '?"' else "urn:" + x
+    triples = [Triple(*map(term, t)) for t in where]
+    stats = Statistics.collect(g, f"file://{tmp_path}/stats")
+    plain, star = bindings(g, triples), bindings(g, triples, stats=stats)
+    row = lambda d: sorted(tuple(sorted(r.asDict().items())) for r in d.collect())
+    assert row(plain) == row(star) != []
+
+
+def test_a_star_is_one_exchange(spark, shop, tmp_path):
+    g, _ = shop
+    stats = Statistics.collect(g, f"file://{tmp_path}/stats")
+    triples = [Triple("?o", "urn:by", "?c"), Triple("?o", "urn:price", "?v"), Triple("?o", "urn:status", '"F"'), Triple("?c", "urn:in", "?n")]
+    exchanges = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert 2 * exchanges(bindings(g, triples, stats=stats)) <= exchanges(bindings(g, triples))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -56,6 +56,11 @@ class Graph:
             rows = rows.withColumn("ontology", F.lit(None).cast("string"))
         return rows if unique else rows.distinct()
 
+    def is_set(self, predicate: str, ontology: str | None = None, layers: tuple[str, ...] = ("schema", "data")) -> bool:
+        """Whether one part alone holds the predicate, for it alone, without repeats: then its ``s, o`` are a set as they are."""
+        held = [x for x in self.parts if x.layer in layers and (x.predicates is None or predicate in x.predicates)]
+        return len(held) == 1 and held[0].unique and not self.overlap and held[0].predicates == {predicate}
+
     def scope(self, predicates: Iterable[str] | None = None, ontology: str | None = None, layers: tuple[str, ...] = ("schema", "data")) -> tuple[DataFrame, bool]:
         """The scope's rows, and whether no two of them state the same triple."""
         T.ontology_id(ontology)

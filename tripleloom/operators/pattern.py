@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from ..plans import terms as T
 from .entities import OPS
 from .graph import Graph
+from .statistics import Statistics
 
 MAX_LIMIT = 10_000
+#: Triples that a subject may have of one predicate for a star to gather them in its row; beyond it the predicate is joined.
+STAR_MOST = 64
 
 
 @dataclass(frozen=True)
@@ -71,9 +74,85 @@ def _scan(graph: Graph, t: Triple, ontology: str | None, layers: tuple[str, ...]
         elif pos != "p":
             rows = rows.where(F.col(pos) == graph.iri(term))
     out = [F.col(pos).alias(v[1:]) for v, pos in columns.items()]
+    if out and graph.is_set(t.p if T.is_variable(t.p) else graph.iri(t.p), ontology, layers) and not T.is_variable(t.p):
+        return rows.select(*out)  # a predicate's pairs are there once
     return rows.select(*out).distinct() if out else rows.limit(1).select(F.lit(1).alias("_one"))
 
 
+def _star(graph: Graph, star: list[Triple], ontology: str | None, layers: tuple[str, ...]) -> DataFrame:
+    """Patterns of one subject in one exchange: its triples are gathered by pattern in its row, then unfolded.
+
+    Each subject has at most ``STAR_MOST`` triples of each predicate, by the statistics."""
+    names = sorted({graph.iri(t.p) for t in star})
+    rows = graph.scope(names, ontology, layers)[0]
+    tests = []
+    for t in star:
+        test = F.col("p") == graph.iri(t.p)
+        if _literal(t.o) is not None:
+            test = test & (F.col("o") == _literal(t.o)) & (F.col("o_kind") == "literal")
+        elif not T.is_variable(t.o):
+            test = test & (F.col("o") == graph.iri(t.o))
+        tests.append(test)
+    own = rows.groupBy("s").agg(*[F.collect_set(F.when(test, F.col("o"))).alias(f"_o{i}") for i, test in enumerate(tests)])
+    own = own.where(" and ".join(f"size(_o{i}) > 0" for i in range(len(star))))
+    out = {star[0].s[1:]: F.col("s")}
+    for i, t in enumerate(star):
+        if T.is_variable(t.o):
+            own = own.withColumn(f"_o{i}", F.explode(f"_o{i}"))
+            if t.o[1:] in out:  # the subject again, or two patterns with one object
+                own = own.where(F.col(f"_o{i}") == out[t.o[1:]])
+            else:
+                out[t.o[1:]] = F.col(f"_o{i}")
+    return own.select(*[c.alias(v) for v, c in out.items()])
+
+
+def _units(graph: Graph, patterns: list[Triple], stats: Statistics) -> list[list[Triple]]:
+    """Stars of two patterns or more with a common subject variable and predicates that a row can gather; the others alone."""
+    stars: dict[str, list[Triple]] = {}
+    alone = []
+    for t in dict.fromkeys(patterns):
+        fits = T.is_variable(t.s) and not T.is_variable(t.p) and 0 < stats.of(graph.iri(t.p)).most <= STAR_MOST
+        (stars.setdefault(t.s, []) if fits else alone).append(t)
+    return [s for s in stars.values() if len(s) > 1] + [[t] for t in alone + [s[0] for s in stars.values() if len(s) == 1]]
+
+
+def _planned(graph: Graph, patterns: list[Triple], stats: Statistics) -> list[list[Triple]]:
+    """Units by estimated size: the smallest first, then always that which shares a variable and leaves the fewest rows."""
+
+    def size(unit: list[Triple]) -> float:
+        one = lambda t: stats.triples(None if T.is_variable(t.p) else graph.iri(t.p), not T.is_variable(t.s), not T.is_variable(t.o))
+        if len(unit) == 1:
+            return one(unit[0])
+        names = [graph.iri(t.p) for t in unit]
+        subjects = stats.star(names)
+        for t, p in zip(unit, names, strict=True):
+            subjects *= one(t) / max(1, stats.of(p).subjects)
+        return subjects
+
+    def values(unit: list[Triple], v: str) -> float:
+        """Distinct values of a variable in a unit."""
+        found = [max(1, getattr(stats.of(None if T.is_variable(t.p) else graph.iri(t.p)), "subjects" if t.s == v else "objects")) for t in unit if v in (t.s, t.o)]
+        return min(found, default=1)
+
+    variables = lambda unit: {x for t in unit for x in (t.s, t.p, t.o) if T.is_variable(x)}
+    left = sorted(_units(graph, patterns, stats), key=size)
+    out, seen, rows = [], {}, 1.0
+    while left:
+        def then(unit: list[Triple]) -> tuple[bool, float]:
+            shared = seen.keys() & variables(unit)
+            n = rows * size(unit)
+            for v in shared:
+                n /= max(values(unit, v), seen[v])
+            return bool(seen) and not shared, n
+
+        best = min(left, key=then)
+        rows = max(1.0, then(best)[1])
+        seen |= {v: min(seen.get(v, float("inf")), values(best, v)) for v in variables(best)}
+        left.remove(best)
+        out.append(best)
+    return out
+
+
 def _order(patterns: list[Triple]) -> list[Triple]:
     """Most bound first, then always one that shares a variable with what is joined."""
     bound = lambda t: sum(not T.is_variable(x) for x in (t.s, t.p, t.o)) + (not T.is_variable(t.s)) + (not T.is_variable(t.o))
@@ -99,11 +178,13 @@ def _condition(c: Condition):
     return {"=": x == y, "!=": x != y, ">": x > y, ">=": x >= y, "<": x < y, "<=": x <= y}[c.op]
 
 
-def bindings(graph: Graph, patterns: list[Triple], ontology: str | None = None, layers: tuple[str, ...] = ("data",)) -> DataFrame:
-    """One column a variable; patterns without a shared variable multiply, as their semantics demand."""
+def bindings(graph: Graph, patterns: list[Triple], ontology: str | None = None, layers: tuple[str, ...] = ("data",), stats: Statistics | None = None) -> DataFrame:
+    """One column a variable; patterns without a shared variable multiply, as their semantics demand.
+
+    With statistics of the graph, patterns of one subject are one exchange and units are joined by estimated size."""
     out = None
-    for t in _order(patterns):
-        rows = _scan(graph, t, ontology, layers)
+    for unit in _planned(graph, patterns, stats) if stats else [[t] for t in _order(patterns)]:
+        rows = _scan(graph, unit[0], ontology, layers) if len(unit) == 1 else _star(graph, unit, ontology, layers)
         if out is None:
             out = rows
             continue
@@ -112,8 +193,8 @@ def bindings(graph: Graph, patterns: list[Triple], ontology: str | None = None,
     return out
 
 
-def query_pattern(graph: Graph, q: Pattern, ontology: str | None = None, layers: tuple[str, ...] = ("data",)) -> DataFrame:
-    rows = bindings(graph, q.where, ontology, layers)
+def query_pattern(graph: Graph, q: Pattern, ontology: str | None = None, layers: tuple[str, ...] = ("data",), stats: Statistics | None = None) -> DataFrame:
+    rows = bindings(graph, q.where, ontology, layers, stats)
     for c in q.filters:
         rows = rows.where(_condition(c))
     rows = rows.select(*[v[1:] for v in q.select])

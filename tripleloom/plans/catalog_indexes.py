@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import pattern
+from ..operators.pattern import Condition, Pattern, Triple
 from ..operators.reach_index import ReachIndex
+from ..operators.statistics import Statistics
 from ..operators.text_index import TextIndex
 from ..sources.lift import V, lifted
 from ..sources.store import Store
@@ -158,3 +161,27 @@ def store_snapshots(spark, d):
     store.compact("o")
     seen = lambda name, n: store.graph(n).triples(ontology="o").select(F.lit(name).alias("seen"), "s", "o")
     return seen("before", at).unionByName(seen("after", None))
+
+
+# --- statistics and stars -------------------------------------------------------------------------------
+
+
+@query("""SELECT p, count(*) AS n, count(DISTINCT s) AS subjects, max(k) AS most FROM (SELECT *, count(*) OVER (PARTITION BY p, s) AS k FROM (
+  SELECT 'urn:v:placedBy' AS p, o_orderkey AS s, o_custkey::VARCHAR AS o FROM orders UNION SELECT 'urn:v:orderContains', l_orderkey, 'p' || l_partkey FROM lineitem UNION SELECT 'urn:v:orderSuppliedBy', l_orderkey, 's' || l_suppkey FROM lineitem)) GROUP BY p""")
+def predicate_statistics(spark, d):
+    stats = Statistics.collect(lifted(spark, d, ("orders", "lineitem")), _folder(spark, "statistics"))
+    rows = [(p, c.n, c.subjects, c.most) for p, c in sorted(stats.by_predicate.items()) if p in (V + "placedBy", V + "orderContains", V + "orderSuppliedBy")]
+    return spark.createDataFrame(rows, "p string, n long, subjects long, most long")
+
+
+_JOIN4 = """SELECT 'urn:t:order/' || o_orderkey AS o, 'urn:t:region/' || n_regionkey AS r, (o_totalprice::DECIMAL(18,2))::VARCHAR AS price, o_orderpriority AS pr
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice::DECIMAL(18,2) > 300000 AND o_orderstatus = 'F'"""
+
+
+@query(_JOIN4)
+def star_join(spark, d):
+    """Four patterns of one order in one exchange, then the rest by estimated size."""
+    g = lifted(spark, d, ("orders", "customer", "nation"))
+    where = [Triple("?o", "v:placedBy", "?c"), Triple("?c", "v:locatedIn", "?n"), Triple("?n", "v:locatedIn", "?r"), Triple("?o", "v:totalPrice", "?price"), Triple("?o", "v:priority", "?pr"), Triple("?o", "v:status", '"F"')]
+    stats = Statistics.collect(g, _folder(spark, "statistics"))
+    return pattern.query_pattern(g, Pattern(["?o", "?r", "?price", "?pr"], where, [Condition("?price", ">", 300000)], limit=None), stats=stats)

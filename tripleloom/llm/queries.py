@@ -147,7 +147,10 @@ c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n FROM d GROUP BY ALL
         if isinstance(want, dict):
             case = "CASE " + " ".join(f"WHEN {dim} = '{v}' THEN {w!r}" for v, w in want.items()) + " END"
             left = max(0.0, 1.0 - sum(want.values()))
-            share = f"SELECT {dim}, coalesce({case}, {left!r} * n / (SELECT sum(n) FROM m_{dim} WHERE ({case}) IS NULL)) AS w FROM m_{dim}"
+            others = f"{left!r} * n / (SELECT sum(n) FROM m_{dim} WHERE ({case}) IS NULL)"
+            if left <= 1e-9:  # values without a target keep their natural share
+                others = f"(SELECT sum({case}) FROM m_{dim}) * n / nullif((SELECT sum(n) FROM m_{dim} WHERE ({case}) IS NOT NULL), 0)"
+            share = f"SELECT {dim}, coalesce({case}, {others}) AS w FROM m_{dim}"
         else:
             share = f"SELECT {dim}, pow(n, {float(want)!r}) AS w FROM m_{dim}"
         cells += f",\nm_{dim} AS (SELECT {dim}, sum(n) AS n FROM c GROUP BY {dim}),\ns_{dim} AS ({share}),\nt_{dim} AS (SELECT {dim}, w / (SELECT sum(w) FROM s_{dim}) AS t FROM s_{dim})"

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pattern
+from ..operators.embedding_store import EmbeddingStore, HashedWords
 from ..operators.pattern import Condition, Pattern, Triple
 from ..operators.reach_index import ReachIndex
 from ..operators.statistics import Statistics
 from ..operators.text_index import TextIndex
+from ..operators.vector_index import VectorIndex
 from ..sources.lift import V, lifted
 from ..sources.store import Store
-from .catalog import _BM25, _table, query
+from .catalog import _BM25, _KNN, _table, query
 from .catalog_more import _folder
 from .sparql import select
 
@@ -185,3 +187,31 @@ def star_join(spark, d):
     where = [Triple("?o", "v:placedBy", "?c"), Triple("?c", "v:locatedIn", "?n"), Triple("?n", "v:locatedIn", "?r"), Triple("?o", "v:totalPrice", "?price"), Triple("?o", "v:priority", "?pr"), Triple("?o", "v:status", '"F"')]
     stats = Statistics.collect(g, _folder(spark, "statistics"))
     return pattern.query_pattern(g, Pattern(["?o", "?r", "?price", "?pr"], where, [Condition("?price", ">", 300000)], limit=None), stats=stats)
+
+
+# --- embeddings and vectors that are stored -------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(trim(text)), '[\\p{L}\\p{N}]+')) AS w FROM documents WHERE length(trim(text)) >= 3),
+  p AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM w), x AS (SELECT doc_id, h // 2 % 32 AS k, sum(1 - 2 * (h % 2)) AS x FROM p GROUP BY ALL),
+  d AS (SELECT doc_id, k FROM (SELECT doc_id FROM documents WHERE length(trim(text)) >= 3), range(32) AS g(k))
+  SELECT doc_id::VARCHAR AS id, string_agg(coalesce(x, 0)::BIGINT::VARCHAR, ',' ORDER BY k) AS vec FROM d LEFT JOIN x USING (doc_id, k) GROUP BY doc_id""")
+def embedding_build(spark, d):
+    """Every document through the offline provider, cached by content, read back."""
+    store = EmbeddingStore(spark, _folder(spark, "embeddings"))
+    store.build_texts(_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), HashedWords(32))
+    return store.read().select("id", F.array_join(F.transform("vec", lambda x: x.cast("long").cast("string")), ",").alias("vec"))
+
+
+@query(_KNN.format(where=""))
+def vector_index_knn(spark, d):
+    v = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    found, _ = VectorIndex.build(v, _folder(spark, "vector-index")).similar(3, 10)
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
+@query(_KNN.format(where="AND label = 2"))
+def vector_index_ontology(spark, d):
+    v = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.array(F.concat(F.lit("o"), F.col("label"))).alias("ontologies"))
+    found, _ = VectorIndex.build(v, _folder(spark, "vector-index")).similar(3, 10, "o2")
+    return found.select("id", F.round("score", 6).alias("score"))

@@ -1,11 +1,13 @@
 """Embeddings that survive a killed run, and the vector index against the scan."""
 
+import sys
 import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tripleloom.operators import embedding_store, vectors
@@ -14,6 +16,9 @@ from tripleloom.operators.graph import Graph
 from tripleloom.operators.vector_index import VectorIndex
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers do not import tests
+
+
 @dataclass(frozen=True)
 class Noted:
     """Notes each text it is asked for, and each time it is opened; fails for texts with ``bad`` while the file ``broken`` is there."""

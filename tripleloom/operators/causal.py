@@ -1,6 +1,6 @@
 """Causal questions over a network and its DAG: interventions, identification, counterfactuals, discovery.
 
-DAGs are small: the graph algorithms run on the driver; discovery reduces data of any size to contingency tables."""
+DAGs are small: the graph algorithms run on the driver; the tests of discovery, of any data, run in Spark."""
 
 from __future__ import annotations
 
@@ -9,12 +9,15 @@ from dataclasses import dataclass, field
 from itertools import combinations, product
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialise import materialise
 from .bayes import Cpd, Network, joint, posterior
 
 MOST_RESPONSES = 2_000_000
+#: Grouping sets of one job.
+SETS_AT_ONCE = 48
 
 
 @dataclass
@@ -241,36 +244,72 @@ def chi2(table: np.ndarray) -> tuple[float, int]:
     return stat, df
 
 
+Test = tuple[str, str, tuple[str, ...]]
+
+
+def states_of(data: DataFrame, variables: list[str]) -> DataFrame:
+    """The variables as strings (null is a state) with ``_n``, the rows of each combination that occurs; written once for all tests."""
+    d = data.select(*[F.coalesce(F.col(v).cast("string"), F.lit("\0")).alias(v) for v in variables])
+    return materialise(d.groupBy(*variables).agg(F.count("*").alias("_n")))
+
+
+def independence(joint: DataFrame, tests: list[Test]) -> DataFrame:
+    """``test, stat, df``: Pearson's statistic of each test ``(x, y, given)``, summed over the strata of ``given``, by its number in the list.
+
+    Tests over the same variables share one grouping set, and all sets of a job one pass over the combinations of states.  With
+    observed cells n, rows r, columns c and N in a stratum the statistic is the sum of ``n n N / (r c)`` less N, so cells that are not
+    there need no row."""
+    variables = [c for c in joint.columns if c != "_n"]
+    by_set: dict[tuple[str, ...], list[int]] = {}
+    for i, (x, y, given) in enumerate(tests):
+        by_set.setdefault(tuple(v for v in variables if v in {x, y, *given}), []).append(i)
+    sets, out = list(by_set), None
+    for at in range(0, len(sets), SETS_AT_ONCE):
+        some = sets[at : at + SETS_AT_ONCE]
+        used = [v for v in variables if any(v in s for s in some)]
+        cells = joint.groupingSets([[F.col(v) for v in s] for s in some], *[F.col(v) for v in used]).agg(F.grouping_id().alias("_g"), F.sum("_n").alias("n"))
+        of = None
+        for s in some:
+            gone = sum(1 << (len(used) - 1 - k) for k, v in enumerate(used) if v not in s)
+            rows = [F.struct(F.lit(i).alias("test"), F.col(tests[i][0]).alias("x"), F.col(tests[i][1]).alias("y"), F.concat_ws("\1", *map(F.col, sorted(tests[i][2]))).alias("z")) for i in by_set[s]]
+            of = F.when(F.col("_g") == gone, F.array(*rows)) if of is None else of.when(F.col("_g") == gone, F.array(*rows))
+        cells = cells.select("n", F.explode(of).alias("t")).select("t.*", "n")
+        total = lambda *by: F.sum("n").over(Window.partitionBy("test", "z", *by))
+        cells = cells.withColumns({"r": total("x"), "c": total("y")})
+        strata = cells.groupBy("test", "z").agg(F.sum("n").alias("N"), F.sum(F.col("n") * F.col("n") / F.col("r") / F.col("c")).alias("q"), F.count_distinct("x").alias("nx"), F.count_distinct("y").alias("ny"))
+        one = strata.groupBy("test").agg(F.sum(F.col("N") * F.col("q") - F.col("N")).alias("stat"), F.sum((F.col("nx") - 1) * (F.col("ny") - 1)).alias("df"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def discover_dag(data: DataFrame, variables: list[str], alpha: float = 0.01, most: int = 3) -> dict:
     """The PC algorithm with chi-square tests: undirected ``skeleton`` and the ``directed`` edges that it can orient.
 
-    A proposal only.  Each test asks for one aggregation of the data to a contingency table."""
-    counts = data.groupBy(*variables).agg(F.count("*").alias("n")).collect()  # a row per combination of states
-    states = {v: sorted({r[v] for r in counts}, key=str) for v in variables}
+    A proposal only.  All tests of a level are one aggregation in Spark (see `independence`); a row a test comes back."""
+    joint = states_of(data, variables)
 
-    def test(x: str, y: str, z: tuple[str, ...]) -> bool:
-        strata: dict[tuple, int] = {}
-        cells = [(states[x].index(r[x]), states[y].index(r[y]), strata.setdefault(tuple(r[v] for v in z), len(strata)), r["n"]) for r in counts]
-        t = np.zeros((len(states[x]), len(states[y]), max(1, len(strata))))
-        for a, b, c, n in cells:
-            t[a, b, c] += n
-        stat, df = chi2(t)
-        return chi2_tail(stat, df) > alpha
+    def separated(tests: list[Test]) -> set[Test]:
+        if not tests:
+            return set()
+        found = {r["test"]: chi2_tail(r["stat"], r["df"]) for r in independence(joint, tests).collect()}
+        return {t for i, t in enumerate(tests) if found.get(i, 1.0) > alpha}  # without rows nothing speaks against independence
 
     near = {v: set(variables) - {v} for v in variables}
     apart: dict[frozenset, tuple[str, ...]] = {}
     for n in range(most + 1):
         frozen = {v: set(near[v]) for v in variables}
+        asked: dict[tuple[str, str], list[Test]] = {}
         for x, y in combinations(variables, 2):
-            if y not in near[x]:
-                continue
-            for side in (frozen[x] - {y}, frozen[y] - {x}):
-                hit = next((z for z in combinations(sorted(side), n) if test(x, y, z)), None)
-                if hit is not None:
-                    near[x].discard(y)
-                    near[y].discard(x)
-                    apart[frozenset((x, y))] = hit
-                    break
+            if y in near[x]:
+                given = dict.fromkeys(z for side in (frozen[x] - {y}, frozen[y] - {x}) for z in combinations(sorted(side), n))
+                asked[x, y] = [(x, y, z) for z in given]
+        apart_by = separated([t for tests in asked.values() for t in tests])
+        for (x, y), tests in asked.items():
+            hit = next((t for t in tests if t in apart_by), None)
+            if hit is not None:
+                near[x].discard(y)
+                near[y].discard(x)
+                apart[frozenset((x, y))] = hit[2]
     directed: set[tuple[str, str]] = set()
     for z in variables:
         for x, y in combinations(sorted(near[z]), 2):
@@ -288,4 +327,4 @@ def discover_dag(data: DataFrame, variables: list[str], alpha: float = 0.01, mos
     return {"skeleton": sorted({tuple(sorted((x, y))) for x in variables for y in near[x]}), "directed": sorted(directed)}
 
 
-__all__ = ["Dag", "do_query", "identify", "explain_do", "counterfactual", "discover_dag", "chi2", "chi2_tail", "joint"]
+__all__ = ["Dag", "do_query", "identify", "explain_do", "counterfactual", "discover_dag", "independence", "states_of", "chi2", "chi2_tail", "joint"]

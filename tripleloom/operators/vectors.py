@@ -96,8 +96,9 @@ def fast_rp(edges: DataFrame, nodes: DataFrame | None = None, dim: int = 256, we
 
 
 def text_vectors(texts: DataFrame, dim: int = 256, least: int = 3) -> DataFrame:
-    """``id, vec`` by hashed word counts of ``texts(id, text)``: an offline stand-in for a remote embedding model."""
+    """``id, vec`` by signed counts of hashed words of ``texts(id, text)``, without a provider (see `embedding_store`)."""
     w = texts.where(F.length("text") >= least).select("id", F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("w"))
-    n = w.groupBy("id", F.pmod(F.xxhash64("w"), F.lit(dim)).cast("int").alias("k")).agg(F.sum(F.lit(1) - 2 * F.pmod(F.xxhash64(F.lit(1), "k"), F.lit(2))).cast("double").alias("x"))
+    w = w.select("id", F.pmod(F.xxhash64("w"), F.lit(dim)).cast("int").alias("k"), (1 - 2 * F.pmod(F.xxhash64(F.lit(1), "w"), F.lit(2))).alias("sign"))
+    n = w.groupBy("id", "k").agg(F.sum("sign").cast("double").alias("x"))
     m = n.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("m"))
     return m.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vec"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import pattern
+from ..operators import causal, pattern
 from ..operators.embedding_store import EmbeddingStore, HashedWords
 from ..operators.pattern import Condition, Pattern, Triple
 from ..operators.reach_index import ReachIndex
@@ -215,3 +215,66 @@ def vector_index_ontology(spark, d):
     v = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.array(F.concat(F.lit("o"), F.col("label"))).alias("ontologies"))
     found, _ = VectorIndex.build(v, _folder(spark, "vector-index")).similar(3, 10, "o2")
     return found.select("id", F.round("score", 6).alias("score"))
+
+
+# --- independence tests ---------------------------------------------------------------------------------
+
+_WIDE = {
+    "status": "o_orderstatus", "priority": "o_orderpriority", "month": "month(o_orderdate)", "year": "year(o_orderdate)", "price": "cast(floor(o_totalprice / 100000) as int)", "segment": "c_mktsegment",
+    "nation": "c_nationkey", "rich": "c_acctbal > 5000", "flag": "l_returnflag", "line": "l_linestatus", "quantity": "cast(floor(l_quantity / 10) as int)", "discount": "cast(floor(l_discount * 100) as int) % 4", "tax": "cast(floor(l_tax * 100) as int) % 3", "ship": "month(l_shipdate)",
+    "size": "cast(floor(p_size / 10) as int)", "type": "p_type", "brand": "p_brand", "cheap": "p_retailprice < 1000", "even": "o_orderkey % 2", "third": "c_custkey % 3",
+}
+_ROWS = f"""SELECT {", ".join(f'{e} AS {v}' for v, e in _WIDE.items())} FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"""
+
+
+def _wide(spark, d):
+    """Twenty variables of an order's lines, the customer and the part."""
+    t = {n: _table(spark, d, n) for n in ("orders", "customer", "lineitem", "part")}
+    j = t["orders"].join(t["customer"], F.expr("o_custkey = c_custkey")).join(t["lineitem"], F.expr("l_orderkey = o_orderkey")).join(t["part"], F.expr("p_partkey = l_partkey"))
+    return j.select(*[F.expr(e).alias(v) for v, e in _WIDE.items()])
+
+
+def _tests_sql(given: str | None) -> str:
+    names = [v for v in _WIDE if v != given]
+    pairs = ", ".join(f"('{x}', '{y}')" for i, x in enumerate(names) for y in names[i + 1 :])
+    z = f"{given}::VARCHAR" if given else "''"
+    return f"""WITH t AS ({_ROWS}), m AS MATERIALIZED (SELECT {z} AS z, map([{", ".join(f"'{v}'" for v in names)}], [{", ".join(f"coalesce({v}::VARCHAR, '')" for v in names)}]) AS m, count(*) AS k FROM t GROUP BY ALL),
+  p(x, y) AS (VALUES {pairs}), g AS (SELECT p.x, p.y, z, m[p.x] AS a, m[p.y] AS b, sum(k) AS n FROM m, p GROUP BY ALL),
+  e AS (SELECT *, n * n / (sum(n) OVER (PARTITION BY x, y, z, a))::DOUBLE / (sum(n) OVER (PARTITION BY x, y, z, b))::DOUBLE AS q FROM g),
+  s AS (SELECT x, y, z, sum(n)::DOUBLE * sum(q) - sum(n) AS stat, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS df FROM e GROUP BY ALL)
+  SELECT x, y, round(sum(stat), 4) + 0 AS stat, sum(df)::BIGINT AS df FROM s GROUP BY x, y"""
+
+
+def _tested(spark, d, given: str | None):
+    names = [v for v in _WIDE if v != given]
+    tests = [(x, y, (given,) if given else ()) for i, x in enumerate(names) for y in names[i + 1 :]]
+    r = causal.independence(causal.states_of(_wide(spark, d), list(_WIDE)), tests)
+    of = spark.createDataFrame([(i, x, y) for i, (x, y, _) in enumerate(tests)], "test int, x string, y string")  # a row a test
+    return r.join(F.broadcast(of), "test").select("x", "y", (F.round("stat", 4) + 0).alias("stat"), "df")
+
+
+@query(_tests_sql(None))
+def independence_tests(spark, d):
+    """All pairs of twenty variables in one pass."""
+    return _tested(spark, d, None)
+
+
+@query(_tests_sql("segment"))
+def independence_given(spark, d):
+    """All pairs of nineteen variables within the strata of the twentieth."""
+    return _tested(spark, d, "segment")
+
+
+_COLLIDER = "SELECT o_custkey % 2 AS a, o_orderkey // 3 % 2 AS b, CASE WHEN o_orderkey % 11 = 0 THEN 1 - least(a, b) ELSE least(a, b) END AS c FROM orders"
+
+
+def _chi(x: str, y: str) -> str:
+    return f"(SELECT sum((n - e) * (n - e) / e) FROM (SELECT n, sum(n) OVER (PARTITION BY {x}) * sum(n) OVER (PARTITION BY {y}) / sum(n) OVER () AS e FROM (SELECT {x}, {y}, count(*) AS n FROM t GROUP BY ALL)))"
+
+
+@query(f"WITH t AS ({_COLLIDER}) SELECT x, 'c' AS y FROM (VALUES ('a'), ('b')) v(x) WHERE {_chi('a', 'b')} < 6.634897 AND {_chi('a', 'c')} > 6.634897 AND {_chi('b', 'c')} > 6.634897")
+def discover_collider(spark, d):
+    """Two independent causes of one effect: the test orients both edges."""
+    t = _table(spark, d, "orders").select(F.expr("o_custkey % 2").alias("a"), F.expr("o_orderkey div 3 % 2").alias("b"), "o_orderkey")
+    t = t.withColumn("c", F.expr("case when o_orderkey % 11 = 0 then 1 - least(a, b) else least(a, b) end"))
+    return spark.createDataFrame(causal.discover_dag(t, ["a", "b", "c"])["directed"], "x string, y string")

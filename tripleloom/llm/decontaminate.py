@@ -71,6 +71,10 @@ def _length(text: str, k: int) -> Column:
     return F.least(F.size(_words(text)), F.lit(k))
 
 
+def _named(length: int):
+    return lambda run: F.struct(F.lit(length).alias("length"), run.alias("run"))
+
+
 def _key(part: Column, hash_: Column) -> Column:
     """Partition and hash in one long."""
     return hash_.bitwiseXOR(F.shiftleft(part.cast("long"), 57))
@@ -120,18 +124,26 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> D
 
 
 def _verify(d: DataFrame, items: DataFrame, pairs: DataFrame, k: int, percent: int, lengths: list[int]) -> DataFrame:
+    """Candidates by the words: each distinct run of a candidate document meets the items' shingles once, and overlaps are counted.
+
+    No text is repeated for its candidates, and no item is a key: a row that travels is one run."""
     i = items.select(F.col("item_id").cast("long").alias("item_id"), _length("text", k).alias("length"), _of_item("text", k, _spell).alias("item")).where("item_id is not null and size(item) > 0")
-    i = spool(i, "items")
-    heavy = i.agg(F.sum(F.octet_length(F.array_join("item", " ")))).first()[0] or 0
+    # rows that repeat an id are told apart by their numbers
+    i = i.withColumn("item_row", F.monotonically_increasing_id())
+    i = spool(i.select("item_id", "item_row", F.size("item").cast("long").alias("n_item"), "length", F.explode("item").alias("run")), "items")
+    heavy = i.agg(F.sum(F.octet_length("run") + 40)).first()[0] or 0
     i = F.broadcast(i) if heavy <= ITEM_BYTES else i
-    # a document's candidates are at most the items; the benchmark's own size bounds the list
-    of_doc = spool(pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("items")), "candidate_items")
-    runs = _let(_words("text"), lambda words: F.array(*[F.struct(F.lit(n).alias("length"), F.coalesce(_runs(words, n, _spell), F.array().cast("array<string>")).alias("s")) for n in lengths])) if lengths else F.lit(None).cast("array<struct<length: int, s: array<string>>>")
-    texts = d.join(maybe_broadcast(of_doc), "doc_id").select("doc_id", "items", runs.alias("runs"))
-    hit = texts.select("doc_id", "runs", F.explode("items").alias("item_id")).join(i, "item_id")
-    own = F.get(F.filter("runs", lambda r: r["length"] == F.col("length")), F.lit(0))["s"]
-    hit = hit.select("doc_id", "item_id", F.size("item").cast("long").alias("n_item"), F.size(F.array_intersect("item", own)).cast("long").alias("n_shared"))
-    return hit.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
+    own = spool(pairs.select("doc_id").distinct(), "candidate_documents")
+
+    def runs(words: Column) -> Column:
+        each = [F.transform(F.array_distinct(F.coalesce(_runs(words, n, _spell), F.array().cast("array<string>"))), _named(n)) for n in lengths]
+        return F.concat(F.array().cast("array<struct<length: int, run: string>>"), *each)
+
+    texts = d.join(maybe_broadcast(own), "doc_id", "left_semi").withColumn("doc_row", F.monotonically_increasing_id())
+    texts = texts.select("doc_id", "doc_row", F.inline(_let(_words("text"), runs)))
+    shared = texts.join(i, ["length", "run"]).groupBy("doc_id", "doc_row", "item_id", "item_row", "n_item").agg(F.count("*").alias("n_shared"))
+    hit = shared.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
+    return hit.join(pairs, ["doc_id", "item_id"], "left_semi")
 
 
 def drop_leaked(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

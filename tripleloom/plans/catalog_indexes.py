@@ -13,6 +13,7 @@ from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from ..sources.lift import V, lifted
 from ..sources.store import Store
+from ..streaming import memory
 from .catalog import _BM25, _KNN, _table, query
 from .catalog_more import _folder
 from .sparql import select
@@ -278,3 +279,20 @@ def discover_collider(spark, d):
     t = _table(spark, d, "orders").select(F.expr("o_custkey % 2").alias("a"), F.expr("o_orderkey div 3 % 2").alias("b"), "o_orderkey")
     t = t.withColumn("c", F.expr("case when o_orderkey % 11 = 0 then 1 - least(a, b) else least(a, b) end"))
     return spark.createDataFrame(causal.discover_dag(t, ["a", "b", "c"])["directed"], "x string, y string")
+
+
+# --- memory ---------------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT 'u' || user_id AS subject, event_type AS predicate, 'v' || (event_id % 7) AS object, date_trunc('millisecond', ts) AS t, CASE WHEN event_type = 'view' THEN 86400 * 3 WHEN event_type = 'error' THEN 3600 END AS ttl, (event_id % 11 = 0)::INT AS f FROM events WHERE user_id IS NOT NULL AND ts <= TIMESTAMP '2024-01-20 00:00:00'),
+  n AS (SELECT *, coalesce(epoch_ms(t) - epoch_ms(lag(t) OVER w) > 7200000, true)::INT AS new FROM e WINDOW w AS (PARTITION BY subject ORDER BY t, f, predicate, object)),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY subject ORDER BY t, f, predicate, object ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM n),
+  l AS (SELECT *, row_number() OVER (PARTITION BY subject, predicate, object ORDER BY t DESC, f DESC, ttl DESC NULLS LAST, session DESC) AS r FROM s)
+  SELECT subject, predicate, object, epoch_ms(t) AS said_at, epoch_ms(t) + 1000 * ttl AS expires, session FROM l WHERE r = 1 AND f = 0 AND (ttl IS NULL OR epoch_ms(t) + 1000 * ttl > epoch_ms(TIMESTAMP '2024-01-20 00:00:00'))""")
+def memory_live(spark, d):
+    """Facts that are alive at a time, with the session that they were last said in."""
+    ttl = F.expr("case when event_type = 'view' then 86400L * 3 when event_type = 'error' then 3600L end")
+    op = F.when(F.col("event_id") % 11 == 0, "forget").otherwise("assert")
+    e = _table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("subject"), F.col("event_type").alias("predicate"), F.concat(F.lit("v"), F.col("event_id") % 7).alias("object"), F.col("ts").cast("timestamp").alias("at"), ttl.alias("ttl"), op.alias("op"))
+    r = memory.live(e, "2024-01-20 00:00:00", "2 hours")
+    return r.select("subject", "predicate", "object", F.unix_millis("at").alias("said_at"), F.unix_millis("expires").alias("expires"), "session")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import causal, pattern
+from ..operators import causal, learn, pattern
 from ..operators.embedding_store import EmbeddingStore, HashedWords
 from ..operators.pattern import Condition, Pattern, Triple
 from ..operators.reach_index import ReachIndex
@@ -296,3 +296,20 @@ def memory_live(spark, d):
     e = _table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("subject"), F.col("event_type").alias("predicate"), F.concat(F.lit("v"), F.col("event_id") % 7).alias("object"), F.col("ts").cast("timestamp").alias("at"), ttl.alias("ttl"), op.alias("op"))
     r = memory.live(e, "2024-01-20 00:00:00", "2 hours")
     return r.select("subject", "predicate", "object", F.unix_millis("at").alias("said_at"), F.unix_millis("expires").alias("expires"), "session")
+
+
+# --- taxonomy from text ---------------------------------------------------------------------------------
+
+_TERMS = ["the", "of", "and", "to", "in", "der", "die", "und", "que", "les", "des", "with", "that", "this", "from", "for", "est", "por"]
+
+
+@query(f"""WITH s AS (SELECT doc_id, i, trim(x) AS x FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM (SELECT row_number() OVER () AS doc_id, regexp_split_to_array(text, '[.!?\\n]+') AS l FROM documents WHERE text IS NOT NULL))),
+  w AS (SELECT doc_id, i, list_filter(regexp_split_to_array(lower(x), '[^\\p{{L}}\\p{{N}}]+'), lambda y: y <> '') AS w FROM s),
+  c AS (SELECT doc_id, i, k, list_distinct(list_filter(w[k * 64 + 1:k * 64 + 64], lambda y: y IN ({", ".join(f"'{t}'" for t in _TERMS)}))) AS t FROM (SELECT *, unnest(range(0, (len(w) - 1) // 64 + 1)) AS k FROM w WHERE len(w) > 0)),
+  e AS (SELECT doc_id, i, k, unnest(t) AS a FROM c), n AS (SELECT a, count(*) AS n FROM e GROUP BY a), ab AS (SELECT x.a, y.a AS b, count(*) AS n_ab FROM e x JOIN e y USING (doc_id, i, k) WHERE x.a <> y.a GROUP BY ALL),
+  p AS (SELECT ab.a AS child, ab.b AS parent, n_ab / na.n AS confidence FROM ab JOIN n na ON na.a = ab.a JOIN n nb ON nb.a = ab.b WHERE nb.n > na.n AND n_ab / na.n >= 0.3)
+  SELECT child, parent, round(confidence, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY confidence DESC, parent DESC) AS r FROM p) WHERE r = 1""")
+def taxonomy_from_text(spark, d):
+    """Words under the word that most of their contexts hold."""
+    pairs = learn.cooccurrence(_table(spark, d, "documents"), _TERMS)
+    return learn.taxonomy(learn.subsumptions(pairs), least=0.3).select("child", "parent", F.round("confidence", 6).alias("confidence"))

@@ -1,6 +1,7 @@
 """A stored inverted index: postings with positions, in partitions that are ranges of terms, in segments that merge.
 
-A segment is one Parquet table ``term, id, len, positions`` partitioned by term range.  The ranges part the postings of the
+A segment is one Parquet table of blocks ``term, ids, lens, stops, positions`` partitioned by term range; a block holds a term's
+postings of some documents.  The ranges part the postings of the
 first segment evenly, so a query reads the directories of its terms' ranges and, within them, the row groups of its terms; a
 term that a great part of the documents hold is one range, in many files.  Additions write a segment each and read nothing; `merge`
 rewrites them as one.  A commit lists the live segments with their documents and lengths, so a search reads one state and needs no
@@ -29,7 +30,8 @@ RANGES, SAMPLED = 64, 100_000
 
 
 def _postings(borders: list[str]):
-    """Arrow batches ``id, w`` to postings ``term, id, len, positions, range``."""
+    """Arrow batches ``id, w`` to blocks: of a term the batch's documents with it, their lengths, and the places in all of them,
+    those of a document up to its stop."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -42,17 +44,27 @@ def _postings(borders: list[str]):
             code = coded.indices.to_numpy().astype(np.int64)
             doc = np.repeat(np.arange(len(size)), size)
             place = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-            key = doc * len(coded.dictionary) + code
-            order = np.argsort(key, kind="stable")
-            first = np.flatnonzero(np.diff(key[order], prepend=-1))
-            owner, term = doc[order][first], code[order][first]
+            order = np.argsort(code * len(size) + doc, kind="stable")
+            code, doc = code[order], doc[order]
+            first = np.flatnonzero(np.diff(code * len(size) + doc, prepend=-1))  # of a posting
+            stop = np.append(first[1:], total)
+            term, owner = code[first], doc[first]
+            block = np.flatnonzero(np.diff(term, prepend=-1))  # of a term
+            ends = np.append(block, len(first)).astype(np.int32)
+            begin = np.repeat(first[block], np.diff(ends))
             ranges = np.array([bisect_right(borders, t) for t in coded.dictionary.to_pylist()], np.int32)
-            places = pa.ListArray.from_arrays(pa.array(np.append(first, total).astype(np.int32)), pa.array(place[order].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term)), b.column("id").take(pa.array(owner)), pa.array(size[owner].astype(np.int32)), places, pa.array(ranges[term])], names=["term", "id", "len", "positions", "range"])
+            lists = lambda values, at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
+            columns = [lists(b.column("id").take(pa.array(owner)), ends), lists(pa.array(size[owner].astype(np.int32)), ends), lists(pa.array((stop - begin).astype(np.int32)), ends)]
+            places = lists(pa.array(place[order].astype(np.int32)), np.append(first[block], total))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term[block])), *columns, places, pa.array(ranges[term[block]])], names=["term", "ids", "lens", "stops", "positions", "range"])
 
     return run
 
 
+def _blocks(kind: str) -> str:
+    return f"term string, ids array<{kind}>, lens array<int>, stops array<int>, positions array<int>, range int"
+
+
 def _less(k: int):
     return lambda place: place - k
 
@@ -69,7 +81,7 @@ class TextIndex:
     def _write(self, postings: DataFrame) -> str:
         name = f"segment-{uuid.uuid4().hex}"
         # a range that is large goes to several tasks and files: rebalanced partitions are split by size
-        postings.hint("rebalance", "range").sortWithinPartitions("range", "term", "id").write.partitionBy("range").parquet(f"{self.path}/{name}")
+        postings.hint("rebalance", "range").sortWithinPartitions("range", "term").write.partitionBy("range").parquet(f"{self.path}/{name}")
         return name
 
     def add(self, docs: DataFrame, id_col: str = "id", text_col: str = "text", ranges: int = RANGES) -> int:
@@ -88,7 +100,7 @@ class TextIndex:
             state = {"id": kind, "borders": borders, "segments": []}
         if kind != state["id"]:
             raise ValueError(f"ids are {state['id']}, not {kind}")
-        name = self._write(d.mapInArrow(_postings(state["borders"]), f"term string, id {kind}, len int, positions array<int>, range int"))
+        name = self._write(d.mapInArrow(_postings(state["borders"]), _blocks(kind)))
         size = d.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("words")).first()
         return self.log.commit(number, state | {"segments": [*state["segments"], {"name": name, "docs": size["n"], "words": size["words"]}]})
 
@@ -109,7 +121,7 @@ class TextIndex:
         self.log.delete(*(f"{self.path}/{name}" for name in sorted(old)))
 
     def _rows(self, state: dict) -> DataFrame:
-        schema = f"term string, id {state['id']}, len int, positions array<int>, range int"
+        schema = _blocks(state["id"])
         out = None
         for s in state["segments"]:
             t = self.spark.read.schema(schema).parquet(f"{self.path}/{s['name']}")
@@ -117,7 +129,7 @@ class TextIndex:
         return out
 
     def postings(self, leaves: list[str], state: dict) -> DataFrame:
-        """The postings of the leaves' terms: filters on the partitions and on the terms, both seen by the scan."""
+        """``range, term, id, len, positions`` of the leaves' terms: filters on the partitions and on the terms, both seen by the scan."""
         borders = state["borders"]
         ranges: set[int] = set()
         want = F.lit(False)
@@ -128,7 +140,13 @@ class TextIndex:
         for p in sorted({leaf[:-1] for leaf in leaves if leaf.endswith("*")}):
             want = want | F.col("term").startswith(p)
             ranges |= set(range(bisect_right(borders, p), bisect_left(borders, p + "\U0010ffff") + 1))
-        return self._rows(state).where(F.col("range").isin(sorted(ranges)) & want)
+        blocks = self._rows(state).where(F.col("range").isin(sorted(ranges)) & want)
+
+        def one(i):
+            start = F.when(i > 0, F.get("stops", i - 1)).otherwise(0)
+            return F.struct(F.get("ids", i).alias("id"), F.get("lens", i).alias("len"), F.slice("positions", start + 1, F.get("stops", i) - start).alias("positions"))
+
+        return blocks.select("range", "term", F.inline(F.transform(F.sequence(F.lit(0), F.size("ids") - 1), one)))
 
     def search(self, query: str, limit: int | None = 10, at: int | None = None, among: DataFrame | None = None) -> DataFrame:
         """``id, score``, best first with a limit; the scores of `bm25` over all documents of commit ``at`` (the last by default).

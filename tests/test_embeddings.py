@@ -126,3 +126,22 @@ def test_vector_index_equals_the_scan(spark, tmp_path, kind):
     assert [r["id"] for r in got.collect()] and read.lists <= 2
     assert index.similar(0, 5, "none")[0].count() == 0
     assert VectorIndex.build(d.where("1 = 0"), f"file://{tmp_path}/w").search([1.0, 0.0])[0].count() == 0
+
+
+def test_fast_rp_hops_are_means_of_neighbours(spark):
+    edges = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e")] + [("hub", f"n{i}") for i in range(30)]
+    e = spark.createDataFrame(edges, "s string, o string")
+    dim = 24
+    ids = sorted({x for pair in edges for x in pair})
+    rows = spark.createDataFrame([(i,) for i in ids], "id string").select("id", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("k")).select("id", "k", F.pmod(F.xxhash64("id", "k", F.lit(42)), F.lit(6)).alias("h")).collect()
+    seed = {i: np.zeros(dim) for i in ids}
+    for r in rows:
+        seed[r["id"]][r["k"]] = {0: 3**0.5, 1: -(3**0.5)}.get(r["h"], 0.0)
+    near = {i: {b if a == i else a for a, b in edges if i in (a, b)} for i in ids}
+    unit = lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) > 0 else v
+    one = {i: unit(np.mean([seed[n] for n in near[i]], axis=0)) for i in ids}
+    two = {i: unit(np.mean([one[n] for n in near[i]], axis=0)) for i in ids}
+    got = {r["id"]: r["vec"] for r in vectors.fast_rp(e, dim=dim, weights=(0.0, 1.0, 0.5)).collect()}
+    assert got.keys() == set(ids)
+    for i in ids:
+        assert got[i] == pytest.approx(unit(one[i] + 0.5 * two[i]).tolist(), abs=1e-9)

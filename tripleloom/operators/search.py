@@ -170,12 +170,21 @@ def literals(graph: Graph, fields: str = "text", ontology: str | None = None) ->
     return lit.select(F.struct("s", "p", "o").alias("id"), F.col("o").alias("text"))
 
 
-def search_text(graph: Graph, query: str, class_uri: str | None = None, limit: int = 10, ontology: str | None = None, fields: str = "text") -> DataFrame:
-    """``uri, score``: an entity has the score of its best document (see ``literals``).
+def index_literals(graph: Graph, index, ontology: str | None = None, fields: str = "text") -> int:
+    """Add the graph's documents (see ``literals``) to a `text_index.TextIndex`, for `search_text` with ``index``; returns the commit."""
+    d = literals(graph, fields, ontology).select(F.concat_ws(" ", "id.s", F.hex(F.xxhash64("id.p", "id.o"))).alias("id"), "text")
+    return index.add(d)
+
+
+def search_text(graph: Graph, query: str, class_uri: str | None = None, limit: int = 10, ontology: str | None = None, fields: str = "text", index=None) -> DataFrame:
+    """``uri, score``: an entity has the score of its best document (see ``literals``), from an ``index`` of these where given, else by a scan.
 
     Only typed entities; with a class only its instances, descendants included, and filtered before the top is taken."""
     T.limit("search", limit)
-    scored = bm25(literals(graph, fields, ontology), query).select(F.col("id.s").alias("s"), "score")
+    if index is None:
+        scored = bm25(literals(graph, fields, ontology), query).select(F.col("id.s").alias("s"), "score")
+    else:
+        scored = index.search(query, None).select(F.substring_index("id", " ", 1).alias("s"), "score")
     typed = graph.triples([T.TYPE], ontology).where(~F.col("o").isin(*T.VOCABULARY_TYPES)).select("s").distinct() if class_uri is None else instances(graph, graph.iri(class_uri), ontology)
     best = scored.join(typed, "s", "left_semi").groupBy(F.col("s").alias("uri")).agg(F.max("score").alias("score"))
     return best.orderBy(F.desc("score"), "uri").limit(limit)

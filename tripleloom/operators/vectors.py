@@ -88,9 +88,10 @@ def fast_rp(edges: DataFrame, nodes: DataFrame | None = None, dim: int = 256, we
     hop = ids.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), entry).alias("v"))
     total = hop.select("id", F.transform("v", lambda x: x * F.lit(float(weights[0]))).alias("t"))
     for w in weights[1:]:
-        # the mean per entry: aggregated per (node, entry), partially before the shuffle
-        far = both.join(hop.select(F.col("id").alias("o"), F.posexplode("v").alias("k", "x")), "o").groupBy(F.col("s").alias("id"), "k").agg(F.avg("x").alias("x"))
-        hop = far.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("kv")).select("id", F.transform("kv", lambda y: y["x"]).alias("v")).withColumn("v", _unit("v"))
+        # the mean per entry, a row an edge: summed in the tasks before the shuffle, so a hub costs one row a task
+        means = [F.avg(F.get("v", F.lit(k))).alias(f"x{k}") for k in range(dim)]
+        far = both.join(hop.select(F.col("id").alias("o"), "v"), "o").groupBy(F.col("s").alias("id")).agg(*means)
+        hop = far.select("id", F.array(*[f"x{k}" for k in range(dim)]).alias("v")).withColumn("v", _unit("v"))
         total = total.join(hop, "id", "left").select("id", F.when(F.col("v").isNull(), F.col("t")).otherwise(F.zip_with("t", "v", lambda a, b: a + b * F.lit(float(w)))).alias("t"))
     return total.withColumn("vec", _unit("t")).select("id", "vec")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import causal, learn, pattern
+from ..operators import causal, learn, pattern, search
 from ..operators.embedding_store import EmbeddingStore, HashedWords
 from ..operators.pattern import Condition, Pattern, Triple
 from ..operators.reach_index import ReachIndex
@@ -15,7 +15,7 @@ from ..sources.lift import V, lifted
 from ..sources.store import Store
 from ..streaming import memory
 from .catalog import _BM25, _KNN, _table, query
-from .catalog_more import _folder
+from .catalog_more import _NAMES, _SEARCH, _folder
 from .sparql import select
 
 # --- SPARQL with unbound variables ----------------------------------------------------------------------
@@ -121,6 +121,15 @@ def bm25_tree(spark, d):
     return _found(bm25(_table(spark, d, "documents"), '((the AND "of the") OR der) AND NOT qu*', "doc_id", "text"))
 
 
+@query(_SEARCH.format(docs=_NAMES, a="red", b="ring", hit="a > 0 OR b > 0", keep="s IN (SELECT 'urn:t:part/' || p_partkey FROM part WHERE p_type = 'PROMO')", top=20))
+def search_indexed(spark, d):
+    """Entities of a class by the stored index of the graph's texts."""
+    g = lifted(spark, d, ("part",))
+    index = TextIndex(spark, _folder(spark, "text-index"))
+    search.index_literals(g, index)
+    return search.search_text(g, "red ring", "v:Part_PROMO", 20, index=index).select("uri", F.round("score", 6).alias("score"))
+
+
 # --- stored reachability index --------------------------------------------------------------------------
 
 

@@ -37,8 +37,8 @@ def test_independence_equals_plain_tables(spark, rows, monkeypatch):
     names = list("abcde")
     d = spark.createDataFrame(rows, "a int, b string, c int, d int, e int")
     tests = [(x, y, z) for x, y in itertools.combinations(names, 2) for n in (0, 1, 2) for z in itertools.combinations(sorted(set(names) - {x, y}), n)]
-    for at_once in (48, 3):
-        monkeypatch.setattr(causal, "SETS_AT_ONCE", at_once)
+    for at_once in (200_000, 100):
+        monkeypatch.setattr(causal, "ROWS_AT_ONCE", at_once)
         got = {r["test"]: (r["stat"], r["df"]) for r in causal.independence(causal.states_of(d, names), tests).collect()}
         for i, (x, y, z) in enumerate(tests):
             stat, df = by_hand(rows, names.index(x), names.index(y), [names.index(v) for v in z])

@@ -5,10 +5,12 @@ DAGs are small: the graph algorithms run on the driver; the tests of discovery,
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations, product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ from ..plans.materialise import materialise
 from .bayes import Cpd, Network, joint, posterior
 
 MOST_RESPONSES = 2_000_000
-#: Grouping sets of one job.
-SETS_AT_ONCE = 48
+#: Rows that a task counts at once.
+ROWS_AT_ONCE = 200_000
 
 
 @dataclass
@@ -253,33 +255,80 @@ def states_of(data: DataFrame, variables: list[str]) -> DataFrame:
     return materialise(d.groupBy(*variables).agg(F.count("*").alias("_n")))
 
 
+def _contingency(sets: list[tuple[str, ...]]):
+    """Arrow batches of states with ``_n`` to ``set, states, n``: the cells of each set of variables, summed over many rows before they leave a task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+        values: dict[str, dict[str, int]] = {}
+        held: list[tuple[dict[str, np.ndarray], np.ndarray]] = []
+
+        def cells() -> Iterator[pa.RecordBatch]:
+            code = {v: np.concatenate([c[v] for c, _ in held]) for v in names}
+            n = np.concatenate([w for _, w in held])
+            held.clear()
+            for i, some in enumerate(sets):
+                size = [len(values[v]) for v in some]
+                if math.prod(size) >= 2**62:
+                    raise ValueError("too many states")
+                at = np.zeros(len(n), np.int64)
+                for v, k in zip(some, size, strict=True):
+                    at = at * k + code[v]
+                if math.prod(size) <= 1 << 20:
+                    sums = np.bincount(at, n, math.prod(size))
+                    cell = np.flatnonzero(sums)
+                    sums = sums[cell]
+                else:
+                    cell, of = np.unique(at, return_inverse=True)
+                    sums = np.bincount(of, n)
+                rest, columns = cell, []
+                for v, k in zip(some[::-1], size[::-1], strict=True):
+                    columns.append(np.array(list(values[v]), object)[rest % k])
+                    rest = rest // k
+                states = np.stack(columns[::-1], 1).ravel() if len(cell) else np.zeros(0, object)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(states) + 1, len(some), dtype=np.int32)), pa.array(states, pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), i, np.int32)), lists, pa.array(sums.astype(np.int64))], names=["set", "states", "n"])
+
+        for b in batches:
+            if not names:
+                names = [c for c in b.schema.names if c != "_n"]
+                values = {v: {} for v in names}
+            coded = {}
+            for v in names:
+                d = b.column(v).dictionary_encode()
+                known = values[v]
+                own = np.array([known.setdefault(x, len(known)) for x in d.dictionary.to_pylist()], np.int64)
+                coded[v] = own[d.indices.to_numpy()] if len(own) else np.zeros(0, np.int64)
+            held.append((coded, b.column("_n").to_numpy().astype(np.float64)))
+            if sum(len(w) for _, w in held) >= ROWS_AT_ONCE:
+                yield from cells()
+        if held:
+            yield from cells()
+
+    return count
+
+
 def independence(joint: DataFrame, tests: list[Test]) -> DataFrame:
     """``test, stat, df``: Pearson's statistic of each test ``(x, y, given)``, summed over the strata of ``given``, by its number in the list.
 
-    Tests over the same variables share one grouping set, and all sets of a job one pass over the combinations of states.  With
+    Tests over the same variables share one table of cells, and all tables are counted in one pass over the combinations of states.  With
     observed cells n, rows r, columns c and N in a stratum the statistic is the sum of ``n n N / (r c)`` less N, so cells that are not
     there need no row."""
     variables = [c for c in joint.columns if c != "_n"]
-    by_set: dict[tuple[str, ...], list[int]] = {}
+    by_set: dict[tuple[str, ...], int] = {}
+    rows = []
     for i, (x, y, given) in enumerate(tests):
-        by_set.setdefault(tuple(v for v in variables if v in {x, y, *given}), []).append(i)
-    sets, out = list(by_set), None
-    for at in range(0, len(sets), SETS_AT_ONCE):
-        some = sets[at : at + SETS_AT_ONCE]
-        used = [v for v in variables if any(v in s for s in some)]
-        cells = joint.groupingSets([[F.col(v) for v in s] for s in some], *[F.col(v) for v in used]).agg(F.grouping_id().alias("_g"), F.sum("_n").alias("n"))
-        of = None
-        for s in some:
-            gone = sum(1 << (len(used) - 1 - k) for k, v in enumerate(used) if v not in s)
-            rows = [F.struct(F.lit(i).alias("test"), F.col(tests[i][0]).alias("x"), F.col(tests[i][1]).alias("y"), F.concat_ws("\1", *map(F.col, sorted(tests[i][2]))).alias("z")) for i in by_set[s]]
-            of = F.when(F.col("_g") == gone, F.array(*rows)) if of is None else of.when(F.col("_g") == gone, F.array(*rows))
-        cells = cells.select("n", F.explode(of).alias("t")).select("t.*", "n")
-        total = lambda *by: F.sum("n").over(Window.partitionBy("test", "z", *by))
-        cells = cells.withColumns({"r": total("x"), "c": total("y")})
-        strata = cells.groupBy("test", "z").agg(F.sum("n").alias("N"), F.sum(F.col("n") * F.col("n") / F.col("r") / F.col("c")).alias("q"), F.count_distinct("x").alias("nx"), F.count_distinct("y").alias("ny"))
-        one = strata.groupBy("test").agg(F.sum(F.col("N") * F.col("q") - F.col("N")).alias("stat"), F.sum((F.col("nx") - 1) * (F.col("ny") - 1)).alias("df"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        own = tuple(v for v in variables if v in {x, y, *given})
+        rows.append((by_set.setdefault(own, len(by_set)), i, own.index(x), own.index(y), [own.index(v) for v in sorted(given)]))
+    used = [v for v in variables if any(v in s for s in by_set)]
+    cells = joint.select(*used, "_n").mapInArrow(_contingency(list(by_set)), "set int, states array<string>, n long").groupBy("set", "states").agg(F.sum("n").alias("n"))
+    of = joint.sparkSession.createDataFrame(rows, "set int, test int, ix int, iy int, iz array<int>")  # a row a test
+    z = F.concat_ws("\1", F.transform("iz", lambda i: F.get("states", i)))
+    cells = cells.join(F.broadcast(of), "set").select("test", F.get("states", "ix").alias("x"), F.get("states", "iy").alias("y"), z.alias("z"), "n")
+    total = lambda *by: F.sum("n").over(Window.partitionBy("test", "z", *by))
+    cells = cells.withColumns({"r": total("x"), "c": total("y")})
+    strata = cells.groupBy("test", "z").agg(F.sum("n").alias("N"), F.sum(F.col("n") * F.col("n") / F.col("r") / F.col("c")).alias("q"), F.count_distinct("x").alias("nx"), F.count_distinct("y").alias("ny"))
+    return strata.groupBy("test").agg(F.sum(F.col("N") * F.col("q") - F.col("N")).alias("stat"), F.sum((F.col("nx") - 1) * (F.col("ny") - 1)).alias("df"))
 
 
 def discover_dag(data: DataFrame, variables: list[str], alpha: float = 0.01, most: int = 3) -> dict:

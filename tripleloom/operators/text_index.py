@@ -81,7 +81,7 @@ class TextIndex:
     def _write(self, postings: DataFrame) -> str:
         name = f"segment-{uuid.uuid4().hex}"
         # a range that is large goes to several tasks and files: rebalanced partitions are split by size
-        postings.hint("rebalance", "range").sortWithinPartitions("range", "term").write.partitionBy("range").parquet(f"{self.path}/{name}")
+        postings.hint("rebalance", "range").sortWithinPartitions("range", "term").write.partitionBy("range").option("compression", "zstd").parquet(f"{self.path}/{name}")
         return name
 
     def add(self, docs: DataFrame, id_col: str = "id", text_col: str = "text", ranges: int = RANGES) -> int:

@@ -126,24 +126,40 @@ def reachable(graph: Graph, predicate: str, start_uri: str | None = None, start_
 
 
 def same_as(graph: Graph, uri: str, ontology: str | None = None) -> DataFrame:
-    """``uri`` of everything that a chain of sameAs, either way, identifies with the given one (itself left out)."""
+    """``uri`` of everything that a chain of sameAs, either way, identifies with the given one (itself left out).
+
+    By identity classes: their rounds grow with the logarithm of a chain's length, those of a search from the given one with its length."""
     uri = graph.iri(uri)
-    e = graph.edges([T.SAME], ontology)
-    both = e.select("s", "o").unionByName(e.select(F.col("o").alias("s"), F.col("s").alias("o")))
-    start = graph.spark.createDataFrame([(uri,)], "s string")
-    return reach(both, start).where(F.col("uri") != uri).orderBy("uri")
+    classes = identity_classes(graph.edges([T.SAME], ontology))
+    own = classes.where(F.col("uri") == uri).select("least")
+    return classes.join(own, "least", "left_semi").where(F.col("uri") != uri).select("uri").orderBy("uri")
 
 
-def identity_classes(edges: DataFrame) -> DataFrame:
-    """``uri, least``: components of undirected ``edges(s, o)`` by pointer jumping on least labels."""
-    both = materialise(edges.select("s", "o").unionByName(edges.select(F.col("o").alias("s"), F.col("s").alias("o"))).distinct())
-    label = materialise(both.groupBy(F.col("s").alias("uri")).agg(F.min("o").alias("m")).select("uri", F.least("uri", "m").alias("least")))
+def _ends(up: DataFrame) -> DataFrame:
+    """Pointers ``uri, up`` followed to where they end, by doubling; an end points at itself."""
     while True:
-        around = both.join(label.select(F.col("uri").alias("o"), "least"), "o").groupBy(F.col("s").alias("uri")).agg(F.min("least").alias("m"))
-        step = label.join(around, "uri").select("uri", F.least("least", "m").alias("least"))
-        jump = step.join(step.select(F.col("uri").alias("least"), F.col("least").alias("up")), "least", "left").select("uri", F.least("least", F.coalesce("up", "least")).alias("least"))
-        jump = materialise(jump)
-        moved = jump.join(label.withColumnRenamed("least", "was"), "uri").where("least <> was").isEmpty()
-        label = jump
-        if moved:
-            return label
+        step = up.join(up.toDF("up", "to"), "up").select("uri", F.col("to").alias("up"), (F.col("to") != F.col("up")).alias("moved"))
+        step = materialise(step, by_shuffle=True)
+        up = step.select("uri", "up")
+        if step.where("moved").isEmpty():
+            return up
+
+
+def identity_classes(edges: DataFrame) -> DataFrame:
+    """``uri, least``: components of undirected ``edges(s, o)``, contracted.
+
+    Each round points every node at its least neighbour, follows the pointers to their ends and goes on with the edges between ends.
+    No two neighbours are ends, so a round leaves half of its nodes at most, and a pointer chain of any length is doubled: the loops grow
+    with the logarithm of the nodes, whatever the shape.  A component's least node is always an end, so it is the last one."""
+    left = materialise(edges.select("s", "o").unionByName(edges.select(F.col("o").alias("s"), F.col("s").alias("o"))).distinct(), by_shuffle=True)
+    rounds: list[DataFrame] = []
+    while not rounds or not left.isEmpty():
+        up = materialise(left.groupBy(F.col("s").alias("uri")).agg(F.min("o").alias("m")).select("uri", F.least("uri", "m").alias("up")), by_shuffle=True)
+        ends = _ends(up)
+        rounds.append(ends)
+        between = left.join(ends.toDF("s", "es"), "s").join(ends.toDF("o", "eo"), "o").where("es <> eo")
+        left = materialise(between.select(F.col("es").alias("s"), F.col("eo").alias("o")).distinct(), by_shuffle=True)
+    out = rounds.pop().toDF("uri", "least")
+    while rounds:
+        out = materialise(rounds.pop().join(out.toDF("up", "least"), "up", "left").select("uri", F.coalesce("least", "up").alias("least")), by_shuffle=True)
+    return out

@@ -43,10 +43,13 @@ def place(spark: SparkSession, what: str = "loop") -> str:
     return path
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, by_shuffle: bool = False) -> DataFrame:
+    """The rows written and read back.  ``by_shuffle``: joins with them are merged and never broadcast, for a loop over tables that grow with
+    the input: by the size of their compressed files each round would send many times as much through the driver."""
     path = place(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return out.hint("merge") if by_shuffle else out
 
 
 class Grown:

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tripleloom.operators import search
 from tripleloom.operators.graph import Graph
@@ -12,7 +13,8 @@ from tripleloom.operators.reach_index import ReachIndex, strong_components
 from tripleloom.operators.statistics import Statistics
 from tripleloom.operators.text_index import TextIndex
 from tripleloom.operators.traverse import closure
-from tripleloom.plans.sparql import select
+from tripleloom.plans.grid import grid_join
+from tripleloom.plans.sparql import Query, select
 from tripleloom.sources.commits import Conflict, Log
 
 
@@ -144,6 +146,30 @@ def test_sparql_joins_with_unbound_variables(small, text, want):
     assert sorted(" ".join("-" if v is None else v[4:] for v in r) for r in got) == sorted(want)
 
 
+def test_patterns_meet_before_rows_that_leave_a_variable_unbound(spark, monkeypatch):
+    """Else each unbound row meets every triple of the first pattern's predicate."""
+    edges = [(f"s{i}", "in", f"n{i % 2}") for i in range(40)] + [("n0", "in", "r0"), ("n1", "in", "r0"), ("n0", "is", "N"), ("n1", "is", "N")] + [(f"s{i}", "is", "S") for i in range(40)] + [("s3", "q", "n1")]
+    g = Graph.of(spark.createDataFrame([(None, "data", "urn:" + s, "iri", "urn:" + p, "urn:" + o, "iri", None, None) for s, p, o in edges], "ontology string, layer string, s string, s_kind string, p string, o string, o_kind string, dt string, lang string"))
+    sizes, compatible = [], Query.compatible
+    monkeypatch.setattr(Query, "compatible", staticmethod(lambda a, b, shared, how: sizes.append(b.df.count()) or compatible(a, b, shared, how)))
+    got = select(g, "PREFIX u: <urn:> SELECT ?s ?n ?r WHERE { ?s u:is u:S OPTIONAL { ?s u:q ?n } ?n u:in ?r . FILTER(?s != u:s4) ?n u:is u:N }").collect()
+    want = {(f"urn:s{i}", f"urn:n{k}", "urn:r0") for i in range(40) for k in range(2) if i != 4} - {("urn:s3", "urn:n0", "urn:r0")}
+    assert sizes == [2] and len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_frequent_values_on_both_sides_are_dealt(spark):
+    a = spark.createDataFrame([(i, "k" if i % 5 else f"k{i}") for i in range(60)], "x int, k string")
+    b = spark.createDataFrame([(i, "k" if i % 3 else f"k{i}") for i in range(90)] + [(90, None)], "y int, k string")
+    want = sorted(map(tuple, a.join(b, "k").collect()))
+    for where in (None, F.col("k") == "k"):
+        got = grid_join(a, b, ["k"], where)
+        assert sorted(map(tuple, got.collect())) == want
+    g = Graph.of(spark.createDataFrame([(None, "data", f"urn:{s}", "iri", "urn:" + p, "urn:n", "iri", None, None) for p in "pq" for s in range(50)], "ontology string, layer string, s string, s_kind string, p string, o string, o_kind string, dt string, lang string"))
+    shared = bindings(g, [Triple("?a", "urn:p", "?n"), Triple("?b", "urn:q", "?n")])
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert shared.count() == 2500 and "BroadcastHashJoin" not in plan and "_line" in plan  # before: one value, one task
+
+
 @pytest.fixture(scope="module")
 def shop(spark):
     rng = np.random.default_rng(2)

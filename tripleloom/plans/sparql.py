@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import Graph
 from ..operators.traverse import closure, reach
 from . import terms as T
+from .grid import grid_join
 from .materialise import materialise
 
 _TOKEN = re.compile(
@@ -183,6 +184,7 @@ class Query:
         self.take("{")
         rows: Rows | None = None
         filters: list[int] = []
+        block: list[Rows] = []  # triple patterns since the last other element
         if self.peek() == "SELECT":
             rows = self.select()
             self.take("}")
@@ -191,7 +193,11 @@ class Query:
             if self.maybe("FILTER"):
                 filters.append(self.at)
                 self.skip_filter()
-            elif self.maybe("OPTIONAL"):
+                self.maybe(".")
+                continue
+            if self.peek() in ("OPTIONAL", "MINUS", "VALUES", "BIND", "{"):
+                rows, block = self.block(rows, block), []
+            if self.maybe("OPTIONAL"):
                 rows = self.join(rows or self.unit(), self.group(), "left")
             elif self.maybe("MINUS"):
                 rows = self.join(rows or self.unit(), self.group(), "minus")
@@ -211,8 +217,9 @@ class Query:
                     one = Rows(one.df.unionByName(two.df, allowMissingColumns=True), one.loose | two.loose | frozenset(one.df.columns) ^ frozenset(two.df.columns))
                 rows = self.join(rows, one)
             else:
-                rows = self.triples(rows)
+                block += self.triples()
             self.maybe(".")
+        rows = self.block(rows, block)
         end = self.at
         for f in filters:
             self.at = f
@@ -220,6 +227,26 @@ class Query:
         self.at = end
         return rows or self.unit()
 
+    @classmethod
+    def block(cls, rows: Rows | None, patterns: list[Rows]) -> Rows | None:
+        """Patterns joined to what came before them.
+
+        A row that leaves a variable unbound meets every row that binds it, so where there may be such rows the patterns that share a
+        variable are joined with each other first."""
+        if rows is not None and any(c in rows.loose for t in patterns for c in t.df.columns):
+            pieces: list[Rows] = []
+            for t in patterns:
+                near = lambda x, t=t: bool(set(x.df.columns) & {c for c in t.df.columns if not c.startswith(_OWN)})
+                met = [x for x in pieces if near(x)]
+                pieces = [x for x in pieces if not near(x)]
+                for x in met[1:]:
+                    met[0] = cls.join(met[0], x)
+                pieces.append(cls.join(met[0], t) if met else t)
+            patterns = sorted(pieces, key=lambda x: any(c in rows.loose for c in x.df.columns))
+        for t in patterns:
+            rows = cls.join(rows, t)
+        return rows
+
     def unit(self) -> Rows:
         """One solution that binds nothing."""
         return Rows(self.graph.spark.range(1).select(F.lit(1).alias("_unit")))
@@ -288,7 +315,9 @@ class Query:
         if how != "inner":
             left = Rows(materialise(a.df.withColumn("_row", F.monotonically_increasing_id())), a.loose)
         y = keyed(b, a.loose, "_mb", "_ma").drop("_both").withColumnsRenamed({c: f"_b_{c}" for c in shared})
-        met = keyed(left, b.loose, "_ma", "_mb").join(y, ["_ma", "_mb", *(f"_k{i}" for i in range(len(shared)))])
+        x = keyed(left, b.loose, "_ma", "_mb")
+        # rows that do not bind a variable on both sides have one key
+        met = grid_join(x, y, ["_ma", "_mb", *(f"_k{i}" for i in range(len(shared)))], F.col("_ma").bitwiseAND(F.col("_mb")) < sum(bit.values()))
         if how == "minus" and len(free) == len(shared):
             met = met.where("_both > 0")  # solutions that bind no variable in common do not take each other away
         if how in ("semi", "anti", "minus"):
@@ -348,16 +377,16 @@ class Query:
             return "var", self.hidden()
         raise ValueError(f"SPARQL: {s!r} is no term")
 
-    def triples(self, rows: Rows | None) -> Rows:
-        subject = self.term()
+    def triples(self) -> list[Rows]:
+        subject, out = self.term(), []
         while True:
             path = self.path()
             while True:
-                rows = self.join(rows, Rows(self.scan(subject, path, self.term())))
+                out.append(Rows(self.scan(subject, path, self.term())))
                 if not self.maybe(","):
                     break
             if not self.maybe(";") or self.peek() in (".", "}"):
-                return rows
+                return out
 
     def path(self) -> list[tuple[list[tuple[str, str]], str, bool]]:
         """Steps ``(alternative predicates, '' or + or *, inverse)``."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import terms as T
+from ..plans.grid import grid_join
 from .entities import OPS
 from .graph import Graph
 from .statistics import Statistics
@@ -181,15 +182,20 @@ def _condition(c: Condition):
 def bindings(graph: Graph, patterns: list[Triple], ontology: str | None = None, layers: tuple[str, ...] = ("data",), stats: Statistics | None = None) -> DataFrame:
     """One column a variable; patterns without a shared variable multiply, as their semantics demand.
 
-    With statistics of the graph, patterns of one subject are one exchange and units are joined by estimated size."""
+    With statistics of the graph, patterns of one subject are one exchange and units are joined by estimated size.  Where patterns share
+    objects alone, each of which may be frequent on both sides, their pairs are dealt over tasks."""
     out = None
+    subjects = {t.s[1:] for t in patterns}
     for unit in _planned(graph, patterns, stats) if stats else [[t] for t in _order(patterns)]:
         rows = _scan(graph, unit[0], ontology, layers) if len(unit) == 1 else _star(graph, unit, ontology, layers)
         if out is None:
             out = rows
             continue
         shared = [c for c in rows.columns if c in out.columns]
-        out = out.join(rows, shared) if shared else out.crossJoin(rows)
+        if shared and not subjects & set(shared):
+            out = grid_join(out, rows, shared)
+        else:
+            out = out.join(rows, shared) if shared else out.crossJoin(rows)
     return out
 
 

@@ -286,3 +286,18 @@ def test_identity_classes_need_few_rounds(spark, monkeypatch):
     g = graph.Graph.of(spark.createDataFrame([(None, "data", s, "iri", terms.SAME, o, "iri", None, None) for s, o in edges], graph.SCHEMA))
     assert [r["uri"] for r in traverse.same_as(g, "urn:a0003").collect()] == sorted(k for k in want if k[:5] == "urn:a" and k != "urn:a0003") and len(calls) < 60
     assert traverse.same_as(g, "urn:absent").isEmpty()
+
+
+def test_shacl_needs_few_joins(spark):
+    """No join for counts; a class, repeated classes and repeated values of one subject."""
+    rows = [("a", terms.TYPE, "A", "iri"), ("a", terms.TYPE, "A2", "iri"), ("b", terms.TYPE, "A", "iri"), ("z", terms.TYPE, "Z", "iri"), ("a", "p", "7", "literal"), ("a", "p", "x", "iri"), ("z", "p", "9", "literal"), ("a", "q", "z", "iri"), ("a", "q", "b", "iri")]
+    t = [(None, "data", "urn:" + s, "iri", p if p == terms.TYPE else "urn:" + p, o if k == "literal" else "urn:" + o, k, terms.XSD + "integer" if k == "literal" else None, None) for s, p, o, k in rows]
+    t += [(None, "schema", "urn:A2", "iri", terms.SUBCLASS, "urn:A", "iri", None, None), t[0], ("o", *t[4][1:])]
+    g = graph.Graph.of(spark.createDataFrame(t, graph.SCHEMA))
+    c = [shacl.Constraint("urn:A", "urn:p", node_kind="IRI", min_count=1, max_count=1, max_inclusive=5), shacl.Constraint("urn:A", "urn:q", of_class="urn:A", max_count=2), shacl.Constraint("urn:A", "urn:p", pattern="^[0-9]$")]
+    bad = shacl.validate(g, c)
+    assert {tuple(x[4:] if x else x for x in r[:3]) + (r[3],) for r in [(r["focus"], "...." + r["path"][4:], "...." + r["value"] if r["value"] and r["value"].isdigit() else r["value"], r["constraint"]) for r in bad.collect()]} == {
+        ("a", "p", "7", "nodeKind"), ("a", "p", "7", "maxInclusive"), ("a", "p", "x", "maxInclusive"), ("a", "p", "x", "pattern"), ("a", "p", None, "maxCount"), ("b", "p", None, "minCount"), ("a", "q", "z", "class"),
+    }
+    plan = bad._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 4 and "LeftOuter" not in plan  # a path of values, the class; before: those of each count as well

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +31,11 @@ class Constraint:
 
 def validate(graph: Graph, constraints: list[Constraint], ontology: str | None = None) -> DataFrame:
     """``focus, path, value, constraint`` of every violation; value is null for counts."""
-    out = None
+    values: dict[str, list[DataFrame]] = {}  # by target: what no instance of it may have
+    out = []
     for c in constraints:
-        path = graph.iri(c.path)
-        focus = instances(graph, graph.iri(c.target), ontology)
-        v = graph.triples([path], ontology, ("data",)).select("s", "o", "o_kind", "dt").distinct().join(focus, "s", "left_semi")
+        path, target = graph.iri(c.path), graph.iri(c.target)
+        v = graph.triples([path], ontology, ("data",)).select("s", "o", "o_kind", "dt")
         bad = []
         if c.datatype:
             bad.append(("datatype", (F.col("o_kind") != "literal") | (F.col("dt") != graph.iri(c.datatype))))
@@ -51,18 +52,26 @@ def validate(graph: Graph, constraints: list[Constraint], ontology: str | None =
         found = []
         if bad:
             marks = F.filter(F.array(*[F.when(cond, name) for name, cond in bad]), lambda x: x.isNotNull())
-            found.append(v.select(F.col("s").alias("focus"), F.col("o").alias("value"), F.explode(marks).alias("constraint")))
+            found.append(v.select("s", F.col("o").alias("value"), F.explode(marks).alias("constraint")))
         if c.of_class:
             good = instances(graph, graph.iri(c.of_class), ontology).select(F.col("s").alias("o"))
-            found.append(v.join(good, "o", "left_anti").select(F.col("s").alias("focus"), F.col("o").alias("value"), F.lit("class").alias("constraint")))
-        if c.min_count is not None or c.max_count is not None:
-            n = focus.join(v.groupBy("s").agg(F.count("*").alias("n")), "s", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-            for name, cond in (("minCount", F.col("n") < (c.min_count or 0)), ("maxCount", F.col("n") > (c.max_count if c.max_count is not None else 1 << 60))):
-                found.append(n.where(cond).select(F.col("s").alias("focus"), F.lit(None).cast("string").alias("value"), F.lit(name).alias("constraint")))
+            found.append(v.join(good, "o", "left_anti").select("s", F.col("o").alias("value"), F.lit("class").alias("constraint")))
         for f in found:
-            f = f.select("focus", F.lit(path).alias("path"), "value", "constraint")
-            out = f if out is None else out.unionByName(f)
-    return graph.spark.createDataFrame([], "focus string, path string, value string, constraint string") if out is None else out.distinct()
+            values.setdefault(target, []).append(f.select("s", F.lit(path).alias("path"), "value", "constraint"))
+        if c.min_count is not None or c.max_count is not None:
+            # values and instances in one grouping, summed before they travel
+            own = v if graph.is_set(path, ontology, ("data",)) else v.distinct()
+            either = own.select("s", F.lit(1).alias("n"), F.lit(False).alias("meant")).unionByName(instances(graph, target, ontology).select("s", F.lit(0).alias("n"), F.lit(True).alias("meant")))
+            n = either.groupBy("s").agg(F.sum("n").alias("n"), F.max("meant").alias("meant")).where("meant")
+            few = F.when(F.col("n") < (c.min_count or 0), "minCount")
+            many = F.when(F.col("n") > (c.max_count if c.max_count is not None else 1 << 60), "maxCount")
+            n = n.select("s", F.explode(F.filter(F.array(few, many), lambda x: x.isNotNull())).alias("constraint"))
+            out.append(n.select(F.col("s").alias("focus"), F.lit(path).alias("path"), F.lit(None).cast("string").alias("value"), "constraint"))
+    for target, found in values.items():
+        # only violating values meet the instances
+        met = reduce(DataFrame.unionByName, found).join(instances(graph, target, ontology), "s", "left_semi")
+        out.append(met.select(F.col("s").alias("focus"), "path", "value", "constraint"))
+    return reduce(DataFrame.unionByName, out).distinct() if out else graph.spark.createDataFrame([], "focus string, path string, value string, constraint string")
 
 
 def keep_valid(triples: DataFrame, violations: DataFrame) -> DataFrame:

@@ -226,3 +226,18 @@ def test_a_star_is_one_exchange(spark, shop, tmp_path):
         assert 2 * exchanges(bindings(g, triples, stats=stats)) <= exchanges(bindings(g, triples))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_statistics_count_a_graph_in_one_exchange_by_subject(spark):
+    from tripleloom.operators import statistics
+
+    rows = [("a", "p", "x"), ("a", "p", "y"), ("a", "p", "y"), ("a", "q", "x"), ("b", "p", "x"), ("b", "q", "z"), ("c", "q", "z")]
+    t = [(o, "data", s, "iri", p, x, "iri", None, None) for s, p, x in rows for o in (None, "o")]
+    g = Graph.of(spark.createDataFrame(t, "ontology string, layer string, s string, s_kind string, p string, o string, o_kind string, dt string, lang string"))
+    for ontology in (None, "o"):
+        twice = 0 if ontology is None else 1  # one ontology's parts are held to be sets
+        got = {r["p"]: (r["n"], r["subjects"], r["objects"], r["most"]) for r in statistics.predicates(g, ontology).collect()}
+        assert got == {"p": (3 + twice, 2, 2, 2 + twice), "q": (3, 3, 2, 1)}
+        assert {tuple(r["predicates"]): r["subjects"] for r in statistics.characteristic_sets(g, ontology).collect()} == {("p", "q"): 2, ("q",): 1}
+    plan = statistics.profiles(g)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(s") == 1 and plan.count("Exchange ") == 2  # by subject, and the few profiles

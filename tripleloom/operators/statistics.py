@@ -7,23 +7,39 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.materialise import materialise
 from .graph import Graph
 
 #: Sets of predicates that are read to the driver at most; a graph with more is estimated from its predicates alone.
 SETS = 10_000
 
 
-def predicates(graph: Graph, ontology: str | None = None, layers: tuple[str, ...] = ("data",)) -> DataFrame:
-    """``p, n, subjects, objects, most``: triples, distinct subjects, about how many distinct objects, and the most triples of one subject."""
-    t = graph.triples(None, ontology, layers)
-    each = t.groupBy("p", "s").agg(F.count("*").alias("n")).groupBy("p").agg(F.sum("n").alias("n"), F.count("*").alias("subjects"), F.max("n").alias("most"))
-    return each.join(t.groupBy("p").agg(F.approx_count_distinct("o").alias("objects")), "p").select("p", "n", "subjects", "objects", "most")
+def profiles(graph: Graph, ontology: str | None = None, layers: tuple[str, ...] = ("data",)) -> DataFrame:
+    """``profile, count``: how many subjects have these predicates, each so often (``array<struct<p, n>>``).
 
+    One exchange, by subject: equal triples, a subject's predicates and its profile are all found where its triples meet."""
+    rows, unique = graph.scope(None, ontology, layers)
+    own = rows.select("s", "p", "o", "o_kind", "dt", "lang", "layer", "s_kind", *([] if ontology is None else ["ontology"]))
+    own = own.repartition("s") if unique else own.repartition("s").distinct()
+    own = own.groupBy("s", "p").agg(F.count("*").alias("n")).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("p", "n"))).alias("profile"))
+    return own.groupBy("profile").agg(F.count("*").alias("count"))
 
-def characteristic_sets(graph: Graph, ontology: str | None = None, layers: tuple[str, ...] = ("data",)) -> DataFrame:
+
+def predicates(graph: Graph, ontology: str | None = None, layers: tuple[str, ...] = ("data",), counted: DataFrame | None = None) -> DataFrame:
+    """``p, n, subjects, objects, most``: triples, distinct subjects, about how many distinct objects, and the most triples of one subject.
+
+    ``counted``: the graph's `profiles`, where they are stored."""
+    each = (profiles(graph, ontology, layers) if counted is None else counted).select("count", F.inline("profile"))
+    each = each.groupBy("p").agg(F.sum(F.col("n") * F.col("count")).alias("n"), F.sum("count").alias("subjects"), F.max("n").alias("most"))
+    # equal triples count as one object anyhow
+    objects = graph.scope(None, ontology, layers)[0].groupBy("p").agg(F.approx_count_distinct("o").alias("objects"))
+    return each.join(objects, "p").select("p", "n", "subjects", "objects", "most")
+
+
+def characteristic_sets(graph: Graph, ontology: str | None = None, layers: tuple[str, ...] = ("data",), counted: DataFrame | None = None) -> DataFrame:
     """``predicates, subjects``: the sets of predicates that subjects have, and how many have each."""
-    own = graph.triples(None, ontology, layers).select("s", "p").distinct().groupBy("s").agg(F.array_sort(F.collect_set("p")).alias("predicates"))
-    return own.groupBy("predicates").agg(F.count("*").alias("subjects"))
+    counted = profiles(graph, ontology, layers) if counted is None else counted
+    return counted.groupBy(F.col("profile.p").alias("predicates")).agg(F.sum("count").alias("subjects"))
 
 
 @dataclass(frozen=True)
@@ -42,8 +58,9 @@ class Statistics:
     @classmethod
     def collect(cls, graph: Graph, path: str, ontology: str | None = None, layers: tuple[str, ...] = ("data",)) -> Statistics:
         """Count the graph, store both tables at ``path`` and read them back."""
-        predicates(graph, ontology, layers).write.mode("overwrite").parquet(f"{path}/predicates")
-        characteristic_sets(graph, ontology, layers).write.mode("overwrite").parquet(f"{path}/sets")
+        counted = materialise(profiles(graph, ontology, layers))
+        predicates(graph, ontology, layers, counted).write.mode("overwrite").parquet(f"{path}/predicates")
+        characteristic_sets(graph, ontology, layers, counted).write.mode("overwrite").parquet(f"{path}/sets")
         return cls.read(graph.spark, path)
 
     @classmethod

@@ -241,3 +241,27 @@ def test_statistics_count_a_graph_in_one_exchange_by_subject(spark):
         assert {tuple(r["predicates"]): r["subjects"] for r in statistics.characteristic_sets(g, ontology).collect()} == {("p", "q"): 2, ("q",): 1}
     plan = statistics.profiles(g)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(s") == 1 and plan.count("Exchange ") == 2  # by subject, and the few profiles
+
+
+def test_postings_are_made_in_bounded_runs_of_words(monkeypatch):
+    """A batch of long documents is no more at once than its share of words, and the postings are the same."""
+    import pyarrow as pa
+
+    from tripleloom.operators import text_index
+
+    rng = np.random.default_rng(3)
+    docs = [[f"w{x}" for x in rng.integers(0, 9, n)] for n in (50, 0, 3, 3, 200, 1, 40, 0, 7)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array(docs, pa.list_(pa.string()))], names=["id", "w"])
+    want = {(w, i): [k for k, x in enumerate(d) if x == w] for i, d in enumerate(docs) for w in d}
+    for most in (1, 60, 10_000):
+        monkeypatch.setattr(text_index, "WORDS_AT_ONCE", most)
+        runs = [x.column("w") for x in text_index._bounded(batch)]
+        assert all(len(w) == 1 or len(w.flatten()) <= most for w in runs)
+        got, blocks = {}, 0
+        for b in text_index._postings(["w3"])(iter([batch])):
+            for r in b.to_pylist():
+                blocks += 1
+                assert r["range"] == (r["term"] >= "w3") and r["lens"] == [len(docs[i]) for i in r["ids"]]
+                for i, start, stop in zip(r["ids"], [0, *r["stops"]], r["stops"], strict=False):
+                    got[r["term"], i] = r["positions"][start:stop]
+        assert got == want and (blocks <= 9 if most == 10_000 else blocks > 9)

@@ -27,6 +27,19 @@ from .search import parse, scored, tokens
 
 #: Ranges of a new index, and sampled postings that their borders follow from.
 RANGES, SAMPLED = 64, 100_000
+#: Words that a task turns into blocks at once (a single document may have more).
+WORDS_AT_ONCE = 1_000_000
+
+
+def _bounded(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about as many words as a task takes at once, however long the documents are."""
+    upto = np.cumsum(pc.list_value_length(b.column("w")).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < b.num_rows:
+        before = upto[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, before + WORDS_AT_ONCE, "right")))
+        yield b.slice(at, to - at)
+        at = to
 
 
 def _postings(borders: list[str]):
@@ -34,28 +47,28 @@ def _postings(borders: list[str]):
     those of a document up to its stop."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (some for batch in batches for some in _bounded(batch)):
             words = b.column("w")
             size = pc.list_value_length(words).to_numpy(zero_copy_only=False)
             total = int(size.sum())
             if not total:
                 continue
             coded = words.flatten().dictionary_encode()
-            code = coded.indices.to_numpy().astype(np.int64)
-            doc = np.repeat(np.arange(len(size)), size)
-            place = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-            order = np.argsort(code * len(size) + doc, kind="stable")
-            code, doc = code[order], doc[order]
-            first = np.flatnonzero(np.diff(code * len(size) + doc, prepend=-1))  # of a posting
+            doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+            place = np.arange(total, dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
+            key = coded.indices.to_numpy().astype(np.int64) * len(size) + doc
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))  # of a posting
             stop = np.append(first[1:], total)
-            term, owner = code[first], doc[first]
+            term, owner = key[first] // len(size), key[first] % len(size)
             block = np.flatnonzero(np.diff(term, prepend=-1))  # of a term
             ends = np.append(block, len(first)).astype(np.int32)
             begin = np.repeat(first[block], np.diff(ends))
             ranges = np.array([bisect_right(borders, t) for t in coded.dictionary.to_pylist()], np.int32)
             lists = lambda values, at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
             columns = [lists(b.column("id").take(pa.array(owner)), ends), lists(pa.array(size[owner].astype(np.int32)), ends), lists(pa.array((stop - begin).astype(np.int32)), ends)]
-            places = lists(pa.array(place[order].astype(np.int32)), np.append(first[block], total))
+            places = lists(pa.array(place[order]), np.append(first[block], total))
             yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term[block])), *columns, places, pa.array(ranges[term[block]])], names=["term", "ids", "lens", "stops", "positions", "range"])
 
     return run

@@ -64,3 +64,23 @@ def test_explain_do(spark):
     out = causal.explain_do(smoking(), dag, {"Smoking": "yes"}, ["Cancer"])
     assert out["distribution"]["Cancer"]["yes"] == pytest.approx(0.60) and out["adjustment"] == {("Smoking", "Cancer"): ["Genotype"]}
     assert out["explanation"] == "setting Smoking and reading Cancer adjusts for Genotype"
+
+
+def test_states_of_many_variables_are_not_grouped_in_memory(spark):
+    d = spark.range(3000).selectExpr("id % 7 as a", "if(id % 5 = 0, null, cast(id % 3 as string)) as b", "id as c")
+    few = causal.states_of(d, ["a", "b"])
+    got = {tuple(r)[:2]: r["n"] for r in few.groupBy("a", "b").sum("_n").toDF("a", "b", "n").collect()}
+    want = {}
+    for i in range(3000):
+        k = (str(i % 7), "\0" if i % 5 == 0 else str(i % 3))
+        want[k] = want.get(k, 0) + 1
+    assert got == want and few.count() <= 4 * len(want)
+    written = []
+    keep = causal.materialise
+    causal.materialise = lambda df: written.append(df) or keep(df)
+    try:
+        assert causal.states_of(d, ["a", "b", "c"]).selectExpr("sum(_n)").first()[0] == 3000
+    finally:
+        causal.materialise = keep
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan  # before: every row in a hash table

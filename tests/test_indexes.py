@@ -255,7 +255,7 @@ def test_postings_are_made_in_bounded_runs_of_words(monkeypatch):
     want = {(w, i): [k for k, x in enumerate(d) if x == w] for i, d in enumerate(docs) for w in d}
     for most in (1, 60, 10_000):
         monkeypatch.setattr(text_index, "WORDS_AT_ONCE", most)
-        runs = [x.column("w") for x in text_index._bounded(batch)]
+        runs = [x.column("w") for x in text_index._bounded(most)(batch)]
         assert all(len(w) == 1 or len(w.flatten()) <= most for w in runs)
         got, blocks = {}, 0
         for b in text_index._postings(["w3"])(iter([batch])):

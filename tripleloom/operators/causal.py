@@ -249,23 +249,27 @@ def chi2(table: np.ndarray) -> tuple[float, int]:
 Test = tuple[str, str, tuple[str, ...]]
 
 
-def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _combined():
     """Arrow batches to the combinations that occur in ``ROWS_AT_ONCE`` rows or little more, with ``_n``, the rows of each."""
-    held: list[pa.RecordBatch] = []
-
-    def combined() -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held)
-        held.clear()
-        names = t.column_names
-        t = t.append_column("_n", pa.array(np.ones(len(t), np.int64))).group_by(names, use_threads=False).aggregate([("_n", "sum")])
-        yield from t.select([*names, "_n_sum"]).rename_columns([*names, "_n"]).combine_chunks().to_batches()
-
-    for b in batches:
-        held.append(b)
-        if sum(x.num_rows for x in held) >= ROWS_AT_ONCE:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def combined() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            names = t.column_names
+            t = t.append_column("_n", pa.array(np.ones(len(t), np.int64))).group_by(names, use_threads=False).aggregate([("_n", "sum")])
+            yield from t.select([*names, "_n_sum"]).rename_columns([*names, "_n"]).combine_chunks().to_batches()
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= ROWS_AT_ONCE:
+                yield from combined()
+        if held:
             yield from combined()
-    if held:
-        yield from combined()
+
+    return run  # an inner function, which travels to tasks by value
 
 
 def states_of(data: DataFrame, variables: list[str]) -> DataFrame:
@@ -274,7 +278,7 @@ def states_of(data: DataFrame, variables: list[str]) -> DataFrame:
     A combination comes once for each bounded run of rows that holds it: of many variables nearly every row is a combination of its own,
     and grouping all of them would hold the table in the tasks' memory to little use."""
     d = data.select(*[F.coalesce(F.col(v).cast("string"), F.lit("\0")).alias(v) for v in variables])
-    return materialise(d.mapInArrow(_combined, ", ".join(f"`{v}` string" for v in variables) + ", _n long"))
+    return materialise(d.mapInArrow(_combined(), ", ".join(f"`{v}` string" for v in variables) + ", _n long"))
 
 
 def _contingency(sets: list[tuple[str, ...]]):

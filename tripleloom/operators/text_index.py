@@ -31,23 +31,29 @@ RANGES, SAMPLED = 64, 100_000
 WORDS_AT_ONCE = 1_000_000
 
 
-def _bounded(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in runs of rows with about as many words as a task takes at once, however long the documents are."""
-    upto = np.cumsum(pc.list_value_length(b.column("w")).fill_null(0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < b.num_rows:
-        before = upto[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(upto, before + WORDS_AT_ONCE, "right")))
-        yield b.slice(at, to - at)
-        at = to
+def _bounded(most: int):
+    """A batch in runs of rows with at most so many words, or one row, however long the documents are.  (Inner functions travel to tasks by value.)"""
+
+    def runs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        upto = np.cumsum(pc.list_value_length(b.column("w")).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            before = upto[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(upto, before + most, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+    return runs
 
 
 def _postings(borders: list[str]):
     """Arrow batches ``id, w`` to blocks: of a term the batch's documents with it, their lengths, and the places in all of them,
     those of a document up to its stop."""
 
+    bounded = _bounded(WORDS_AT_ONCE)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (some for batch in batches for some in _bounded(batch)):
+        for b in (some for batch in batches for some in bounded(batch)):
             words = b.column("w")
             size = pc.list_value_length(words).to_numpy(zero_copy_only=False)
             total = int(size.sum())

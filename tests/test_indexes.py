@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tripleloom.operators import search
+from tripleloom.operators import reach_index, search
 from tripleloom.operators.graph import Graph
 from tripleloom.operators.pattern import Triple, bindings
 from tripleloom.operators.reach_index import ReachIndex, strong_components
@@ -113,6 +113,22 @@ def test_reach_index_equals_the_closure(spark, tmp_path, kind):
         assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_reach_index_broadcasts_no_table(spark, tmp_path, monkeypatch):
+    """Two rings in a row: neither the loops nor the closure send what grows with the edges through the driver."""
+    edges = {(f"n{r}{i}", f"n{r}{(i + 1) % 3}") for r in range(2) for i in range(3)} | {("n02", "n10"), ("n12", "t")}
+    plans, write = [], reach_index.materialise
+
+    def kept(df, *how, **more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *how, **more)
+
+    monkeypatch.setattr(reach_index, "materialise", kept)
+    closed = ReachIndex.build(spark.createDataFrame(sorted(edges), "s string, o string"), f"file://{tmp_path}/r").closure()
+    plans.append(closed._jdf.queryExecution().executedPlan().toString())
+    assert {tuple(r) for r in closed.collect()} == pairs(edges)
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_reach_index_without_edges(spark, tmp_path):
     with pytest.raises(ValueError):
         ReachIndex(spark, f"file://{tmp_path}/r").closure()

@@ -2,8 +2,9 @@
 
 Built in Spark once a graph, by rounds of joins:
 
-1. *Condensation.*  Nodes without a way in or out are trimmed round by round; what is left falls into strong components by
-   forward colours (the least node that reaches a node) and backward searches within a colour.
+1. *Condensation.*  Nodes are numbered at random; those without a way in or out are trimmed round by round.  Of what is left each learns the least
+   node that reaches it and the least that it reaches: where both are one, the component is found; edges between nodes that differ in either
+   are cut, so what lies before and behind a component goes on apart and few phases follow.
 2. *Forest.*  Each component keeps one edge to a parent, on that side of the edges where fewer are left out.  A component's number and
    its subtree's last number follow from subtree sizes, by level; children of one parent are numbered in parts, so no parent is one task.
 3. *Other edges* hand their target's range to all that reach them, unless it lies in a range that is already there.
@@ -24,61 +25,93 @@ from ..sources.commits import Log
 BLOCK, PARTS = 1024, 64
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """A table of a loop, which grows with the input: written, and met by shuffle."""
+    return materialise(df, by_shuffle=True)
+
+
+def _names(edges: DataFrame) -> DataFrame:
+    """``node, id`` of the ends of ``edges(s, o)``: numbers in the order of hashes, so that a least number is a random node and not the first of a chain."""
+    nodes = edges.select(F.col("s").alias("node")).union(edges.select("o")).distinct()
+    return _cut(nodes.sortWithinPartitions(F.xxhash64("node")).select("node", F.monotonically_increasing_id().alias("id")))
+
+
+def _by_number(edges: DataFrame, names: DataFrame) -> DataFrame:
+    return _cut(edges.join(names.toDF("s", "si"), "s").join(names.toDF("o", "oi"), "o").select(F.col("si").alias("s"), F.col("oi").alias("o")))
+
+
 def _trim(edges: DataFrame) -> DataFrame:
     """``edges(s, o)`` between nodes that have a way in and a way out; all cycles are in it."""
-    while True:
+    n = edges.count()
+    while n:
         kept = edges.join(edges.select(F.col("o").alias("s")).distinct(), "s", "left_semi").join(edges.select(F.col("s").alias("o")).distinct(), "o", "left_semi")
-        kept = materialise(kept.select("s", "o"))
-        if kept.count() == edges.count():
-            return kept
-        edges = kept
+        edges, before = _cut(kept.select("s", "o")), n
+        n = edges.count()
+        if n == before:
+            break
+    return edges
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """``node, comp`` of every node on a cycle of ``edges(s, o)``; ``comp`` is the component's least node."""
-    left = _trim(materialise(edges.select("s", "o").distinct()))
-    found = None
+def _least(edges: DataFrame) -> DataFrame:
+    """``node, f, b``: the least node that reaches it and the least that it reaches, itself counted.
+
+    Both at once, over arcs between 2 x and 2 x' along the edges and between 2 x + 1 and 2 x' + 1 against them."""
+    out = edges.select((2 * F.col("s")).alias("u"), (2 * F.col("o")).alias("v"))
+    arcs = _cut(out.union(edges.select((2 * F.col("o") + 1).alias("u"), (2 * F.col("s") + 1).alias("v"))))
+    at = _cut(arcs.select("u").union(arcs.select("v")).distinct().select("u", F.shiftright("u", 1).alias("c"), F.lit(True).alias("moved")))
+    while True:
+        # only what the last round changed is passed on
+        passed = arcs.join(at.where("moved").select("u", "c"), "u").select(F.col("v").alias("u"), "c", F.lit(None).cast("long").alias("own"))
+        step = at.select("u", "c", F.col("c").alias("own")).union(passed).groupBy("u").agg(F.min("c").alias("c"), F.max("own").alias("own"))
+        at = _cut(step.select("u", "c", (F.col("c") < F.col("own")).alias("moved")))
+        if at.where("moved").isEmpty():
+            break
+    side = lambda k: F.max(F.when(F.col("u") % 2 == k, F.col("c")))
+    return _cut(at.groupBy(F.shiftright("u", 1).alias("node")).agg(side(0).alias("f"), side(1).alias("b")))
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """``node, comp`` of every node on a cycle of numbered ``edges(s, o)``; ``comp`` is the component's least number."""
+    left, found = _trim(edges), []
     while not left.isEmpty():
-        colour = materialise(left.select(F.col("s").alias("node")).union(left.select("o")).distinct().withColumn("c", F.col("node")))
-        while True:
-            passed = left.join(colour.withColumnRenamed("node", "s"), "s").groupBy(F.col("o").alias("node")).agg(F.min("c").alias("m"))
-            step = materialise(colour.join(passed, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")))
-            colour = step.select("node", "c")
-            if step.where("moved").isEmpty():
-                break
-        # of a colour's nodes, those that reach its least node are that node's component
-        cs, co = colour.toDF("s", "cs"), colour.toDF("o", "co")
-        inside = materialise(left.join(cs, "s").join(co, "o").where("cs = co").select("s", "o", F.col("cs").alias("comp")))
-        seen = frontier = materialise(colour.where("node = c").select("node", F.col("c").alias("comp")))
-        while True:
-            back = inside.join(frontier.select(F.col("node").alias("o"), "comp"), ["o", "comp"], "left_semi").select(F.col("s").alias("node"), "comp").distinct()
-            frontier = materialise(back.join(seen, ["node", "comp"], "left_anti"))
-            if frontier.isEmpty():
-                break
-            seen = seen.union(frontier)
-        seen = materialise(seen)
+        least = _least(left)
+        # what a node reaches and is reached by is its component, whole, for all of it has the same two
+        seen = least.where("f = b").select("node", F.col("f").alias("comp"))
         # a component of one node is on a cycle only by an edge to itself
         many = seen.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").select("comp")
         loops = left.where("s = o").select(F.col("s").alias("comp"))
-        some = seen.join(many.union(loops).distinct(), "comp", "left_semi").select("node", "comp")
-        found = some if found is None else found.union(some)
-        rest = left.join(seen.select(F.col("node").alias("s")), "s", "left_anti").join(seen.select(F.col("node").alias("o")), "o", "left_anti")
-        left = _trim(materialise(rest))
-    return materialise(found) if found is not None else edges.sparkSession.createDataFrame([], "node string, comp string")
+        found.append(_cut(seen.join(_cut(many.union(loops).distinct()), "comp", "left_semi").select("node", "comp")))
+        # ends of an edge with different ones are in different components
+        rest = left.join(least.toDF("s", "f", "b"), "s").join(least.toDF("o", "fo", "bo"), "o").where("f = fo and b = bo and f <> b")
+        left = _trim(_cut(rest.select("s", "o")))
+    if not found:
+        return edges.sparkSession.createDataFrame([], "node long, comp long")
+    out = found[0]
+    for some in found[1:]:
+        out = out.union(some)
+    return _cut(out)
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``node, comp`` of every node on a cycle of ``edges(s, o)``; ``comp`` is the component's least node."""
+    e = _cut(edges.select("s", "o").where("s is not null and o is not null").distinct())
+    names = _names(e)
+    named = _cut(_components(_by_number(e, names)).toDF("id", "c").join(names, "id").select("node", "c"))
+    return _cut(named.join(_cut(named.groupBy("c").agg(F.min("node").alias("comp"))), "c").select("node", "comp"))
 
 
 def _numbered(parents: DataFrame) -> DataFrame:
     """``comp, lo, hi`` of the forest ``parents(comp, parent)`` (null parent: a root): a subtree is the numbers from lo to hi, lo the node's own."""
-    levels = [materialise(parents.where("parent is null").select("comp", "parent"))]
+    levels = [_cut(parents.where("parent is null").select("comp", "parent"))]
     while True:
-        below = materialise(parents.join(levels[-1].select(F.col("comp").alias("parent")), "parent", "left_semi").select("comp", "parent"))
+        below = _cut(parents.join(levels[-1].select(F.col("comp").alias("parent")), "parent", "left_semi").select("comp", "parent"))
         if below.isEmpty():
             break
         levels.append(below)
-    sizes = [materialise(levels[-1].withColumn("size", F.lit(1).cast("long")))]
+    sizes = [_cut(levels[-1].withColumn("size", F.lit(1).cast("long")))]
     for level in levels[-2::-1]:
         under = sizes[-1].groupBy(F.col("parent").alias("comp")).agg(F.sum("size").alias("n"))
-        sizes.append(materialise(level.join(under, "comp", "left").select("comp", "parent", (F.coalesce("n", F.lit(0)) + 1).alias("size"))))
+        sizes.append(_cut(level.join(under, "comp", "left").select("comp", "parent", (F.coalesce("n", F.lit(0)) + 1).alias("size"))))
     out, above = None, None
     for level in sizes[::-1]:
         # siblings in parts by hash: sums by part, running sums inside a part
@@ -91,9 +124,9 @@ def _numbered(parents: DataFrame) -> DataFrame:
         placed = placed.join(sums, same).select("comp", placed["parent"], "size", (F.col("before") + F.col("mine")).alias("at"))
         if above is not None:
             placed = placed.join(above.select(F.col("comp").alias("parent"), F.col("lo").alias("base")), "parent").withColumn("at", F.col("base") + 1 + F.col("at"))
-        above = materialise(placed.select("comp", F.col("at").alias("lo"), (F.col("at") + F.col("size") - 1).alias("hi")))
+        above = _cut(placed.select("comp", F.col("at").alias("lo"), (F.col("at") + F.col("size") - 1).alias("hi")))
         out = above if out is None else out.union(above)
-    return materialise(out)
+    return _cut(out)
 
 
 @dataclass
@@ -112,27 +145,29 @@ class ReachIndex:
         """Index ``edges(s, o)`` at ``path``; a later build there is one more commit and readers go on with theirs."""
         index = cls(edges.sparkSession, path)
         number, _ = index.log.read()
-        e = materialise(edges.select("s", "o").where("s is not null and o is not null").distinct())
-        comps = strong_components(e)
+        e = _cut(edges.select("s", "o").where("s is not null and o is not null").distinct())
+        names = _names(e)
+        e = _by_number(e, names)
+        comps = _components(e)
         of = lambda c, to: F.coalesce(F.col(to), F.col(c))
         d = e.join(comps.toDF("s", "cs"), "s", "left").join(comps.toDF("o", "co"), "o", "left")
-        dag = materialise(d.select(of("s", "cs").alias("s"), of("o", "co").alias("o")).where("s <> o").distinct())
-        nodes = materialise(e.select(F.col("s").alias("node")).union(e.select("o")).distinct().join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNotNull().alias("cyclic")))
+        dag = _cut(d.select(of("s", "cs").alias("s"), of("o", "co").alias("o")).where("s <> o").distinct())
+        nodes = _cut(names.join(comps.toDF("id", "comp"), "id", "left").select("node", F.coalesce("comp", "id").alias("comp"), F.col("comp").isNotNull().alias("cyclic")))
         n = dag.agg(F.count_distinct("s").alias("s"), F.count_distinct("o").alias("o")).first()
         forward = n["o"] >= n["s"]  # one edge a node stays in the forest: on the side that has more of them
         down = dag if forward else dag.select(F.col("o").alias("s"), F.col("s").alias("o"))
         comp = nodes.select("comp").distinct()
         tree = down.groupBy(F.col("o").alias("comp")).agg(F.min("s").alias("parent"))
-        own = _numbered(materialise(comp.join(tree, "comp", "left")))
+        own = _numbered(_cut(comp.join(tree, "comp", "left")))
         ranges = own.select("comp", "lo", "hi")
-        more = materialise(down.join(tree.select(F.col("comp").alias("o"), "parent"), "o").where("s <> parent").select(F.col("s").alias("comp"), "o"))
-        new = materialise(more.join(own.toDF("o", "lo", "hi"), "o").select("comp", "lo", "hi").distinct())
+        more = _cut(down.join(tree.select(F.col("comp").alias("o"), "parent"), "o").where("s <> parent").select(F.col("s").alias("comp"), "o"))
+        new = _cut(more.join(own.toDF("o", "lo", "hi"), "o").select("comp", "lo", "hi").distinct())
         while not new.isEmpty():
             # what lies in a range of the node itself is known
             known = ranges.toDF("comp", "a", "b")
-            new = materialise(new.join(known, (new["comp"] == known["comp"]) & (F.col("a") <= F.col("lo")) & (F.col("hi") <= F.col("b")), "left_anti"))
-            ranges = materialise(ranges.union(new))
-            new = materialise(down.join(new.withColumnRenamed("comp", "o"), "o").select(F.col("s").alias("comp"), "lo", "hi").distinct())
+            new = _cut(new.join(known, (new["comp"] == known["comp"]) & (F.col("a") <= F.col("lo")) & (F.col("hi") <= F.col("b")), "left_anti"))
+            ranges = _cut(ranges.union(new))
+            new = _cut(down.join(new.withColumnRenamed("comp", "o"), "o").select(F.col("s").alias("comp"), "lo", "hi").distinct())
         # ranges of subtrees are nested or apart: only the outer ones of a node stay
         before = Window.partitionBy("comp").orderBy("lo", F.desc("hi")).rowsBetween(Window.unboundedPreceding, -1)
         ranges = ranges.withColumn("reached", F.max("hi").over(before)).where("reached is null or reached < hi").select("comp", "lo", "hi")
@@ -154,7 +189,8 @@ class ReachIndex:
         """``s, o``: every pair a step or more apart; from ``starts(s)`` and to ``ends(o)`` where given."""
         nodes, ranges, forward = self._tables()
         roots, leaves = (starts, ends) if forward else (ends, starts)
-        pick = lambda some: nodes if some is None else nodes.join(some.toDF("node").distinct(), "node", "left_semi")
+        # whole tables meet by shuffle: the size of their files says little of what a broadcast of them would hold
+        pick = lambda some: nodes.hint("merge") if some is None else nodes.join(some.toDF("node").distinct(), "node", "left_semi")
         a = pick(roots).join(ranges, "num").select(F.col("node").alias("x"), F.col("num").alias("xn"), F.col("cyclic").alias("loop"), "lo", "hi")
         a = a.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), F.floor(F.col("hi") / BLOCK))))
         b = pick(leaves).select(F.col("node").alias("y"), F.col("num").alias("yn"), F.floor(F.col("num") / BLOCK).alias("block"))

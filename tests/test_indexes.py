@@ -186,6 +186,24 @@ def test_frequent_values_on_both_sides_are_dealt(spark):
     assert shared.count() == 2500 and "BroadcastHashJoin" not in plan and "_line" in plan  # before: one value, one task
 
 
+def test_what_selects_comes_before_a_product(spark):
+    rows = [(f"{k}{i}", "in", f"n{i % 2}") for k, m in (("s", 12), ("c", 20)) for i in range(m)] + [(f"s{i}", "is", "S") for i in range(12)]
+    rows += [(f"c{i}", "seg", "H" if i % 5 == 0 else "B") for i in range(20)] + [("n0", "of", "r0"), ("n1", "of", "r1")]
+    g = Graph.of(spark.createDataFrame([(None, "data", "urn:" + s, "iri", "urn:" + p, "urn:" + o, "iri", None, None) for s, p, o in rows], "ontology string, layer string, s string, s_kind string, p string, o string, o_kind string, dt string, lang string"))
+    where = lambda *ts: [Triple(*(x if x[0] == "?" else "urn:" + x for x in t.split())) for t in ts]
+    near = {(f"urn:s{i}", f"urn:c{k}") for i in range(12) for k in range(0, 20, 5) if i % 2 == k % 2}
+    both, far = ("?s in ?n", "?c in ?n", "?s is S", "?c seg H"), {(f"urn:s{i}", f"urn:c{k}") for i in range(12) for k in range(0, 20, 5)}
+    for patterns, want, product in ((both, near, "_line"), ((*both, "?n of ?r"), near, "_line"), (("?s is S", "?c in ?m", "?c seg H"), far, "")):
+        got = bindings(g, where(*patterns)).select("s", "c")
+        plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+        top = next(i for i, line in enumerate(plan) if "Join" in line or "CartesianProduct" in line)
+        # before: a product met the segments of its customers, or a nation's pairs were one task's
+        assert product in plan[top] and (product or "CartesianProduct" in plan[top] or "NestedLoop" in plan[top])
+        assert not any("Exchange" in line for line in plan[:top])
+        found = [tuple(r) for r in got.collect()]
+        assert set(found) == want and len(found) == len(want)
+
+
 @pytest.fixture(scope="module")
 def shop(spark):
     rng = np.random.default_rng(2)

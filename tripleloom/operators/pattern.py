@@ -16,6 +16,8 @@ from .statistics import Statistics
 MAX_LIMIT = 10_000
 #: Triples that a subject may have of one predicate for a star to gather them in its row; beyond it the predicate is joined.
 STAR_MOST = 64
+#: Tasks that the pairs of values frequent on both sides are dealt over.
+PRODUCT_TASKS = 256
 
 
 @dataclass(frozen=True)
@@ -154,16 +156,38 @@ def _planned(graph: Graph, patterns: list[Triple], stats: Statistics) -> list[li
     return out
 
 
-def _order(patterns: list[Triple]) -> list[Triple]:
-    """Most bound first, then always one that shares a variable with what is joined."""
+def _variables(patterns: list[Triple]) -> set[str]:
+    return {x for t in patterns for x in (t.s, t.p, t.o) if T.is_variable(x)}
+
+
+def _keyed(patterns: list[Triple], shared: set[str]) -> bool:
+    """Whether values of ``shared`` make out a row but for its subjects' several objects: each subject is one of them or is reached from one."""
+    reached = set(shared)
+    while more := {t.o for t in patterns if t.s in reached and T.is_variable(t.o)} - reached:
+        reached |= more
+    return all(t.s in reached for t in patterns if T.is_variable(t.s))
+
+
+def _order(patterns: list[Triple]) -> list[list[Triple]]:
+    """Most bound first, then always one whose subject is in what is joined, else one that shares a variable with it.
+
+    Where that would multiply rows (frequent on both sides, or no variable shared), all that hangs on the pattern's other variables is joined
+    with it first: what selects among its rows comes before the product, and no product is shuffled for it."""
     bound = lambda t: sum(not T.is_variable(x) for x in (t.s, t.p, t.o)) + (not T.is_variable(t.s)) + (not T.is_variable(t.o))
     left = sorted(patterns, key=lambda t: -bound(t))
-    out, seen = [], set()
+    out, done = [], []
     while left:
-        nxt = next((t for t in left if seen & {t.s, t.p, t.o}), left[0])
+        seen = _variables(done)
+        nxt = next((t for t in left if t.s in seen), None) or next((t for t in left if seen & _variables([t])), left[0])
+        unit = [nxt]
         left.remove(nxt)
-        out.append(nxt)
-        seen |= {x for x in (nxt.s, nxt.p, nxt.o) if T.is_variable(x)}
+        shared = seen & _variables(unit)
+        if done and nxt.s not in seen and not (shared and _keyed(done, shared)):
+            while more := [t for t in left if _variables([t]) & (_variables(unit) - seen)]:
+                unit += more
+                left = [t for t in left if t not in more]
+        out.append(unit)
+        done += unit
     return out
 
 
@@ -182,20 +206,23 @@ def _condition(c: Condition):
 def bindings(graph: Graph, patterns: list[Triple], ontology: str | None = None, layers: tuple[str, ...] = ("data",), stats: Statistics | None = None) -> DataFrame:
     """One column a variable; patterns without a shared variable multiply, as their semantics demand.
 
-    With statistics of the graph, patterns of one subject are one exchange and units are joined by estimated size.  Where patterns share
-    objects alone, each of which may be frequent on both sides, their pairs are dealt over tasks."""
-    out = None
-    subjects = {t.s[1:] for t in patterns}
-    for unit in _planned(graph, patterns, stats) if stats else [[t] for t in _order(patterns)]:
-        rows = _scan(graph, unit[0], ontology, layers) if len(unit) == 1 else _star(graph, unit, ontology, layers)
+    With statistics of the graph, patterns of one subject are one exchange and units are joined by estimated size.  Where the variables shared
+    may be frequent on both sides, their pairs are dealt over tasks."""
+    out, done = None, []
+    for unit in _planned(graph, patterns, stats) if stats else _order(patterns):
+        if len(unit) == 1:
+            rows = _scan(graph, unit[0], ontology, layers)
+        else:
+            rows = _star(graph, unit, ontology, layers) if stats else bindings(graph, unit, ontology, layers)
+        shared = [c for c in rows.columns if out is not None and c in out.columns]
+        named = {f"?{c}" for c in shared}
         if out is None:
             out = rows
-            continue
-        shared = [c for c in rows.columns if c in out.columns]
-        if shared and not subjects & set(shared):
-            out = grid_join(out, rows, shared)
+        elif shared and not _keyed(done, named) and not _keyed(unit, named):
+            out = grid_join(out, rows, shared, tasks=PRODUCT_TASKS)
         else:
             out = out.join(rows, shared) if shared else out.crossJoin(rows)
+        done += unit
     return out
 
 
